@@ -291,39 +291,41 @@ def session_stats(log: DataFrame, session: str, ts: str) -> DataFrame:
     )
 
 
-def span_rollup(spans: DataFrame, trace: str) -> DataFrame:
-    """Parent span of each trace from its child spans."""
-    return spans.groupBy(trace).agg(
-        F.count("*").alias("n_spans"),
-        F.min("start_ts").alias("start_ts"),
-        F.max("end_ts").alias("end_ts"),
-        F.sum("latency_ms").alias("total_latency_ms"),
-        F.max((F.col("status") == "error").cast("int")).alias("has_error"),
-    )
-
-
 def query_spans(traces: DataFrame) -> DataFrame:
     """Child spans of a traced query: retrieval, generation, citation check.
 
-    ``traces``: trace_id, start_ts, the latencies and a nullable ``failed_at``
-    naming the stage that raised; later stages of a failed query are absent.
+    ``traces``: trace_id, one latency per stage and a nullable ``failed_at``
+    naming the stage that raised; the stages after it never ran.  Times are
+    milliseconds from the start of the trace.
     """
     stages = ("retrieval", "generation", "citation_validation")
-    order = F.array(*[F.lit(s) for s in stages])
-    failed = F.array_position(order, F.col("failed_at"))
-    built = F.array(
-        *[
+    took = [F.coalesce(F.col(f"{s}_latency_ms"), F.lit(0.0)) for s in stages]
+    start = F.lit(0.0)
+    spans = []
+    for i, stage in enumerate(stages):
+        spans.append(
             F.struct(
                 F.lit(i + 1).alias("position"),
-                F.lit(s).alias("span"),
-                F.coalesce(F.col(f"{s}_latency_ms"), F.lit(0.0)).alias("latency_ms"),
-                F.when(F.col("failed_at") == s, "error").otherwise("ok").alias("status"),
+                F.lit(stage).alias("span"),
+                start.alias("start_ms"),
+                (start + took[i]).alias("end_ms"),
+                F.when(F.col("failed_at") == stage, "error").otherwise("ok").alias("status"),
             )
-            for i, s in enumerate(stages)
-        ]
+        )
+        start = start + took[i]
+    last = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in stages]), F.col("failed_at")), F.lit(0))
+    ran = F.filter(F.array(*spans), lambda s: (last == 0) | (s["position"] <= last))
+    return traces.select("trace_id", F.explode(ran).alias("s")).select("trace_id", "s.*")
+
+
+def span_rollup(spans: DataFrame, trace: str = "trace_id") -> DataFrame:
+    """Parent span of each trace from its child spans."""
+    return spans.groupBy(trace).agg(
+        F.count("*").alias("n_spans"),
+        F.min("start_ms").alias("start_ms"),
+        F.max("end_ms").alias("end_ms"),
+        F.max((F.col("status") == "error").cast("int")).alias("has_error"),
     )
-    ran = F.filter(built, lambda s: F.coalesce(failed, F.lit(0)).isin(0) | (s["position"] <= failed))
-    return traces.select("trace_id", "start_ts", F.explode(ran).alias("s")).select("trace_id", "start_ts", "s.*")
 
 
 def span_outputs(retrieved: DataFrame) -> DataFrame:
