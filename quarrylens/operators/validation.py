@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrylens.functions.json import strict_json
 from quarrylens.functions.text import let, normalize_ws, overlap_share, strip, tokenize
 
 # Fixed values -------------------------------------------------------------
@@ -206,7 +207,7 @@ def parse_responses(raw: DataFrame, pool: DataFrame) -> DataFrame:
     ``raw``: response_id, query, text.  Adds ``violations`` for the record.
     """
     parsed = raw.select(
-        "response_id", "query", F.try_parse_json(extract_json(F.col("text"))).alias("v")
+        "response_id", "query", strict_json(extract_json(F.col("text"))).alias("v")
     )
     get = lambda key, kind: F.try_variant_get("v", f"$.{key}", kind)
     # A citation is kept as the variant it is; the list is one row's own.

@@ -198,14 +198,14 @@ def score_tiers(spark: SparkSession, root: str) -> DataFrame:
     "session_stats",
     f"""WITH {SQL_LOG} SELECT query_id, user_id, count(*) OVER w queries, count(*) FILTER (NOT is_decline) OVER w answered,
       count(*) FILTER (is_decline) OVER w declined, round(avg(total_latency_ms) OVER w + 1e-9, 6) avg_latency,
-      round(avg(confidence) FILTER (NOT is_decline) OVER w, 6) avg_confidence
+      round(avg(confidence) FILTER (NOT is_decline) OVER w + 1e-9, 6) avg_confidence
     FROM log WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING)""",
 )
 def session_stats(spark: SparkSession, root: str) -> DataFrame:
     out = T.session_stats(query_log(spark, root), "user_id", "ts")
     return out.select(
         "query_id", "user_id", long("queries").alias("queries"), long("answered").alias("answered"), long("declined").alias("declined"),
-        r6(F.col("avg_latency") + 1e-9).alias("avg_latency"), r6("avg_session_confidence").alias("avg_confidence"),
+        r6(F.col("avg_latency") + 1e-9).alias("avg_latency"), r6(F.col("avg_session_confidence") + 1e-9).alias("avg_confidence"),
     )
 
 
