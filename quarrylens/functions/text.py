@@ -63,6 +63,11 @@ def point_id(key: Column) -> Column:
     )
 
 
+def digest_number(text: Column, hex_digits: int = 13) -> Column:
+    """Leading bits of a digest as a number; 13 digits are exact in a double."""
+    return F.conv(F.substring(F.md5(F.encode(text, "UTF-8")), 1, hex_digits), 16, 10).cast("long")
+
+
 def overlap_share(left: Column, right: Column) -> Column:
     """Share of the distinct items of ``left`` found in ``right``; null when empty."""
     distinct = F.array_distinct(left)

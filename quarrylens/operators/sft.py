@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylens.functions.json import strict_json
+from quarrylens.functions.text import digest_number
 from quarrylens.operators.percentiles import RankTarget, values_at_ranks
 
 # Fixed values -------------------------------------------------------------
@@ -93,8 +94,8 @@ def turn_pairs(turns: DataFrame, conv: str, turn: str, system_prompt: str = SYST
 
 
 def order_key(ident: Column, seed: int = SEED) -> Column:
-    """Shuffling key: 52 bits of a digest of seed and id, exact as a double."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), ident.cast("string"))), 1, 13), 16, 10).cast("long")
+    """Shuffling key: leading bits of a digest of seed and id."""
+    return digest_number(F.concat(F.lit(f"{seed}:"), ident.cast("string")))
 
 
 def exact_split(df: DataFrame, ident: str, train_share: float = TRAIN_SHARE, seed: int = SEED) -> DataFrame:
@@ -125,11 +126,9 @@ def synthetic_pairs(ids: DataFrame, ident: str, seed: int = SEED) -> DataFrame:
     Same distributions as a seeded generator would give, another stream.
     """
 
-    def draw(salt: str) -> Column:
-        return F.xxhash64(F.lit(seed), F.col(ident), F.lit(salt))
-
     def below(salt: str, n: int) -> Column:
-        return F.pmod(draw(salt), F.lit(n)).cast("int")
+        drawn = digest_number(F.concat(F.lit(f"{seed}:"), F.col(ident).cast("string"), F.lit(f":{salt}")))
+        return F.pmod(drawn, F.lit(n)).cast("int")
 
     def at(values: tuple, index: Column) -> Column:
         return F.get(F.array(*[F.lit(v) for v in values]), index)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrylens.functions.text import digest_number
 from quarrylens.operators.percentiles import percentile_exclusive
 from quarrylens.operators.running import running_aggregates
 
@@ -232,7 +233,7 @@ def served_answers(queries: DataFrame, query_id: str, query: str) -> DataFrame:
         "*",
         route_category(F.col("keyword")).alias("category"),
         F.col("keyword").isNull().alias("is_decline"),
-        F.when(F.col("keyword").isNull(), 0.0).otherwise(F.bround(0.85 + F.pmod(F.xxhash64("query"), F.lit(100)) / 1000, 2)).alias("confidence"),
+        F.when(F.col("keyword").isNull(), 0.0).otherwise(F.round((850 + F.pmod(digest_number(F.col("query")), F.lit(100)) + 0.25) / 1000, 2)).alias("confidence"),
         F.lit(float(LATENCY_FLOOR_MS)).alias("latency_ms"),
     )
 

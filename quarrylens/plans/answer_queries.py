@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarrylens.functions.json import strict_json
 from quarrylens.operators import prompt as P
 from quarrylens.operators import validation as V
-from quarrylens.plans.catalog import documents, long, query, r6, sql_normalize, sql_strip, table
+from quarrylens.plans.catalog import documents, long, query, r6, sql_normalize, sql_share, sql_strip, sql_tokens, table
 from quarrylens.plans.retrieval_queries import bm25_hits, chunk_view, sql_bm25
 
 
@@ -288,7 +288,21 @@ def parse_validate(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-@query("extractive_answer")
+# Sentences end at white space after a full stop, or at line ends.  The marker
+# character stands where the look-behind of the other engine cuts.
+SQL_BEST_SENTENCE = f"""
+cut AS (
+  SELECT query_id, doc_id, rank, {sql_tokens('b.text')} qt,
+    string_split_regex(regexp_replace(d.text, '([.!?])\\s+', '\\1' || chr(1), 'g'), '\\x01|\\n+') ss
+  FROM sparse JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = query_id WHERE rank = 1),
+sentences AS (SELECT query_id, doc_id, qt, i, {sql_strip('s')} s FROM (
+  SELECT query_id, doc_id, qt, unnest(list_filter(ss, lambda x: length({sql_strip('x')}) >= 10)) s,
+    generate_subscripts(list_filter(ss, lambda x: length({sql_strip('x')}) >= 10), 1) i FROM cut)),
+rated AS (SELECT *, round(coalesce({sql_share('qt', sql_tokens('s'))}, 0), 9) score FROM sentences),
+best AS (SELECT query_id, doc_id, s answer, score FROM rated QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, i) = 1)"""
+
+
+@query("extractive_answer", f"WITH {sql_bm25(1)}, {SQL_BEST_SENTENCE} SELECT query_id, doc_id || '::0::0' chunk_id, answer, round(score, 6) confidence FROM best")
 def extractive_answer(spark: SparkSession, root: str) -> DataFrame:
     """Best sentence of the best document, quoted as its own source."""
     best = retrieved(spark, root, 1).join(asked(spark, root), "query_id")

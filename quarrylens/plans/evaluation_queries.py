@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from quarrylens.operators import evaluation as E
 from quarrylens.operators import sft as S
 from quarrylens.plans.catalog import documents, long, query, r6, sql_share, sql_tokens, table
+from quarrylens.operators.validation import DECLINE_MESSAGE
+from quarrylens.plans.answer_queries import SQL_BEST_SENTENCE
 from quarrylens.plans.retrieval_queries import bm25_hits, sql_bm25
 from quarrylens.session import shared_dir
 from quarrylens.sources.tables import read_jsonl, write_jsonl
@@ -80,11 +82,11 @@ def gate_verdict(spark: SparkSession, root: str) -> DataFrame:
     return verdict.select(r6("avg_faithfulness").alias("avg_faithfulness"), "threshold", F.array_join("failures", ",").alias("failures"), "passed")
 
 
-def _answer_pairs(spark: SparkSession, root: str) -> DataFrame:
+def _answer_pairs(spark: SparkSession, root: str, k: int = 5) -> DataFrame:
     """Every benchmark text with the contents retrieved for it."""
     asked = table(spark, root, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     docs = documents(spark, root).select("doc_id", F.col("text").alias("content"))
-    return bm25_hits(spark, root, 5).join(asked, "query_id").join(docs, "doc_id")
+    return bm25_hits(spark, root, k).join(asked, "query_id").join(docs, "doc_id")
 
 
 _SQL_PAIRS = f"""{sql_bm25(5)},
@@ -116,10 +118,19 @@ def context_precision(spark: SparkSession, root: str) -> DataFrame:
     return out.select("query_id", r6("context_precision").alias("context_precision"))
 
 
-@query("triplet_eval")
+@query(
+    "triplet_eval",
+    f"""WITH {sql_bm25(1)}, {SQL_BEST_SENTENCE},
+    made AS (SELECT query_id, doc_id, q.text query, q.t qt, d.toks ct, b.answer, b.score, coalesce(b.score, 0) >= 0.3 live
+      FROM sparse JOIN toks d USING (doc_id) JOIN (SELECT item_id query_id, text, {sql_tokens('text')} t FROM benchmark) q USING (query_id) LEFT JOIN best b USING (query_id))
+    SELECT query_id response_id, query, query ground_truth, CASE WHEN coalesce(score, 0) > 0 THEN answer ELSE '{DECLINE_MESSAGE}' END generated_answer,
+      NOT live is_decline, round(coalesce(score, 0), 6) confidence, CASE WHEN live THEN round({sql_share(sql_tokens('answer'), 'ct')}, 6) END faithfulness,
+      CASE WHEN live THEN round({sql_share('qt', 'ct')}, 6) END context_recall, CASE WHEN live THEN ({sql_share('qt', 'ct')} >= 0.5)::INT::DOUBLE END context_precision,
+      doc_id::VARCHAR doc_id, 'unknown' category, 'unknown' difficulty, NULL::VARCHAR error FROM made""",
+)
 def triplet_eval(spark: SparkSession, root: str) -> DataFrame:
     """Benchmark texts as golden queries over their best documents."""
-    best = _answer_pairs(spark, root).filter(F.col("rank") == 1)
+    best = _answer_pairs(spark, root, 1)
     triplets = best.select(
         F.col("query_id").alias("response_id"), "query", F.col("content").alias("context"), F.col("query").alias("ground_truth"), "doc_id"
     )
@@ -260,11 +271,35 @@ def model_compare(spark: SparkSession, root: str) -> DataFrame:
     return out.select(r6("accuracy_delta").alias("accuracy_delta"), r6("json_rate_delta").alias("json_rate_delta"), "improved", "n_samples")
 
 
-@query("synthetic_pairs")
+def _sql_draw(salt: str, n: int) -> str:
+    return f"(('0x' || substr(md5('42:' || o_orderkey || ':{salt}'), 1, 13))::BIGINT % {n})"
+
+
+def _sql_at(values: tuple, index: str) -> str:
+    spelled = ("NULL" if v is None else str(v).lower() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'" for v in values)
+    return f"[{', '.join(spelled)}][{index} + 1]"
+
+
+_ISSUE = [_sql_at(tuple(row[i] for row in S.ISSUES), "issue") for i in range(6)]
+_SQL_LOG = _sql_at(S.LOG_TEMPLATES, "issue")
+for _slot, _value in (("sid", "sid"), ("oid", "oid"), ("amt", "amt::VARCHAR"), ("agent", "agent"), ("hint", "lower(prio)")):
+    _SQL_LOG = f"replace({_SQL_LOG}, '{{{_slot}}}', {_value})"
+
+
+@query(
+    "synthetic_pairs",
+    f"""WITH d AS (SELECT o_orderkey, {_sql_draw('issue', len(S.ISSUES))} issue, {_sql_at(S.PRIORITIES, _sql_draw('priority', len(S.PRIORITIES)))} prio,
+      ({_sql_draw('supplier', 90000)} + 10000)::VARCHAR sid, 'MO-' || ({_sql_draw('order', 9000000)} + 1000000) oid, {_sql_draw('amount', 4951)} + 50 amt,
+      {_sql_at(S.AGENTS, _sql_draw('agent', len(S.AGENTS)))} agent FROM orders)
+    SELECT o_orderkey, {_SQL_LOG} log, 'TKT-' || (o_orderkey + 1000) ticket_id, {_ISSUE[0]} issue_type, CASE WHEN {_ISSUE[4]} THEN oid END order_id,
+      amt::DOUBLE amount_disputed, coalesce({_ISSUE[3]}, prio) priority, CASE WHEN {_ISSUE[5]} THEN agent END assigned_agent, {_ISSUE[2]}::BOOLEAN item_returned FROM d""",
+)
 def synthetic_pairs(spark: SparkSession, root: str) -> DataFrame:
     """A support log and ticket for every order."""
     rows = S.synthetic_pairs(table(spark, root, "orders"), "o_orderkey")
-    return rows.select("o_orderkey", "log", S.ticket_to_json(F.col("ticket")).alias("ticket"))
+    fields = ("ticket_id", "issue_type", "order_id", "amount_disputed", "priority", "assigned_agent", "item_returned")
+    read_back = F.from_json(S.ticket_to_json(F.col("ticket")), S.TICKET_DDL)
+    return rows.select("o_orderkey", "log", read_back.alias("t")).select("o_orderkey", "log", *[f"t.{name}" for name in fields])
 
 
 @query("jsonl_roundtrip", "SELECT doc_id, md5(text) digest, lang FROM documents")

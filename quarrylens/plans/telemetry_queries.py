@@ -285,7 +285,13 @@ def keyword_route(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("doc_id", "keyword", T.route_category(F.col("keyword")).alias("category"))
 
 
-@query("served_answers")
+@query(
+    "served_answers",
+    f"""WITH r AS (SELECT doc_id query_id, text, min_by(word, p) keyword, coalesce(min_by(category, p), 'other') category
+      FROM documents LEFT JOIN (VALUES {_ROUTES}) r(p, word, category) ON contains(lower(text), word) WHERE trim(text) <> '' GROUP BY ALL)
+    SELECT query_id, keyword, category, keyword IS NULL is_decline, 120.0::DOUBLE latency_ms,
+      CASE WHEN keyword IS NULL THEN 0 ELSE round((850 + ('0x' || substr(md5(text), 1, 13))::BIGINT % 100 + 0.25) / 1000::DOUBLE, 2) END::DOUBLE confidence FROM r""",
+)
 def served_answers(spark: SparkSession, root: str) -> DataFrame:
     return T.served_answers(documents(spark, root), "doc_id", "text").drop("query")
 

@@ -9,6 +9,7 @@ from quarrylens.functions.text import point_id, token_count, tokenize, strip
 from quarrylens.operators import blocks as B
 from quarrylens.operators import chunking as C
 from quarrylens.operators.html import explode_pages, first_heading
+from quarrylens.sources.tables import spread
 from quarrylens.plans.catalog import documents, long, query, sql_strip, sql_token_count, sql_tokens, table
 
 # The texts have no headings or lists.  For the block queries a line that opens
@@ -231,25 +232,95 @@ def greedy_merge(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("doc_id", long("chunk_pos").alias("chunk_pos"), long(F.length("t")).alias("n_chars"))
 
 
-@query("recursive_chunks")
+def _sql_level(level: int, source: str, cond: str, sep: str, weight: str, fits: str, swallow: bool = True) -> str:
+    """One pass of the cascade: pieces of ``source`` meeting ``cond`` are cut
+    at ``sep`` and packed greedily, the others pass.  Pieces are (k, ord, p).
+    ``swallow`` skips empty parts at the start of a pack."""
+    start = "CASE WHEN w <> '' THEN i END" if swallow else "i"
+    return f"""
+p{level} AS (
+  SELECT k, ord, unnest(string_split(p, {sep})) w, generate_subscripts(string_split(p, {sep}), 1) i FROM {source} WHERE {cond}),
+s{level} AS (
+  SELECT k, ord, i, {weight} wt, sum({weight}) OVER x s, max(i) OVER (PARTITION BY k, ord) n,
+    min({start}) OVER (PARTITION BY k, ord ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) nxt
+  FROM p{level} WINDOW x AS (PARTITION BY k, ord ORDER BY i)),
+c{level}(k, ord, lo, hi, n) AS (
+  SELECT k, ord, 0::BIGINT, 0::BIGINT, max(n) FROM s{level} GROUP BY k, ord
+  UNION ALL
+  SELECT c.k, c.ord, b.i, max(e.i), c.n FROM c{level} c JOIN s{level} a ON a.k = c.k AND a.ord = c.ord AND a.i = c.hi + 1
+    JOIN s{level} b ON b.k = a.k AND b.ord = a.ord AND b.i = a.nxt
+    JOIN s{level} e ON e.k = a.k AND e.ord = a.ord AND e.i >= b.i AND (e.i = b.i OR {fits})
+  WHERE c.hi < c.n GROUP BY c.k, c.ord, b.i, c.n),
+o{level} AS (
+  SELECT k, ord, p FROM {source} WHERE NOT ({cond})
+  UNION ALL
+  SELECT c.k, list_append(c.ord, c.lo) ord, string_agg(w, {sep} ORDER BY p.i) FROM c{level} c JOIN p{level} p ON p.k = c.k AND p.ord = c.ord AND p.i BETWEEN c.lo AND c.hi
+  WHERE c.lo > 0 GROUP BY c.k, c.ord, c.lo)"""
+
+
+def _sql_cascade(source: str) -> str:
+    """All separators, then words.  The result is ``pieces`` (k, pos, p)."""
+    seps = ["chr(10) || chr(10)", "chr(10)", "'. '", "'! '", "'? '", "' '"]
+    gaps = [2, 1, 2, 2, 2, 1]
+    big = "(length(p) // 4 + 1 > 800)"
+    levels, last = [], source
+    for n, (sep, gap) in enumerate(zip(seps, gaps)):
+        fits = f"(e.s - b.s + b.wt - {gap}) // 4 + 1 <= 600"
+        levels.append(_sql_level(n, last, f"{big} AND contains(p, {sep})", sep, f"(length(w) + {gap})", fits))
+        last = f"o{n}"
+    levels.append(_sql_level(6, last, big, "' '", "((length(w) + 1) // 4 + 1)", "e.s - b.s + b.wt <= 600", swallow=False))
+    levels.append(f"""
+pieces AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY ord) - 1 pos, q.p p FROM (SELECT k, ord, {sql_strip('p')} p FROM o6) q WHERE q.p <> '')""")
+    return ",".join(levels)
+
+
+@query(
+    "recursive_chunks",
+    f"""WITH RECURSIVE src AS (SELECT doc_id k, []::BIGINT[] ord, text p FROM documents), {_sql_cascade('src')}
+    SELECT k doc_id, pos::BIGINT chunk_pos, {sql_token_count('p')}::BIGINT token_count, md5(p) digest FROM pieces""",
+)
 def recursive_chunks(spark: SparkSession, root: str) -> DataFrame:
-    rows = documents(spark, root).select("doc_id", F.posexplode(C.recursive_split(F.col("text"))).alias("chunk_pos", "t"))
-    return rows.select("doc_id", long("chunk_pos").alias("chunk_pos"), long(token_count(F.col("t"))).alias("token_count"))
+    rows = documents(spark, root).select("doc_id", F.posexplode(C.recursive_split(strip(F.col("text")))).alias("chunk_pos", "t"))
+    return rows.select(
+        "doc_id", long("chunk_pos").alias("chunk_pos"), long(token_count(F.col("t"))).alias("token_count"), F.md5(F.encode("t", "UTF-8")).alias("digest")
+    )
 
 
 def semantic_chunk_rows(spark: SparkSession, root: str) -> DataFrame:
     return C.chunk_documents(documents(spark, root), "doc_id", B.text_blocks(marked(F.col("text")), every_line=True))
 
 
-@query("semantic_chunks")
+_SQL_CHUNKS = f"""WITH RECURSIVE {_sql_lines(_SQL_MARKED)}, typed AS (SELECT *, {_SQL_TYPE} t FROM paras),
+blocks AS (SELECT *, last_value(CASE WHEN t = 'heading' THEN p END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) s FROM typed),
+src AS (SELECT {{'d': doc_id, 'b': pos}} k, []::BIGINT[] ord, p FROM blocks), {_sql_cascade('src')},
+chunks AS (
+  SELECT b.doc_id, b.pos block_index, c.pos chunk_index, count(*) OVER (PARTITION BY k) total, t, s, c.p p FROM pieces c JOIN blocks b ON b.doc_id = k.d AND b.pos = k.b),
+flagged AS (
+  SELECT *, coalesce(t IN ('prose', 'list_item') AND lag(t) OVER w IN ('prose', 'list_item') AND s IS NOT DISTINCT FROM lag(s) OVER w
+    AND (length(string_split(lag(p) OVER w, ' ')[-1]) + 1) // 4 + 1 <= 100, false) has_overlap
+  FROM chunks WINDOW w AS (PARTITION BY doc_id ORDER BY block_index, chunk_index))"""
+
+
+@query(
+    "semantic_chunks",
+    f"""{_SQL_CHUNKS} SELECT doc_id || '::' || block_index || '::' || chunk_index chunk_id, md5(p) digest, s section_header, t content_type, total::BIGINT total_chunks,
+      has_overlap, {sql_token_count('p')}::BIGINT token_count FROM flagged""",
+)
 def semantic_chunks(spark: SparkSession, root: str) -> DataFrame:
-    return semantic_chunk_rows(spark, root).drop("ingested_at")
+    return semantic_chunk_rows(spark, root).select(
+        "chunk_id", F.md5(F.encode("content", "UTF-8")).alias("digest"), "section_header", "content_type", long("total_chunks").alias("total_chunks"),
+        "has_overlap", long("token_count").alias("token_count"),
+    )
 
 
-@query("chunk_struct")
+@query(
+    "chunk_struct",
+    f"""{_SQL_CHUNKS} SELECT doc_id || '::' || block_index || '::' || chunk_index chunk_id, p content, doc_id::VARCHAR doc_id, 'pdf' doc_type, t content_type,
+      {sql_token_count('p')}::BIGINT token_count FROM flagged""",
+)
 def chunk_struct(spark: SparkSession, root: str) -> DataFrame:
     nested = semantic_chunk_rows(spark, root).select(C.chunk_record().alias("r"))
-    return nested.select("r.chunk_id", "r.content", "r.metadata.doc_id", "r.metadata.content_type", "r.metadata.token_count")
+    return nested.select("r.chunk_id", "r.content", "r.metadata.doc_id", "r.metadata.doc_type", "r.metadata.content_type", long("r.metadata.token_count").alias("token_count"))
 
 
 @query(
@@ -305,6 +376,4 @@ def html_h1(spark: SparkSession, root: str) -> DataFrame:
 
 @query("html_blocks")
 def html_blocks(spark: SparkSession, root: str) -> DataFrame:
-    from quarrylens.sources.tables import spread
-
     return explode_pages(spread(table(spark, root, "pages")), "page_id", "html")
