@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarrylens.functions.text import overlap_share, tokenize
 from quarrylens.operators.dense import dense_topk
 from quarrylens.operators.ranking import settle, top_k
+from quarrylens.operators.sizing import fetch_by_key
 from quarrylens.operators.sparse_index import SparseIndex
 
 # Fixed values -------------------------------------------------------------
@@ -75,10 +76,10 @@ def rerank(
     """Re-score fused candidates and keep ``k``, ties in candidate order.
 
     ``queries`` has (query_id, query), ``docs`` (doc_id, content).  Contents
-    are fetched for the candidates only.
+    are fetched for the candidates only, by a scan when these are few.
     """
     score = get_scorer(scorer) if isinstance(scorer, str) else scorer
-    rows = candidates.withColumnRenamed("rank", "fused_rank").join(queries, "query_id").join(docs, "doc_id")
+    rows = fetch_by_key(candidates.withColumnRenamed("rank", "fused_rank").join(queries, "query_id"), docs, "doc_id")
     scored = rows.withColumn("rerank_score", score(F.col("query"), F.col("content")).cast("double"))
     best = top_k(scored, ["query_id"], [F.desc(settle(F.col("rerank_score"))), F.asc("fused_rank")], k)
     return best.drop("query")
@@ -97,12 +98,12 @@ def hybrid_search(
 ) -> DataFrame:
     """Dense and sparse retrieval, fusion and rerank as one plan.
 
-    ``vectors`` has (vec_id, embedding) with vec_id a document id.
+    ``vectors`` has (vec_id, embedding), vec_id being the id of an indexed
+    document.
     """
     asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_text).alias("query"))
     docs = index.docs.select(F.col(index.doc_id).alias("doc_id"), F.col(index.text).alias("content"))
-    known = vectors.join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
-    dense = dense_topk(known, query_vectors, top_k_retrieve).withColumnRenamed("vec_id", "doc_id")
+    dense = dense_topk(vectors, query_vectors, top_k_retrieve).withColumnRenamed("vec_id", "doc_id")
     sparse = index.search(queries, query_id, query_text, top_k_retrieve)
     fused = rrf_fuse(dense, sparse, top_k_retrieve)
     return rerank(fused, asked, docs, top_k_rerank, scorer)
@@ -112,7 +113,9 @@ def retrieved_projection(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """Typed hit rows: metadata fetched late, defaults for what is missing."""
     columns = set(chunks.columns)
     meta = lambda name, kind: (F.col(f"c.{name}") if name in columns else F.lit(None)).cast(kind)
-    joined = hits.alias("h").join(chunks.alias("c"), F.col("h.doc_id") == F.col("c.doc_id"), "left")
+    own = [c for c in chunks.columns if c != "doc_id"]
+    fetched = fetch_by_key(hits, chunks.select("doc_id", F.struct(*own).alias("c")), "doc_id", "left")
+    joined = fetched.select("c", F.struct(*hits.columns).alias("h"))
     score = F.col("h.score") if "score" in hits.columns else F.lit(0.0)
     return joined.select(
         F.col("h.query_id").alias("query_id"),

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylens.operators.sizing import settle_small_side
+
 SKETCH_ACCURACY = 10_000
 # The sketch errs by at most one part in its accuracy; three are allowed for.
 BRACKET = 3 / SKETCH_ACCURACY
@@ -107,7 +109,9 @@ def values_at_ranks(df: DataFrame, keys: list[str], value: str, targets: dict[st
 def _with_group(rows: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
     """Attach the bracket row of its group to each row."""
     if keys:
-        return rows.join(brackets, keys)
+        # One row per group: measured, then shipped to the rows if small.
+        side, small = settle_small_side(brackets)
+        return rows.join(F.broadcast(side) if small else side, keys)
     only = brackets.first()
     bracket = F.array(
         *[

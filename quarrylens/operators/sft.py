@@ -184,12 +184,22 @@ def ticket_scores(rows: DataFrame, predicted: str, truth: str) -> DataFrame:
     variant = strict_json(F.col(predicted))
     parsed = rows.withColumn("__v", variant)
     is_object = F.coalesce(F.startswith(F.schema_of_variant("__v"), F.lit("OBJECT")), F.lit(False))
-    field = lambda name: F.try_variant_get("__v", f"$.{name}", "string")
+
+    def same(name: str) -> Column:
+        """Equal as JSON values: null or absent equals null, a number no text."""
+        kind = F.schema_of_variant(F.try_variant_get("__v", f"$.{name}", "variant"))
+        value = F.try_variant_get("__v", f"$.{name}", "string")
+        return (
+            F.when(kind.isNull() | (kind == "VOID"), true(name).isNull())
+            .when(kind == "STRING", F.coalesce(value == true(name), F.lit(False)))
+            .otherwise(False)
+        )
+
     # A number given as text still counts as a number; other text does not.
     amount = F.expr("try_cast(try_variant_get(__v, '$.amount_disputed', 'string') AS double)")
     true = lambda name: F.col(f"{truth}.{name}")
     correct = [
-        (amount_close(amount, true(name)) if name == "amount_disputed" else field(name).eqNullSafe(true(name))).cast("int")
+        (amount_close(amount, true(name)) if name == "amount_disputed" else same(name)).cast("int")
         for name in REQUIRED_FIELDS
     ]
     total = correct[0]
@@ -201,7 +211,7 @@ def ticket_scores(rows: DataFrame, predicted: str, truth: str) -> DataFrame:
         *rows.columns,
         "json_valid",
         F.when(ok, total).otherwise(0).alias("n_correct"),
-        F.when(ok, field("issue_type").eqNullSafe(true("issue_type"))).otherwise(False).alias("issue_type_correct"),
+        F.when(ok, same("issue_type")).otherwise(False).alias("issue_type_correct"),
         F.when(ok, amount_match(amount, true("amount_disputed"))).otherwise(False).alias("amount_correct"),
     )
     return scored.withColumn("field_accuracy", F.col("n_correct") / len(REQUIRED_FIELDS))

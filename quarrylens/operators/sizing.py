@@ -14,6 +14,23 @@ from quarrylens.session import shared_dir
 BROADCAST_ROWS = 500_000
 
 
+def fetch_by_key(few: DataFrame, many: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Columns of a large table for a small set of keys.
+
+    When the small side is measured small it is broadcast and the large table
+    is only scanned; otherwise the two meet in a shuffle join.
+    """
+    side, small = settle_small_side(few)
+    if not small:
+        return side.join(many, key, how)
+    if how == "inner":
+        return many.join(F.broadcast(side), key)
+    # A side cannot be broadcast when its own unmatched rows must be kept, so
+    # the large table is cut to the matching rows first.
+    found = many.join(F.broadcast(side.select(key).distinct()), key, "left_semi")
+    return side.join(found, key, how)
+
+
 def settle_small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Compute ``df`` once and say whether it may be broadcast.
 

@@ -273,7 +273,7 @@ def session_stats(log: DataFrame, session: str, ts: str) -> DataFrame:
         log,
         keys=[session],
         order=ts,
-        bucket=F.date_trunc("day", F.col(ts)),
+        bucket=F.date_trunc("hour", F.col(ts)),
         sums={
             "queries": F.lit(1),
             "declined": declined,

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from quarrylens.functions.json import strict_json
 from quarrylens.operators import prompt as P
 from quarrylens.operators import validation as V
+from quarrylens.operators.sizing import fetch_by_key
 from quarrylens.plans.catalog import documents, long, query, r6, sql_normalize, sql_share, sql_strip, sql_tokens, table
 from quarrylens.plans.retrieval_queries import bm25_hits, chunk_view, sql_bm25
 
 
 def retrieved(spark: SparkSession, root: str, k: int = 5) -> DataFrame:
     """The best documents of every benchmark item, as prompt chunks."""
-    return bm25_hits(spark, root, k).join(chunk_view(spark, root), "doc_id").withColumn("page_number", F.lit(1))
+    return fetch_by_key(bm25_hits(spark, root, k), chunk_view(spark, root), "doc_id").withColumn("page_number", F.lit(1))
 
 
 def asked(spark: SparkSession, root: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarrylens.operators import evaluation as E
 from quarrylens.operators import sft as S
 from quarrylens.plans.catalog import documents, long, query, r6, sql_share, sql_tokens, table
+from quarrylens.operators.sizing import fetch_by_key
 from quarrylens.operators.validation import DECLINE_MESSAGE
 from quarrylens.plans.answer_queries import SQL_BEST_SENTENCE
 from quarrylens.plans.retrieval_queries import bm25_hits, sql_bm25
@@ -86,7 +87,7 @@ def _answer_pairs(spark: SparkSession, root: str, k: int = 5) -> DataFrame:
     """Every benchmark text with the contents retrieved for it."""
     asked = table(spark, root, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     docs = documents(spark, root).select("doc_id", F.col("text").alias("content"))
-    return bm25_hits(spark, root, k).join(asked, "query_id").join(docs, "doc_id")
+    return fetch_by_key(bm25_hits(spark, root, k).join(asked, "query_id"), docs, "doc_id")
 
 
 _SQL_PAIRS = f"""{sql_bm25(5)},

@@ -76,6 +76,12 @@ def bm25_hits(spark: SparkSession, root: str, k: int = 25) -> DataFrame:
     return build_index(spark, root).search(table(spark, root, "benchmark"), "item_id", "text", k)
 
 
+def corpus_vectors(spark: SparkSession, root: str) -> DataFrame:
+    """Vectors whose id is a document: the two tables share only some ids."""
+    ids = table(spark, root, "documents").select(F.col("doc_id").alias("vec_id"))
+    return table(spark, root, "embeddings").join(ids, "vec_id", "left_semi")
+
+
 def query_vectors(spark: SparkSession, root: str) -> DataFrame:
     """The vector of every benchmark item: the collection row of its id."""
     items = table(spark, root, "benchmark").select(F.col("item_id").alias("vec_id"))
@@ -165,10 +171,7 @@ def embed_normalize(spark: SparkSession, root: str) -> DataFrame:
 
 @query("rrf_fuse", f"WITH {SQL_FUSED} SELECT query_id, rank, doc_id, dense_rank, bm25_rank, round(rrf_score, 6) rrf_score FROM ranked")
 def rrf_fuse(spark: SparkSession, root: str) -> DataFrame:
-    known = table(spark, root, "embeddings").join(
-        documents(spark, root).select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi"
-    )
-    dense = dense_search(known, query_vectors(spark, root)).withColumnRenamed("vec_id", "doc_id")
+    dense = dense_search(corpus_vectors(spark, root), query_vectors(spark, root)).withColumnRenamed("vec_id", "doc_id")
     fused = fusion.rrf_fuse(dense, bm25_hits(spark, root))
     return fused.select(
         "query_id", long("rank").alias("rank"), "doc_id", long("dense_rank").alias("dense_rank"),
@@ -190,7 +193,7 @@ def rerank_lexical(spark: SparkSession, root: str) -> DataFrame:
 def hybrid_hits(spark: SparkSession, root: str) -> DataFrame:
     return fusion.hybrid_search(
         build_index(spark, root), table(spark, root, "benchmark"), "item_id", "text",
-        table(spark, root, "embeddings"), query_vectors(spark, root),
+        corpus_vectors(spark, root), query_vectors(spark, root),
     )
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.operators import percentiles as P
 from quarrylens.operators import telemetry as T
+from quarrylens.operators.sizing import fetch_by_key
 from quarrylens.plans.catalog import documents, long, query, r6, table
 from quarrylens.plans.retrieval_queries import bm25_hits, chunk_view, sql_bm25
 
@@ -231,7 +232,7 @@ def span_rollup(spark: SparkSession, root: str) -> DataFrame:
 )
 def span_outputs(spark: SparkSession, root: str) -> DataFrame:
     hits = bm25_hits(spark, root, 5).withColumnRenamed("score", "rerank_score")
-    rows = hits.join(chunk_view(spark, root).select("doc_id", "chunk_id", "content_type"), "doc_id")
+    rows = fetch_by_key(hits, chunk_view(spark, root).select("doc_id", "chunk_id", "content_type"), "doc_id")
     out = T.span_outputs(rows)
     return out.select(
         "query_id", "num_chunks", F.array_join("chunk_ids", ",").alias("chunk_ids"),
@@ -260,7 +261,7 @@ def telemetry_rows(spark: SparkSession, root: str) -> DataFrame:
         F.length("text").alias("input_tokens"), F.lit(None).cast("int").alias("output_tokens"),
         F.col("quality").cast("double").alias("confidence"), (F.col("toxic") == 1).alias("is_decline"), F.col("quality").alias("num_citations"),
     )
-    hits = bm25_hits(spark, root, 5).join(documents(spark, root).select("doc_id", "lang"), "doc_id")
+    hits = fetch_by_key(bm25_hits(spark, root, 5), documents(spark, root).select("doc_id", "lang"), "doc_id")
     chunks = hits.select(
         "query_id", "rank", F.col("score").alias("rerank_score"), F.col("lang").alias("content_type"), (F.col("score") / 16).alias("retrieval_latency_ms")
     )
