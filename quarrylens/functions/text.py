@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 STRIPPED_PUNCTUATION = "!\"#$&'()*+,-./:;<=>?@[\\]^_`{|}~"
 # Unicode white space as a string splitter sees it, file separators included.
 WHITESPACE_CLASS = r"(?U)[\s\x1c-\x1f]"
+# The same characters one by one, for trimming.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 # The DNS name space of version-5 identifiers.
 NAMESPACE_DNS_HEX = "6ba7b8109dad11d180b400c04fd430c8"
 # --------------------------------------------------------------------------
@@ -24,7 +29,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(text: Column) -> Column:
     """Trim every kind of white space on both ends, not only blanks."""
-    return F.regexp_replace(text, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    return F.btrim(text, F.lit(WHITESPACE))
 
 
 def tokenize(text: Column) -> Column:

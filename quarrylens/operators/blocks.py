@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.functions.text import let, strip
 from quarrylens.operators.running import running_aggregates
+from quarrylens.operators.unfold import unfold
 
 # Fixed values -------------------------------------------------------------
 HEADING_MAX_CHARS = 120
@@ -86,7 +87,7 @@ def carry_sections(blocks: Column) -> Column:
 
 
 def explode_blocks(df: DataFrame, doc_id: str, blocks: Column) -> DataFrame:
-    return df.select(F.col(doc_id).alias("doc_id"), F.explode(blocks).alias("b")).select("doc_id", "b.*")
+    return unfold(df, [F.col(doc_id).alias("doc_id")], blocks, "b").select("doc_id", "b.*")
 
 
 def block_record(row_prefix: str = "", doc_type: str = "pdf") -> Column:

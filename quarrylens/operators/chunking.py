@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.functions.text import let, strip, token_count, word_weight
 from quarrylens.operators.blocks import clean_cell, parse_markdown_table, serialize_table
+from quarrylens.operators.unfold import unfold
 
 # Fixed values -------------------------------------------------------------
 SEPARATORS = ("\n\n", "\n", ". ", "! ", "? ", " ")
@@ -228,12 +229,15 @@ def table_split(text: Column, max_tokens: int = ChunkConfig.table_max_tokens) ->
 
 
 def overlap_tail(text: Column, budget: int = ChunkConfig.overlap_tokens, sentinel: str = OVERLAP_SENTINEL) -> Column:
-    """Last words of a text whose weights stay within the budget."""
+    """Last words of a text whose weights stay within the budget.
+
+    A word and its blank weigh more than a quarter of their characters, so no
+    tail within the budget is longer than four times the budget: only that end
+    of the text is cut into words.  A word cut by this limit never fits.
+    """
 
     def tail(words: Column) -> Column:
-        # A word weighs at least one token: no more than ``budget`` words fit.
-        # Longer tails need not be looked at, whatever the text length.
-        near = F.reverse(F.slice(words, -F.least(F.size(words), F.lit(budget)), F.least(F.size(words), F.lit(budget))))
+        near = F.reverse(words)
         zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("held"), F.lit(True).alias("open"))
 
         def step(s: Column, word: Column) -> Column:
@@ -248,8 +252,8 @@ def overlap_tail(text: Column, budget: int = ChunkConfig.overlap_tokens, sentine
         taken = F.aggregate(near, zero, step, lambda s: s["n"])
         return let(taken, lambda n: F.when(n > 0, F.array_join(F.slice(words, F.size(words) - n + 1, n), " ")).otherwise(""))
 
-    clean = F.element_at(F.split(text, _literal_pattern(sentinel)), -1)
-    return let(F.split(clean, " "), tail)
+    clean = F.substring_index(text, sentinel, -1)
+    return let(F.split(F.right(clean, F.lit(4 * budget + 2)), " "), tail)
 
 
 def strip_overlap(text: Column, sentinel: str = OVERLAP_SENTINEL) -> Column:
@@ -333,7 +337,7 @@ def chunk_documents(df: DataFrame, doc_id: str, blocks: Column, config: ChunkCon
     doc = F.col(doc_id).cast("string")
     has_overlap = F.contains(F.col("content_with_overlap"), F.lit(config.sentinel))
     content = strip_overlap(F.col("content_with_overlap"), config.sentinel)
-    rows = df.select(doc.alias("doc_id"), F.explode(chunk_array(blocks, config)).alias("c")).select("doc_id", "c.*")
+    rows = unfold(df, [doc.alias("doc_id")], chunk_array(blocks, config), "c").select("doc_id", "c.*")
     return rows.select(
         F.concat_ws("::", "doc_id", "block_index", "chunk_index").alias("chunk_id"),
         content.alias("content"),

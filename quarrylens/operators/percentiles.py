@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from quarrylens.operators.sizing import settle_small_side
 
 SKETCH_ACCURACY = 10_000
-# The sketch errs by at most one part in its accuracy; three are allowed for.
-BRACKET = 3 / SKETCH_ACCURACY
+# The sketch errs by at most one part in its accuracy; five are allowed for.
+BRACKET = 5 / SKETCH_ACCURACY
 # Groups up to this size are bracketed by their minimum and maximum.
 SMALL_GROUP = 20_000
 
@@ -100,9 +100,9 @@ def values_at_ranks(df: DataFrame, keys: list[str], value: str, targets: dict[st
             F.col("reached") >= F.col("rank"), F.col("value")
         ),
     )
-    out = [
-        F.min(F.when(F.col("target") == i, F.col("hit"))).alias(name) for i, name in enumerate(targets)
-    ]
+    found = lambda i: F.min(F.when(F.col("target") == i, F.col("hit")))
+    missed = F.raise_error(F.lit("percentile bracket ended below the rank"))
+    out = [F.coalesce(found(i), missed.cast("double")).alias(name) for i, name in enumerate(targets)]
     return hit.groupBy(*keys).agg(F.max("n").alias("n"), *out)
 
 

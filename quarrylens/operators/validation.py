@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.functions.json import strict_json
 from quarrylens.functions.text import let, normalize_ws, overlap_share, strip, tokenize
+from quarrylens.operators.unfold import unfold
 
 # Fixed values -------------------------------------------------------------
 MIN_QUOTE_CHARS = 10
@@ -110,13 +111,14 @@ def citation_verdicts(citations: DataFrame, pool: DataFrame, min_chars: int = MI
     ``citations``: response_id, position, chunk_id, quote.  The join key holds
     the response, so a chunk cited everywhere is no hot key.
     """
-    known = content_lookup(pool).withColumn("found", F.lit(True))
+    # Contents are normalized once per chunk, not once per citation.
+    known = content_lookup(pool).select("response_id", "chunk_id", normalize_ws(F.col("content")).alias("normal"), F.lit(True).alias("found"))
     joined = citations.join(known, ["response_id", "chunk_id"], "left")
     quote = strip(F.col("quote"))
     verdict = (
         F.when(F.col("found").isNull(), "unknown_chunk")
         .when(F.length(quote) < min_chars, "too_short")
-        .when(~F.contains(normalize_ws(F.col("content")), normalize_ws(quote)), "not_verbatim")
+        .when(~F.contains(F.col("normal"), normalize_ws(quote)), "not_verbatim")
         .otherwise("valid")
     )
     return joined.withColumn("verdict", verdict).select(*citations.columns, "verdict")
@@ -127,9 +129,7 @@ def enforce_citations(responses: DataFrame, pool: DataFrame, strict: bool = Fals
 
     Strict mode fails the job on the first invalid citation instead.
     """
-    cited = responses.filter(~F.col("is_decline")).select(
-        "response_id", F.posexplode("citations").alias("position", "citation")
-    )
+    cited = unfold(responses.filter(~F.col("is_decline")), ["response_id"], F.col("citations"), "citation", "position")
     rows = cited.select(
         "response_id", "position", "citation.chunk_id", F.col("citation.exact_quote_context").alias("quote"), "citation"
     )
@@ -211,7 +211,7 @@ def parse_responses(raw: DataFrame, pool: DataFrame) -> DataFrame:
     )
     get = lambda key, kind: F.try_variant_get("v", f"$.{key}", kind)
     # A citation is kept as the variant it is; the list is one row's own.
-    cites = parsed.select("response_id", F.posexplode(get("citations", "array<variant>")).alias("position", "raw"))
+    cites = unfold(parsed, ["response_id"], get("citations", "array<variant>"), "raw", "position")
     filled = enrich_citations(cites, pool)
     per_response = filled.groupBy("response_id").agg(
         F.array_sort(F.collect_list(F.struct("position", F.struct("chunk_id", "doc_id", "section_header", "page_number", "content_type", "exact_quote_context").alias("c")))).alias("__c")

@@ -9,6 +9,7 @@ from quarrylens.functions.json import strict_json
 from quarrylens.operators import prompt as P
 from quarrylens.operators import validation as V
 from quarrylens.operators.sizing import fetch_by_key
+from quarrylens.operators.unfold import unfold
 from quarrylens.plans.catalog import documents, long, query, r6, sql_normalize, sql_share, sql_strip, sql_tokens, table
 from quarrylens.plans.retrieval_queries import bm25_hits, chunk_view, sql_bm25
 
@@ -138,7 +139,7 @@ judged AS (
 
 @query("citation_verdict", f"WITH {_SQL_CITED} SELECT response_id, (row_number() OVER (PARTITION BY response_id ORDER BY p) - 1)::BIGINT AS position, verdict FROM judged")
 def citation_verdict(spark: SparkSession, root: str) -> DataFrame:
-    rows = _responses(spark, root).select("response_id", F.posexplode("citations").alias("position", "c"))
+    rows = unfold(_responses(spark, root), ["response_id"], F.col("citations"), "c", "position")
     cites = rows.select("response_id", "position", "c.chunk_id", F.col("c.exact_quote_context").alias("quote"))
     judged = V.citation_verdicts(cites, _pool(spark, root).select("response_id", "chunk_id", "content", "position"))
     return judged.select("response_id", long("position").alias("position"), "verdict")
@@ -264,7 +265,7 @@ def _raw_text(spark: SparkSession, root: str) -> DataFrame:
 @query("citation_enrich", "SELECT doc_id response_id, doc_id::VARCHAR || '::0::0' chunk_id, doc_id::VARCHAR doc_id, NULL::VARCHAR section_header, 1::BIGINT page_number, lang content_type, length(substr(text, 1, 40))::BIGINT n_chars FROM documents WHERE lang <> 'de'")
 def citation_enrich(spark: SparkSession, root: str) -> DataFrame:
     parsed = _raw_text(spark, root).select("response_id", strict_json(V.extract_json(F.col("text"))).alias("v"))
-    cites = parsed.select("response_id", F.posexplode(F.try_variant_get("v", "$.citations", "array<variant>")).alias("position", "raw"))
+    cites = unfold(parsed, ["response_id"], F.try_variant_get("v", "$.citations", "array<variant>"), "raw", "position")
     out = V.enrich_citations(cites, _pool(spark, root))
     return out.select(
         "response_id", "chunk_id", "doc_id", "section_header", long("page_number").alias("page_number"), "content_type",

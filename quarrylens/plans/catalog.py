@@ -34,6 +34,11 @@ def documents(spark: SparkSession, root: str) -> DataFrame:
     return spread(read_table(spark, root, "documents"))
 
 
+def rows_of(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A table whose rows are costly to process, dealt out over the cores."""
+    return spread(read_table(spark, root, name))
+
+
 def r6(column: Column | str) -> Column:
     return F.round(F.col(column) if isinstance(column, str) else column, 6)
 

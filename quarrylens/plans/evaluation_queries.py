@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.operators import evaluation as E
 from quarrylens.operators import sft as S
-from quarrylens.plans.catalog import documents, long, query, r6, sql_share, sql_tokens, table
+from quarrylens.plans.catalog import documents, long, query, r6, rows_of, sql_share, sql_tokens, table
 from quarrylens.operators.sizing import fetch_by_key
 from quarrylens.operators.validation import DECLINE_MESSAGE
 from quarrylens.plans.answer_queries import SQL_BEST_SENTENCE
@@ -193,7 +193,7 @@ def sft_split(spark: SparkSession, root: str) -> DataFrame:
 
 def _tickets(spark: SparkSession, root: str) -> DataFrame:
     """Orders as true tickets, and two models' texts predicting them."""
-    orders = table(spark, root, "orders")
+    orders = rows_of(spark, root, "orders")
     truth = F.struct(
         F.col("o_custkey").cast("string").alias("supplier_id"), F.col("o_orderpriority").alias("issue_type"),
         F.when(F.col("o_orderstatus") != "F", F.col("o_orderkey").cast("string")).alias("order_id"),
@@ -297,7 +297,7 @@ for _slot, _value in (("sid", "sid"), ("oid", "oid"), ("amt", "amt::VARCHAR"), (
 )
 def synthetic_pairs(spark: SparkSession, root: str) -> DataFrame:
     """A support log and ticket for every order."""
-    rows = S.synthetic_pairs(table(spark, root, "orders"), "o_orderkey")
+    rows = S.synthetic_pairs(rows_of(spark, root, "orders"), "o_orderkey")
     fields = ("ticket_id", "issue_type", "order_id", "amount_disputed", "priority", "assigned_agent", "item_returned")
     read_back = F.from_json(S.ticket_to_json(F.col("ticket")), S.TICKET_DDL)
     return rows.select("o_orderkey", "log", read_back.alias("t")).select("o_orderkey", "log", *[f"t.{name}" for name in fields])

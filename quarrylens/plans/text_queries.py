@@ -10,6 +10,7 @@ from quarrylens.operators import blocks as B
 from quarrylens.operators import chunking as C
 from quarrylens.operators.html import explode_pages, first_heading
 from quarrylens.sources.tables import spread
+from quarrylens.operators.unfold import unfold
 from quarrylens.plans.catalog import documents, long, query, sql_strip, sql_token_count, sql_tokens, table
 
 # The texts have no headings or lists.  For the block queries a line that opens
@@ -78,13 +79,13 @@ def chunk_uuid(spark: SparkSession, root: str) -> DataFrame:
 )
 def para_split(spark: SparkSession, root: str) -> DataFrame:
     doubled = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
-    rows = documents(spark, root).select("doc_id", F.posexplode(B.paragraphs(doubled)).alias("pos", "p"))
+    rows = unfold(documents(spark, root), ["doc_id"], B.paragraphs(doubled), "p", "pos")
     return rows.select("doc_id", long("pos").alias("pos"), long(F.length("p")).alias("n_chars"))
 
 
 @query("heading_flag", f"WITH {_sql_lines(_SQL_MARKED)} SELECT doc_id, pos::BIGINT pos, {_SQL_HEADING} is_heading FROM paras")
 def heading_flag(spark: SparkSession, root: str) -> DataFrame:
-    rows = documents(spark, root).select("doc_id", F.posexplode(B.paragraphs(marked(F.col("text")), every_line=True)).alias("pos", "p"))
+    rows = unfold(documents(spark, root), ["doc_id"], B.paragraphs(marked(F.col("text")), every_line=True), "p", "pos")
     return rows.select("doc_id", long("pos").alias("pos"), B.is_heading(F.col("p")).alias("is_heading"))
 
 
@@ -188,7 +189,7 @@ SELECT doc_id, 0, length({_SQL_TABLE}) FROM documents WHERE length({_SQL_TABLE})
 @query("table_split", _SQL_TABLE_CUTS)
 def table_split(spark: SparkSession, root: str) -> DataFrame:
     markdown = B.serialize_table(_line_table(F.col("text")))
-    rows = documents(spark, root).select("doc_id", markdown.alias("m")).select("doc_id", F.posexplode(C.table_split(F.col("m"))).alias("chunk_pos", "t"))
+    rows = unfold(documents(spark, root).select("doc_id", markdown.alias("m")), ["doc_id"], C.table_split(F.col("m")), "t", "chunk_pos")
     return rows.select("doc_id", long("chunk_pos").alias("chunk_pos"), long(F.length("t")).alias("n_chars"))
 
 
@@ -215,7 +216,7 @@ FROM cuts WHERE lo > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY lo)"""
     ),
 )
 def hard_split(spark: SparkSession, root: str) -> DataFrame:
-    rows = documents(spark, root).select("doc_id", F.posexplode(C.hard_split(F.col("text"), 600)).alias("chunk_pos", "t"))
+    rows = unfold(documents(spark, root), ["doc_id"], C.hard_split(F.col("text"), 600), "t", "chunk_pos")
     return rows.select("doc_id", long("chunk_pos").alias("chunk_pos"), long(F.length("t")).alias("n_chars"))
 
 
@@ -228,7 +229,7 @@ def hard_split(spark: SparkSession, root: str) -> DataFrame:
 )
 def greedy_merge(spark: SparkSession, root: str) -> DataFrame:
     parts = F.array_remove(F.split(F.col("text"), r"\. "), "")
-    rows = documents(spark, root).select("doc_id", F.posexplode(C.greedy_merge(parts, ". ", 600)).alias("chunk_pos", "t"))
+    rows = unfold(documents(spark, root), ["doc_id"], C.greedy_merge(parts, ". ", 600), "t", "chunk_pos")
     return rows.select("doc_id", long("chunk_pos").alias("chunk_pos"), long(F.length("t")).alias("n_chars"))
 
 
@@ -280,7 +281,7 @@ pieces AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY ord) - 1 pos, q.
     SELECT k doc_id, pos::BIGINT chunk_pos, {sql_token_count('p')}::BIGINT token_count, md5(p) digest FROM pieces""",
 )
 def recursive_chunks(spark: SparkSession, root: str) -> DataFrame:
-    rows = documents(spark, root).select("doc_id", F.posexplode(C.recursive_split(strip(F.col("text")))).alias("chunk_pos", "t"))
+    rows = unfold(documents(spark, root), ["doc_id"], C.recursive_split(strip(F.col("text"))), "t", "chunk_pos")
     return rows.select(
         "doc_id", long("chunk_pos").alias("chunk_pos"), long(token_count(F.col("t"))).alias("token_count"), F.md5(F.encode("t", "UTF-8")).alias("digest")
     )
@@ -338,7 +339,7 @@ def overlap_flags(spark: SparkSession, root: str) -> DataFrame:
     flags = F.transform(
         "bs", lambda b, i: F.coalesce(C.may_overlap(b, F.get(F.col("bs"), i - 1)) & (i > 0), F.lit(False))
     )
-    return rows.select("doc_id", F.posexplode(flags).alias("pos", "eligible")).select("doc_id", long("pos").alias("pos"), "eligible")
+    return unfold(rows, ["doc_id"], flags, "eligible", "pos").select("doc_id", long("pos").alias("pos"), "eligible")
 
 
 @query(
@@ -352,7 +353,7 @@ def overlap_flags(spark: SparkSession, root: str) -> DataFrame:
 )
 def overlap_tail(spark: SparkSession, root: str) -> DataFrame:
     paras = B.paragraphs(F.col("text"), every_line=True)
-    rows = documents(spark, root).select("doc_id", F.posexplode(paras).alias("pos", "p")).select("doc_id", "pos", C.overlap_tail(F.col("p")).alias("t"))
+    rows = unfold(documents(spark, root), ["doc_id"], paras, "p", "pos").select("doc_id", "pos", C.overlap_tail(F.col("p")).alias("t"))
     words = F.when(F.col("t") == "", 0).otherwise(F.size(F.split("t", " ")))
     return rows.select("doc_id", long("pos").alias("pos"), long(words).alias("n_words"), long(F.length("t")).alias("n_chars"))
 
