@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -156,3 +158,33 @@ def gate_verdict(
 def report_text(report: dict) -> str:
     """Fixed-width text of a report row."""
     return "\n".join(f"{name:<30} {value}" for name, value in report.items())
+
+
+# Scorers of (query, answer, context, ground truth) columns, by metric.
+Scorers = dict[str, Callable[[Column, Column, Column, Column], Column]]
+
+LEXICAL_SCORERS: Scorers = {
+    "faithfulness": lambda query, answer, context, truth: lexical_faithfulness(answer, context),
+    "context_recall": lambda query, answer, context, truth: F.when(truth != "", lexical_recall(truth, context)),
+}
+
+
+def score_answers(rows: DataFrame, scorers: Scorers | None = None, enabled: bool = True) -> DataFrame:
+    """Adds one column per metric and ``error``.
+
+    ``rows``: query, answer, context, ground_truth, is_decline.  A decline or a
+    disabled scorer gives nulls and says why; a scorer that fails on a row
+    should return null for it.
+    """
+    scorers = LEXICAL_SCORERS if scorers is None else scorers
+    live = ~F.col("is_decline") & F.lit(enabled)
+    arguments = [F.col(c) for c in ("query", "answer", "context", "ground_truth")]
+    why = F.lit("Scorer disabled") if not enabled else F.when(F.col("is_decline"), "Skipped: decline response")
+    return rows.select(
+        "*", *[F.when(live, scorer(*arguments)).alias(name) for name, scorer in scorers.items()], why.cast("string").alias("error")
+    )
+
+
+def row_json(*columns: str) -> Column:
+    """A row, or some of its columns, as JSON text with null fields."""
+    return F.to_json(F.struct(*(columns or ("*",))), {"ignoreNullFields": "false"})

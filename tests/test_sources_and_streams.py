@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from quarrylens.operators import chunking as C
 from quarrylens.operators import html as H
 from quarrylens.operators import sft as S
 from quarrylens.sources import pdf, tables
@@ -156,3 +157,13 @@ def test_latest_n_state(spark, tmp_path):
         out = Q.latest_n(spark.readStream.schema(LOG).parquet(source), "category", "ts", "total_latency_ms", n=3)
         run(out.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", check))
     assert seen == {"a": (3, 8.0)}
+
+
+def test_pages_to_chunks(spark):
+    page = f"<h1>Top</h1><p>{LONG} first</p><p>{LONG} second</p>"
+    df = spark.createDataFrame([(7, page)], "page_id int, html string").select("page_id", H.html_blocks(F.col("html")).alias("blocks"))
+    rows = C.chunk_documents(df, "page_id", F.col("blocks"), C.ChunkConfig(doc_type="html")).orderBy("block_index").collect()
+    assert [(r.chunk_id, r.content_type, r.section_header, r.has_overlap) for r in rows] == [
+        ("7::0::0", "heading", "Top", False), ("7::1::0", "prose", "Top", False), ("7::2::0", "prose", "Top", True),
+    ]
+    assert rows[2].content_with_overlap == f"{LONG} first{C.OVERLAP_SENTINEL}{LONG} second"
