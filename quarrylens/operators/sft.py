@@ -138,7 +138,7 @@ def synthetic_pairs(ids: DataFrame, ident: str, seed: int = SEED) -> DataFrame:
         below("issue", len(ISSUES)).alias("issue"),
         at(PRIORITIES, below("priority", len(PRIORITIES))).alias("drawn_priority"),
         (below("supplier", 90_000) + 10_000).cast("string").alias("sid"),
-        F.concat(F.lit("MO-"), (below("order", 9_000_000) + 1_000_000).cast("string")).alias("oid"),
+        F.concat(F.lit("ORD-"), (below("order", 9_000_000) + 1_000_000).cast("string")).alias("oid"),
         (below("amount", 4_951) + 50).alias("amt"),
         at(AGENTS, below("agent", len(AGENTS))).alias("agent"),
     )

@@ -290,7 +290,7 @@ for _slot, _value in (("sid", "sid"), ("oid", "oid"), ("amt", "amt::VARCHAR"), (
 @query(
     "synthetic_pairs",
     f"""WITH d AS (SELECT o_orderkey, {_sql_draw('issue', len(S.ISSUES))} issue, {_sql_at(S.PRIORITIES, _sql_draw('priority', len(S.PRIORITIES)))} prio,
-      ({_sql_draw('supplier', 90000)} + 10000)::VARCHAR sid, 'MO-' || ({_sql_draw('order', 9000000)} + 1000000) oid, {_sql_draw('amount', 4951)} + 50 amt,
+      ({_sql_draw('supplier', 90000)} + 10000)::VARCHAR sid, 'ORD-' || ({_sql_draw('order', 9000000)} + 1000000) oid, {_sql_draw('amount', 4951)} + 50 amt,
       {_sql_at(S.AGENTS, _sql_draw('agent', len(S.AGENTS)))} agent FROM orders)
     SELECT o_orderkey, {_SQL_LOG} log, 'TKT-' || (o_orderkey + 1000) ticket_id, {_ISSUE[0]} issue_type, CASE WHEN {_ISSUE[4]} THEN oid END order_id,
       amt::DOUBLE amount_disputed, coalesce({_ISSUE[3]}, prio) priority, CASE WHEN {_ISSUE[5]} THEN agent END assigned_agent, {_ISSUE[2]}::BOOLEAN item_returned FROM d""",

@@ -193,7 +193,7 @@ def test_synthetic_pairs(spark):
     assert sorted(map(str, rows)) == sorted(map(str, again))
     for r in rows:
         assert "{" not in r.log and r.ticket.supplier_id in r.log
-        assert (r.ticket.order_id is None) == ("MO-" not in r.log)
+        assert (r.ticket.order_id is None) == ("ORD-" not in r.log)
     assert {r.ticket.issue_type for r in rows} == {issue[0] for issue in S.ISSUES}
 
 
