@@ -103,7 +103,7 @@ def exact_split(df: DataFrame, ident: str, train_share: float = TRAIN_SHARE, see
 
     Rows are in the order of a seeded digest, but nothing is sorted globally:
     the digest at the cut is found as an exact rank, and only rows that share
-    that digest are ordered, by id.
+    that digest are ordered, by id.  Ids must be unique.
     """
     keyed = df.withColumn("__key", order_key(F.col(ident), seed))
     cut = RankTarget(train_share, lambda n: F.greatest(F.floor(n * train_share), F.lit(1)))
@@ -113,8 +113,10 @@ def exact_split(df: DataFrame, ident: str, train_share: float = TRAIN_SHARE, see
     at = int(found["cut"])
     wanted = int(found["n"] * train_share)
     below = keyed.filter(F.col("__key") < at).count()
-    tied = keyed.filter(F.col("__key") == at).select(ident).orderBy(ident).limit(max(wanted - below, 0) or 1).collect()
-    last = tied[-1][ident] if wanted > below else None
+    last = None
+    if wanted > below:
+        tied = keyed.filter(F.col("__key") == at).select(ident)
+        last = tied.orderBy(ident).limit(wanted - below).agg(F.max(ident)).first()[0]
     in_tie = F.lit(False) if last is None else (F.col("__key") == at) & (F.col(ident) <= F.lit(last))
     train = (F.col("__key") < at) | in_tie
     return keyed.withColumn("split", F.when(train, "train").otherwise("eval")).drop("__key")

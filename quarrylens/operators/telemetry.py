@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -329,6 +333,31 @@ def span_rollup(spans: DataFrame, trace: str = "trace_id") -> DataFrame:
     )
 
 
+def traced(name: str, sink: list[dict] | None, trace_id: str = "") -> Callable:
+    """Decorator of a driver-side step: appends its span row to ``sink``.
+
+    Without a sink tracing is off and the step runs bare.  An error is recorded
+    and raised again.  The rows fit :func:`span_rollup`.
+    """
+
+    def wrap(step: Callable) -> Callable:
+        @functools.wraps(step)
+        def run(*args, **kwargs):  # noqa: ANN002, ANN003, ANN202
+            if sink is None:
+                return step(*args, **kwargs)
+            start, status = time.time() * 1000, "error"
+            try:
+                out = step(*args, **kwargs)
+                status = "ok"
+                return out
+            finally:
+                sink.append(dict(trace_id=trace_id, span=name, start_ms=start, end_ms=time.time() * 1000, status=status))
+
+        return run
+
+    return wrap
+
+
 def span_outputs(retrieved: DataFrame) -> DataFrame:
     """Retrieval span summary: chunk count, ids and rounded scores by rank.
 

@@ -103,6 +103,16 @@ def test_spans(spark):
     assert parents == {"t": (3, 7.0, 0), "f": (2, 3.0, 1)}
 
 
+def test_traced_steps(spark):
+    sink = []
+    assert T.traced("retrieval", sink, "t")(lambda x: x + 1)(1) == 2
+    with pytest.raises(KeyError):
+        T.traced("generation", sink, "t")(lambda: {}["x"])()
+    assert T.traced("retrieval", None)(lambda: 3)() == 3
+    parent = T.span_rollup(spark.createDataFrame(sink)).first()
+    assert (parent.n_spans, parent.has_error) == (2, 1) and parent.end_ms >= parent.start_ms
+
+
 def test_telemetry_defaults(spark):
     responses = spark.createDataFrame(
         [(1, "q" * 200, "t", 9.0, 1.0, 5, 6, 0.7, False, 2), (2, "x", None, None, None, None, None, None, None, None)],
