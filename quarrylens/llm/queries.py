@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylens.llm import bpe, packing, token_counts
+from quarrylens.llm import bpe, packing, quality_rules, token_counts
 from quarrylens.llm.shared import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -23,3 +23,40 @@ def op5_token_counts(spark: SparkSession, root: str) -> DataFrame:
 @query("op10_forced_boundary_bpe")
 def op10_forced_boundary_bpe(spark: SparkSession, root: str) -> DataFrame:
     return bpe.encoding_digests(table(spark, root, "documents"))
+
+
+OP8_SQL = f"""
+WITH parts AS (
+  SELECT doc_id, coalesce(text, '') AS body,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS lines
+  FROM documents),
+runs AS (
+  SELECT doc_id, p, words[p] || chr(32) || words[p + 1] || chr(32) || words[p + 2] AS w
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS p FROM parts)),
+twice AS (SELECT doc_id, p FROM runs QUALIFY count(*) OVER (PARTITION BY doc_id, w) > 1),
+covered AS (SELECT doc_id, count(DISTINCT p + k) AS n FROM twice, (SELECT unnest(range(3)) AS k) GROUP BY doc_id),
+counts AS (
+  SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::BIGINT AS word_chars,
+         len(regexp_extract_all(body, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_word_lines,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+         len(list_filter(words, lambda w: list_contains({sorted({w for ws in quality_rules.STOP_WORDS.values() for w in ws})}, lower(w))))::BIGINT AS n_stop_words,
+         coalesce(n, 0)::BIGINT AS n_repeat_words
+  FROM parts LEFT JOIN covered USING (doc_id)),
+judged AS (
+  SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         {" AND ".join(
+             f"({r.below} = 0 OR (" + " AND ".join(
+                 ([f"{r.above} >= {r.lowest}::DOUBLE * {r.below}"] if r.lowest is not None else [])
+                 + ([f"{r.above} <= {r.highest}::DOUBLE * {r.below}"] if r.highest is not None else [])) + "))"
+             for r in quality_rules.RULES)} AS within
+  FROM counts)
+SELECT doc_id, n_words, word_chars, n_symbols, n_word_lines, n_dup_lines, n_stop_words, n_repeat_words, base_failed,
+       NOT base_failed AND within AS kept
+FROM judged
+"""
+
+
+@query("op8_quality_rules", OP8_SQL)
+def op8_quality_rules(spark: SparkSession, root: str) -> DataFrame:
+    return quality_rules.quality_verdicts(table(spark, root, "documents")).drop("broken_rules")
