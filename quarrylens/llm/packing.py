@@ -31,7 +31,7 @@ from quarrylens.llm.shared import settle
 SEQUENCE = 1024
 END_ID = 0
 # Pieces numbered by one window group.
-RANKED_TOGETHER = 50_000
+RANKED_TOGETHER = 1_000
 
 
 def document_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:

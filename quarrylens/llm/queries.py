@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylens.llm import bpe, packing, quality_rules, token_counts
+from quarrylens.llm import bpe, packing, quality_rules, secret_scan, token_counts
 from quarrylens.llm.shared import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -60,3 +60,8 @@ FROM judged
 @query("op8_quality_rules", OP8_SQL)
 def op8_quality_rules(spark: SparkSession, root: str) -> DataFrame:
     return quality_rules.quality_verdicts(table(spark, root, "documents")).drop("broken_rules")
+
+
+@query("op9_secret_scans")
+def op9_secret_scans(spark: SparkSession, root: str) -> DataFrame:
+    return secret_scan.secret_report(table(spark, root, "documents"))
