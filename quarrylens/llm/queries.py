@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarrylens.llm import bpe, packing, quality_rules, secret_scan, token_counts
+from quarrylens.llm import bpe, line_dedup, packing, quality_rules, secret_scan, token_counts
 from quarrylens.llm.shared import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -65,3 +66,29 @@ def op8_quality_rules(spark: SparkSession, root: str) -> DataFrame:
 @query("op9_secret_scans")
 def op9_secret_scans(spark: SparkSession, root: str) -> DataFrame:
     return secret_scan.secret_report(table(spark, root, "documents"))
+
+
+_STRIP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+OP6_SQL = f"""
+WITH lines AS (
+  SELECT doc_id, p, line,
+         translate(trim(line, {_STRIP}), '{line_dedup.UPPER}', '{line_dedup.LOWER}') AS key
+  FROM (SELECT doc_id, generate_subscripts(ls, 1) AS p, unnest(ls) AS line
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
+keys AS (
+  SELECT key, max(doc_id) AS last_doc FROM lines WHERE length(key) >= {line_dedup.LEAST_CHARS}
+  GROUP BY key HAVING count(DISTINCT doc_id) >= {line_dedup.LEAST_DOCS}),
+judged AS (
+  SELECT doc_id, p, line, coalesce(doc_id < last_doc, false) AS gone FROM lines LEFT JOIN keys USING (key))
+SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE gone))::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+
+@query("op6_line_dedup", OP6_SQL)
+def op6_line_dedup(spark: SparkSession, root: str) -> DataFrame:
+    done = line_dedup.line_dedup(table(spark, root, "documents").select("doc_id", "text"))
+    return done.select(
+        "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("_kept", 256).alias("kept_sha256")
+    )
