@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm import bpe, line_dedup, packing, quality_rules, secret_scan, token_counts
+from quarrylens.llm import bpe, line_dedup, minhash_dedup, packing, quality_rules, secret_scan, token_counts
 from quarrylens.llm.shared import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -92,3 +92,33 @@ def op6_line_dedup(spark: SparkSession, root: str) -> DataFrame:
     return done.select(
         "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("_kept", 256).alias("kept_sha256")
     )
+
+
+OP1_SQL = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{line_dedup.UPPER}', '{line_dedup.LOWER}'),
+                                                   '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+  FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * both >= {minhash_dedup.SHARE} * (x.n + y.n - both)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id AS a, doc_id AS c FROM documents
+  UNION SELECT e.b, r.c FROM reach r JOIN edges e ON e.a = r.a)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id, d.doc_id = c AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT a, min(c) AS c FROM reach GROUP BY a) r ON r.a = d.doc_id
+"""
+
+
+@query("op1_minhash_dedup", OP1_SQL)
+def op1_minhash_dedup(spark: SparkSession, root: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, root, "documents"))
