@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm import bpe, line_dedup, minhash_dedup, packing, quality_rules, secret_scan, token_counts
+from quarrylens.llm import bpe, line_dedup, minhash_dedup, packing, quality_rules, secret_scan, token_counts, warc
 from quarrylens.llm.shared import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -105,11 +105,11 @@ shingles AS (
   FROM words),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 common AS (
-  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS met
   FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
 links AS (
   SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
-  WHERE 100 * both >= {minhash_dedup.SHARE} * (x.n + y.n - both)),
+  WHERE 100 * met >= {minhash_dedup.SHARE} * (x.n + y.n - met)),
 edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (
   SELECT doc_id AS a, doc_id AS c FROM documents
@@ -122,3 +122,23 @@ FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT a, min(c) AS c FROM
 @query("op1_minhash_dedup", OP1_SQL)
 def op1_minhash_dedup(spark: SparkSession, root: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, root, "documents"))
+
+
+_BITS = "('0x' || substr(h, {at}, 5))::BIGINT"
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((({_BITS.format(at=5 * k + 1)}) >> {shift}) & 31)::INT + 1, 1)" for k in range(8) for shift in (15, 10, 5, 0)
+)
+OP4_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+q AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < last THEN last END AS refers_to
+FROM q
+"""
+
+
+@query("op4_warc", OP4_SQL)
+def op4_warc(spark: SparkSession, root: str) -> DataFrame:
+    read = warc.warc_round_trip(table(spark, root, "pages").select("page_id", "url", "html"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
