@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm import bpe, line_dedup, minhash_dedup, packing, quality_rules, secret_scan, token_counts, warc
+from quarrylens.llm import bpe, hilbert_ann, line_dedup, minhash_dedup, packing, quality_rules, secret_scan, token_counts, warc
 from quarrylens.llm.shared import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -142,3 +142,8 @@ FROM q
 def op4_warc(spark: SparkSession, root: str) -> DataFrame:
     read = warc.warc_round_trip(table(spark, root, "pages").select("page_id", "url", "html"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op7_hilbert_ann")
+def op7_hilbert_ann(spark: SparkSession, root: str) -> DataFrame:
+    return hilbert_ann.nearest_neighbours(table(spark, root, "embeddings"))
