@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm import bpe, hilbert_ann, line_dedup, minhash_dedup, packing, quality_rules, secret_scan, token_counts, warc
+from quarrylens.llm import (
+    bpe,
+    hilbert_ann,
+    line_dedup,
+    minhash_dedup,
+    packing,
+    pitman_yor,
+    quality_rules,
+    secret_scan,
+    token_counts,
+    warc,
+)
 from quarrylens.llm.shared import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -147,3 +158,8 @@ def op4_warc(spark: SparkSession, root: str) -> DataFrame:
 @query("op7_hilbert_ann")
 def op7_hilbert_ann(spark: SparkSession, root: str) -> DataFrame:
     return hilbert_ann.nearest_neighbours(table(spark, root, "embeddings"))
+
+
+@query("op3_pitman_yor")
+def op3_pitman_yor(spark: SparkSession, root: str) -> DataFrame:
+    return pitman_yor.score_documents(table(spark, root, "documents"))
