@@ -8,9 +8,10 @@
    proposed: what they join needs no further link.
 4. Proposed links are confirmed on the full sets, and components are found by
    alternating large-star and small-star.
-5. A link of a forest may fail where another would have held.  So every
-   further pair of a block that lies in different components, and whose
-   signatures do not rule it out, is confirmed on the full sets as well.
+5. A link of a forest may fail where another would have held.  So for every
+   member of a bucket, all members of other components that its signature does
+   not rule out are listed, and the lists are worked off on the full sets, best
+   first; what a confirmed link has joined needs no further one.
 
 A bucket that holds many documents is dealt over blocks by hash; in step 5,
 members outside the bucket's main component meet all of its blocks.  No group
@@ -177,21 +178,53 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _pair_batch(out)
 
 
+_ASKED = "cell long, kind int, id long, component long, others array<long>, components array<long>"
+_ASKED_NAMES = [x.split(" ")[0] for x in _ASKED.split(", ")]
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a block and a chunk in different components; columns key, block, chunk, side, id, component, signature."""
+    """What to confirm in a block and a chunk of one bucket.
+
+    Columns key, block, chunk, side, id, component, signature, bands.  Gives a
+    row (kind 1) for each member of the block with all members of the chunk
+    that lie in another component and are not ruled out, best first, and a row
+    (kind 0) for each member whose set is needed.  A pair that shares several
+    bands is asked for in the bucket of the first one only.
+    """
     for cell in _runs(batches, 3):
         side = np.asarray(cell.column("side"))
-        if not len(side) or side.all() or not side.any():
+        if side.all() or not side.any():
             continue
         ids, comps = np.asarray(cell.column("id")), np.asarray(cell.column("component"))
         rows = _signature_rows(cell.column("signature"))
+        bands = np.asarray(cell.column("bands").combine_chunks().flatten()).reshape(-1, BANDS)
+        key = cell.column("key")[0].as_py()
+        here = int(np.flatnonzero(bands[0] == key)[0])
         one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        for at in range(0, len(one), 256):
-            part = one[at : at + 256]
-            found = (estimates(rows[part], rows[two]) >= LEAST_ESTIMATE) & (comps[part][:, None] != comps[two][None, :])
-            i, j = np.nonzero(found)
-            if len(i):
-                yield _pair_batch(np.stack([ids[part][i], ids[two][j]], axis=1).tolist())
+        needed: set[int] = set()
+        asked = []
+        for at in range(0, len(one), 64):
+            part = one[at : at + 64]
+            near = estimates(rows[part], rows[two])
+            found = (near >= LEAST_ESTIMATE) & (comps[part][:, None] != comps[two][None, :])
+            for k in np.flatnonzero(found.any(axis=1)).tolist():
+                at_two = np.flatnonzero(found[k])
+                if here:
+                    at_two = at_two[~(bands[two[at_two], :here] == bands[part[k], :here]).any(axis=1)]
+                if not len(at_two):
+                    continue
+                best = two[at_two[np.argsort(-near[k, at_two], kind="stable")]]
+                asked.append((int(ids[part[k]]), int(comps[part[k]]), ids[best].tolist(), comps[best].tolist()))
+                needed.add(asked[-1][0])
+                needed.update(asked[-1][2])
+        if not asked:
+            continue
+        place = mixed(np.array([key, cell.column("block")[0].as_py(), cell.column("chunk")[0].as_py()]).astype(np.uint64))
+        number = int((place * np.array([1, 3, 5], dtype=np.uint64)).sum().astype(np.int64))
+        lines = [(number, 0, i, None, None, None) for i in sorted(needed)]
+        lines += [(number, 1, *line) for line in asked]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*lines), kinds)], _ASKED_NAMES)
 
 
 def _joined_small(many: DataFrame, few: DataFrame, key: str) -> DataFrame:
@@ -199,24 +232,8 @@ def _joined_small(many: DataFrame, few: DataFrame, key: str) -> DataFrame:
     return many.join(F.broadcast(few) if few.count() <= SHIPPED_IDS else few, key)
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, share: int = SHARE) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full sets are similar enough.
-
-    Pairs are gathered in cells by the smallest neighbour of their ends, so
-    that a set travels to few cells; a busy neighbour has a grid of cells.
-    """
-    ends = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other")))
-    near = ends.groupBy("id").agg(F.min("other").alias("other")).select("id", F.least("id", "other").alias("near"))
-    labelled = pairs.join(near.select(F.col("id").alias("a"), F.col("near").alias("na")), "a").join(
-        near.select(F.col("id").alias("b"), F.col("near").alias("nb")), "b"
-    )
-    labelled = labelled.select("a", "b", F.least("na", "nb").alias("hub"))
-    grids = labelled.groupBy("hub").agg(F.ceil(F.count("*") / CELL).alias("grid"))
-    placed = labelled.join(grids, "hub").select(
-        "a", "b", F.xxhash64("hub", F.pmod(F.xxhash64("a"), "grid"), F.pmod(F.xxhash64("b"), "grid")).alias("cell")
-    )
-    placed = settle(placed, "placed")
-    wanted = placed.select("cell", F.explode(F.array("a", "b")).alias("doc_id"))
+def placed_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cell, id, items): the shingle set of every wanted doc_id, in each of its cells."""
     wanted = settle(wanted.groupBy("doc_id").agg(F.collect_set("cell").alias("cells")), "wanted")
     texts = _joined_small(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, "doc_id")
 
@@ -225,27 +242,87 @@ def confirmed(docs: DataFrame, pairs: DataFrame, share: int = SHARE) -> DataFram
             for at in range(0, whole.num_rows, TEXTS):
                 batch = whole.slice(at, TEXTS)
                 sets = [s.tobytes() for s in shingle_sets(batch.column(1).to_pylist())]
-                columns = [batch.column(0), pa.array(sets, pa.binary()), batch.column(2)]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "items", "cells"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), batch.column(2)], ["id", "items", "cells"])
 
     sets = texts.select("doc_id", "text", "cells").mapInArrow(spread, "id long, items binary, cells array<long>")
-    sets = sets.select(F.explode_outer("cells").alias("cell"), F.lit(0).alias("kind"), "id", F.lit(None).cast("long").alias("other"), "items")
-    asked = placed.select("cell", F.lit(1).alias("kind"), F.col("a").alias("id"), F.col("b").alias("other"), F.lit(None).cast("binary").alias("items"))
-    rows = sets.unionByName(asked).repartition("cell").sortWithinPartitions("cell", "kind")
+    return sets.select(F.explode_outer("cells").alias("cell"), "id", "items")
+
+
+def _confirm(share: int):
+    """Links of a cell: sets first (kind 0), then what to confirm (kind 1)."""
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in _runs(batches, 1):
             held: dict[int, list[np.ndarray]] = {}
+            up: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while x in up:
+                    x = up[x]
+                return x
+
             found = []
-            for kind, a, b, items in zip(*[cell.column(c).to_pylist() for c in ("kind", "id", "other", "items")]):
+            for kind, a, ca, others, comps, items in zip(*[cell.column(c).to_pylist() for c in (*_ASKED_NAMES[1:], "items")]):
                 if kind == 0:
                     held.setdefault(a, []).append(np.frombuffer(items, np.uint64))
-                elif any(similar(x, y, share) for x in held.get(a, ()) for y in held.get(b, ())):
-                    found.append((a, b))
+                    continue
+                for b, cb in zip(others, comps):
+                    # What is joined by now needs no further link.
+                    if root(ca) != root(cb) and any(similar(x, y, share) for x in held.get(a, ()) for y in held.get(b, ())):
+                        found.append((a, b))
+                        up[root(ca)] = root(cb)
             if found:
                 yield _pair_batch(found)
 
-    return rows.mapInArrow(check, "a long, b long")
+    return run
+
+
+def confirmed(docs: DataFrame, asked: DataFrame, share: int = SHARE) -> DataFrame:
+    """Links (a, b) between components, each confirmed on the full sets.
+
+    ``asked`` is a settled table like that of ``_compare``.  Of the links that
+    would join the same components within a cell, one is returned.
+    """
+    wanted = asked.filter("kind = 0").select("cell", F.col("id").alias("doc_id"))
+    none = F.lit(None)
+    sets = placed_sets(docs, wanted).select(
+        "cell",
+        F.lit(0).alias("kind"),
+        "id",
+        none.cast("long").alias("component"),
+        none.cast("array<long>").alias("others"),
+        none.cast("array<long>").alias("components"),
+        "items",
+    )
+    lines = asked.filter("kind = 1").withColumn("items", none.cast("binary"))
+    rows = sets.unionByName(lines).repartition("cell").sortWithinPartitions("cell", "kind")
+    return rows.mapInArrow(_confirm(share), "a long, b long")
+
+
+def gathered_pairs(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) as rows to confirm, each end its own component.
+
+    They are gathered in cells by the smallest neighbour of their ends, so
+    that a set travels to few cells; a busy neighbour has a grid of cells.
+    """
+    ends = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other")))
+    near = ends.groupBy("id").agg(F.min("other").alias("other")).select("id", F.least("id", "other").alias("near"))
+    labelled = pairs.join(near.select(F.col("id").alias("a"), F.col("near").alias("na")), "a").join(
+        near.select(F.col("id").alias("b"), F.col("near").alias("nb")), "b"
+    )
+    labelled = labelled.select("a", "b", F.least("na", "nb").alias("hub"))
+    grids = labelled.groupBy("hub").agg(F.ceil(F.count("*") / CELL).alias("grid"))
+    cell = F.xxhash64("hub", F.pmod(F.xxhash64("a"), "grid"), F.pmod(F.xxhash64("b"), "grid"))
+    placed = settle(labelled.join(grids, "hub").select("a", "b", cell.alias("cell")), "placed")
+    none = F.lit(None)
+    needed = placed.select("cell", F.explode(F.array("a", "b")).alias("id")).distinct()
+    lines = placed.select(
+        "cell", F.lit(1).alias("kind"), F.col("a").alias("id"), F.col("a").alias("component"), F.array("b").alias("others"), F.array("b").alias("components")
+    )
+    sets = needed.select(
+        "cell", F.lit(0).alias("kind"), "id", none.cast("long").alias("component"), none.cast("array<long>").alias("others"), none.cast("array<long>").alias("components")
+    )
+    return settle(sets.unionByName(lines), "asked")
 
 
 def similar(x: np.ndarray, y: np.ndarray, share: int) -> bool:
@@ -275,7 +352,7 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     blocks = dealt.join(signs, "id").select("key", "block", "id", "signature")
     blocks = blocks.repartition("key", "block").sortWithinPartitions("key", "block", "id")
     proposed = settle(blocks.mapInArrow(_propose, "a long, b long").filter("a != b").distinct(), "proposed")
-    links = settle(confirmed(docs, proposed, share), "links")
+    links = settle(confirmed(docs, gathered_pairs(proposed), share), "links")
     found = settle(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
 
     labelled = members.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
@@ -290,11 +367,11 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     two = rest.filter("component != main").select(
         "key", all_of("blocks").alias("block"), F.pmod(F.xxhash64("key", "id"), "chunks").alias("chunk"), F.lit(1).alias("side"), "id", "component"
     )
-    cells = one.unionByName(two).join(signs, "id").select("key", "block", "chunk", "side", "id", "component", "signature")
+    cells = one.unionByName(two).join(first.select("id", "signature", "bands"), "id")
+    cells = cells.select("key", "block", "chunk", "side", "id", "component", "signature", "bands")
     cells = cells.repartition("key", "block", "chunk").sortWithinPartitions("key", "block", "chunk")
-    open_pairs = cells.mapInArrow(_compare, "a long, b long").filter("a != b").distinct()
-    open_pairs = settle(open_pairs.join(proposed, ["a", "b"], "left_anti"), "open-pairs")
-    more = settle(confirmed(docs, open_pairs, share), "links")
+    asked = settle(cells.mapInArrow(_compare, _ASKED), "asked")
+    more = settle(confirmed(docs, asked, share), "links")
 
     # A doc_id on rows of different sets ties their classes together.
     placed = filled.select("doc_id", "set_digest").join(classes, "set_digest")
@@ -307,7 +384,7 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
 
     rows = signed.select("doc_id", "n_shingles", "set_digest").join(classes, "set_digest", "left")
     rows = rows.join(final, "id", "left")
-    component = F.coalesce("component", "id", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
