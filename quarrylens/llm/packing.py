@@ -84,7 +84,11 @@ def packing_patterns(histogram: dict[int, int], capacity: int) -> list[tuple[Cou
         while left:
             room = max(open_packs, default=0)
             if room < length:
-                open_packs.setdefault(capacity - length, []).append([Counter({length: 1}), left])
+                # New packs, each the shortest until it is full.
+                most = capacity // length
+                for times, count in ((most, left // most), (left % most, 1)):
+                    if times and count:
+                        open_packs.setdefault(capacity - times * length, []).append([Counter({length: times}), count])
                 break
             pattern, count = open_packs[room][-1]
             used = min(count, left)
