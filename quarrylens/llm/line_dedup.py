@@ -40,6 +40,7 @@ LEAST_DOCS = 5
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SHARDS = 64
+NEW_COLUMNS = ("kept_text", "n_lines", "n_dropped")
 # Filters of more bytes are not shipped to the tasks; the exact join then takes all lines.
 SHIPPED_BYTES = 64 << 20
 
@@ -196,11 +197,16 @@ def repeated_keys(docs: DataFrame, index: LineIndex, least_chars: int = LEAST_CH
 
 
 def drop_repeated_lines(docs: DataFrame, index: LineIndex, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """The rows with their kept text, n_lines and n_dropped under fresh names.
+    """The columns of ``docs`` and, last, the kept text and the numbers of lines and of dropped lines.
 
-    Returns the columns of ``docs`` and ``_kept``, ``_n_lines``, ``_n_dropped``.
+    These are named kept_text, n_lines and n_dropped, with as many underscores
+    in front as it takes not to clash with ``docs``.
     """
     mark = f"_drop_{uuid.uuid4().hex[:8]}"
+    front = ""
+    while {front + c for c in NEW_COLUMNS} & {c.lower() for c in docs.columns}:
+        front += "_"
+    added = [front + c for c in NEW_COLUMNS]
     lost = repeated_keys(docs, index, least_chars).select(F.col("doc_id").alias(f"{mark}_id"), F.col("drop").alias(mark))
     met = docs.join(lost, docs["doc_id"] == lost[f"{mark}_id"], "left").drop(f"{mark}_id")
     names = docs.columns
@@ -223,9 +229,10 @@ def drop_repeated_lines(docs: DataFrame, index: LineIndex, least_chars: int = LE
                 lines.append(len(parts))
                 dropped.append(len(parts) - len(left))
             columns = [batch.column(k) for k in range(drops)] + [pa.array(kept, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "_kept", "_n_lines", "_n_dropped"])
+            yield pa.RecordBatch.from_arrays(columns, [*names, *added])
 
-    schema = docs.select("*", F.lit("").alias("_kept"), F.lit(0).cast("long").alias("_n_lines"), F.lit(0).cast("long").alias("_n_dropped")).schema
+    zero = F.lit(0).cast("long")
+    schema = docs.select("*", *[c.alias(name) for c, name in zip((F.lit(""), zero, zero), added)]).schema
     return met.mapInArrow(run, schema)
 
 

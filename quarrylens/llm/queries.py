@@ -100,9 +100,7 @@ FROM judged GROUP BY doc_id
 @query("op6_line_dedup", OP6_SQL)
 def op6_line_dedup(spark: SparkSession, root: str) -> DataFrame:
     done = line_dedup.line_dedup(table(spark, root, "documents").select("doc_id", "text"))
-    return done.select(
-        "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("_kept", 256).alias("kept_sha256")
-    )
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 OP1_SQL = f"""

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +47,7 @@ CODES = range(32, 127)
 FOLDED = 128
 
 
-def running_sums(items: Column, size: Column, of: callable) -> Column:
+def running_sums(items: Column, size: Column, of: Callable[[Column], Column]) -> Column:
     """Running sums of ``of(item)``, in pieces, so that no long array grows item by item."""
     pieces = F.sequence(F.lit(0), F.floor((size - 1) / FOLDED).cast("int"))
 
@@ -224,5 +225,5 @@ def mask_secrets(docs: DataFrame, mask: str = "<secret>", ratios: list[float] |
             changed = F.length("masked").cast(docs.schema["n_chars"].dataType)
             columns.append(F.when(F.size("all_spans") > 0, changed).otherwise(F.col("doc_id.n_chars")).alias("n_chars"))
         else:
-            columns.append(F.col(f"doc_id.{c}").alias(c))
+            columns.append(F.col(f"doc_id.`{c}`").alias(c))
     return rows.select(*columns)
