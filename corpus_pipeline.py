@@ -30,7 +30,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents repeat stay in the last of them only."""
-    return with_text(docs, line_dedup.line_dedup(docs), "_kept")
+    rows = line_dedup.line_dedup(docs)
+    return with_text(docs, rows, rows.columns[len(docs.columns)])
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
