@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.llm.components import components
 from quarrylens.llm.shared import settle
-from quarrylens.llm.shingles import mixed, shingle_sets
+from quarrylens.llm.shingles import mixed, shingle_sets, slices
 
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
@@ -51,8 +51,8 @@ BLOCK = 1024
 CELL = 256
 # Ids that are shipped to every task instead of being joined by a shuffle.
 SHIPPED_IDS = 2_000_000
-# Texts whose shingles are hashed together.
-TEXTS = 256
+# Texts, and bytes of them, whose shingles are hashed together.
+TEXTS, TEXT_BYTES = 256, 2 << 20
 
 _drawn = np.random.default_rng(20240229)
 _FACTORS = (_drawn.integers(1 << 31, size=HASHES, dtype=np.int64) * 2 + 1).astype(np.uint32)
@@ -88,16 +88,14 @@ def document_signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_digest, bands, signature of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, TEXTS):
-                batch = whole.slice(at, TEXTS)
-                sets = shingle_sets(batch.column(1).to_pylist())
-                minima = signatures(sets)
-                digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(band_keys(minima).ravel()))
-                short = [row.tobytes() for row in minima.astype(np.uint8)]
-                columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), keys, pa.array(short, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_digest", "bands", "signature"])
+        for batch in slices(batches, 1, TEXTS, TEXT_BYTES):
+            sets = shingle_sets(batch.column(1).to_pylist())
+            minima = signatures(sets)
+            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(band_keys(minima).ravel()))
+            short = [row.tobytes() for row in minima.astype(np.uint8)]
+            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), keys, pa.array(short, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_digest", "bands", "signature"])
 
     schema = "doc_id long, n_shingles long, set_digest binary, bands array<long>, signature binary"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
@@ -238,11 +236,9 @@ def placed_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     texts = _joined_small(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, "doc_id")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, TEXTS):
-                batch = whole.slice(at, TEXTS)
-                sets = [s.tobytes() for s in shingle_sets(batch.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), batch.column(2)], ["id", "items", "cells"])
+        for batch in slices(batches, 1, TEXTS, TEXT_BYTES):
+            sets = [s.tobytes() for s in shingle_sets(batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), batch.column(2)], ["id", "items", "cells"])
 
     sets = texts.select("doc_id", "text", "cells").mapInArrow(spread, "id long, items binary, cells array<long>")
     return sets.select(F.explode_outer("cells").alias("cell"), "id", "items")

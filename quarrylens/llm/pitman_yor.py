@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.llm.minhash_dedup import _runs
 from quarrylens.llm.shared import settle
-from quarrylens.llm.shingles import joined, mixed, word_hashes
+from quarrylens.llm.shingles import joined, mixed, slices, word_hashes
 
 FREQUENT = 2.0**-20
 SMOOTH = 0.1
@@ -49,8 +49,8 @@ STRENGTH = 1.0
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.5, 1.0
 ROUNDS, STEPS = 2, 8
 BLOCKED = 256
-# Documents of a block, and bytes of text for each shard.
-TEXTS = 8192
+# Documents and bytes of text of a block, and bytes of text for each shard.
+TEXTS, TEXT_BYTES = 8192, 8 << 20
 SHARD_BYTES = 16 << 20
 # Rare words are fewer than pairs; their shards are larger by this factor.
 RARE_SHARE = 8
@@ -226,12 +226,6 @@ def seat_pairs(pairs: np.ndarray, counts: np.ndarray, start: np.ndarray, root: R
     return tables
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for k in range(0, whole.num_rows, TEXTS):
-            yield whole.slice(k, TEXTS)
-
-
 def _dealt(keys: np.ndarray, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Positions of the keys of each shard, in key order."""
     order = np.lexsort((keys, shard))
@@ -243,7 +237,7 @@ def _dealt(keys: np.ndarray, shard: np.ndarray) -> Iterator[tuple[int, np.ndarra
 
 def _counted_words(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in slices(batches, 0, TEXTS, TEXT_BYTES):
             tokens, _ = text_tokens(batch.column(0).to_pylist())
             words, counts = np.unique(tokens, return_counts=True)
             rows = [(s, packed(words[i]), packed_counts(counts[i])) for s, i in _dealt(words, (mixed(words) % np.uint64(shards)).astype(np.int64))]
@@ -252,6 +246,12 @@ def _counted_words(shards: int):
     return run
 
 
+def _each(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows one at a time: they hold large blocks."""
+    for k in range(batch.num_rows):
+        yield batch.slice(k, 1).to_pylist()[0]
+
+
 def _rows(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
     columns = list(zip(*rows)) if rows else [()] * len(types)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
@@ -308,7 +308,7 @@ def pair_shards(pairs: np.ndarray, shards: int) -> np.ndarray:
 
 def _counted_pairs(symbols, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in slices(batches, 0, TEXTS, TEXT_BYTES):
             pairs, counts = np.unique(text_pairs(batch.column(0).to_pylist(), symbols.value)[2], return_counts=True)
             rows = [(s, packed(pairs[i]), packed_counts(counts[i])) for s, i in _dealt(pairs, pair_shards(pairs, shards))]
             yield _rows(rows, [pa.int32(), pa.binary(), pa.binary()], ["shard", "keys", "counts"])
@@ -328,7 +328,7 @@ def _summed(seated: DataFrame, width: int, kinds: list[str]) -> np.ndarray:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(kinds), 2, width), dtype=np.float64)
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _each(batch):
                 pairs = unpacked(row["keys"])
                 ends = [(pairs >> _WORD_BITS).astype(np.int64), (pairs & _WORD_MASK).astype(np.int64)]
                 for k, kind in enumerate(kinds):
@@ -402,7 +402,7 @@ def train(docs: DataFrame, share: float = FREQUENT, rounds: int = ROUNDS, steps:
 
         def run(batches: Iterator[pa.RecordBatch], given=given, turn=turn) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for row in batch.to_pylist():
+                for row in _each(batch):
                     keys, counts = unpacked(row["keys"]), unpacked_counts(row["counts"])
                     before = unpacked_counts(row["tables"]) if turn else np.ones(len(keys), np.int64)
                     after = seat_pairs(keys, counts, before, given.value, discount, steps, [seed, turn, row["shard"]])
@@ -462,7 +462,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         known = symbols.value
         context = TaskContext.get()
         number = (context.partitionId() if context else 0) << 32
-        for batch in _slices(batches):
+        for batch in slices(batches, 2, TEXTS, TEXT_BYTES):
             tokens, symbol, pairs, bounds = text_pairs(batch.column(2).to_pylist(), known)
             n = batch.num_rows
             doc = np.repeat(np.arange(n), np.diff(bounds))
@@ -494,7 +494,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         here: tuple | None = None
         keys, values, extra = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _each(batch):
                 if row["kind"] == 2:
                     yield _rows([(row["block"], 0, row["keys"], row["times"])], [pa.int64(), pa.int32(), pa.binary(), pa.binary()], ["block", "kind", "docs", "sums"])
                     continue

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 SHINGLE = 5
 # Bytes hashed together; longer texts are hashed in such pieces, cut at white space.
@@ -104,3 +107,15 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
         else:
             out.append(np.zeros(0, dtype=np.uint64))
     return out
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: int, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut after ``rows`` rows or about ``size`` bytes of the text column; a longer text is alone."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            done = int(ends[at - 1]) if at else 0
+            stop = max(at + 1, min(at + rows, int(np.searchsorted(ends, done + size, side="right"))))
+            yield batch.slice(at, stop - at)
+            at = stop
