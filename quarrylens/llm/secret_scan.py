@@ -4,7 +4,8 @@ Two first-order models of characters are trained, one of random strings and
 one of ordinary identifiers.  The labelled samples come from the corpus: the
 values of all matches of the fixed shapes are random strings, all other
 identifier-like runs are ordinary.  A run of at least ``SHORTEST`` characters
-is reported when its log-likelihood ratio exceeds ``MARGIN``.
+is reported when its log-likelihood ratio exceeds ``MARGIN``, and
+``PAIR_MARGIN`` for each of its character pairs.
 
 Everything is made of DataFrame functions.  Positions of regex matches come
 from the lengths of the matches and of the parts between them.  A text is one
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -39,10 +41,20 @@ KINDS = ("assign", "access", "hex", "markov")
 SHORTEST = 20
 SAMPLED = 16
 RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}"
-# Natural-log odds beyond which a run is taken for random.
-MARGIN = 10.0
+# Natural-log odds beyond which a run is taken for random: in all, and for
+# each of its character pairs.
+MARGIN, PAIR_MARGIN = 10.0, 0.75
 # Printable ASCII, as numbers from 0.
 CODES = range(32, 127)
+# Counts that single characters have from the start: random strings may use
+# all of their alphabet, identifiers use what they were seen to use.  Pairs
+# fall back on single characters with the weight of so many counts.
+RANDOM_PRIOR, PLAIN_PRIOR = 50.0, 0.5
+RANDOM_BACKOFF, PLAIN_BACKOFF = 20.0, 2.0
+# Taken off the counts of pairs in ordinary runs: some of these are secrets of
+# no fixed shape, whose odd pairs must not pass for usual ones.
+PLAIN_DISCOUNT = 2.0
+ALPHABET = re.compile(r"[A-Za-z0-9+/_=.-]")
 # Spans folded one after the other; longer lists are folded in such pieces.
 FOLDED = 128
 
@@ -142,7 +154,7 @@ def pair_ratios(samples: DataFrame) -> list[float]:
     """Log-likelihood ratios of character pairs, indexed by first * len(CODES) + second.
 
     Counts are added up over all samples before they reach the driver; they
-    are bounded by the alphabet.  Every pair is given one extra count.
+    are bounded by the alphabet.
     """
     n = len(CODES)
     pairs = F.transform(F.sequence(F.lit(1), F.length("value") - 1), lambda i: F.substring(F.col("value"), i, F.lit(2)))
@@ -152,12 +164,23 @@ def pair_ratios(samples: DataFrame) -> list[float]:
         .groupBy("random", "pair")
         .agg(F.count("*").alias("n"))
     )
-    seen: dict[bool, list[float]] = {kind: [1.0] * (n * n) for kind in (True, False)}
+    pairs_seen: dict[bool, list[float]] = {kind: [0.0] * (n * n) for kind in (True, False)}
     for row in counts.collect():
         if row.pair is not None and len(row.pair) == 2 and all(ord(c) in CODES for c in row.pair):
-            seen[row.random][(ord(row.pair[0]) - CODES[0]) * n + ord(row.pair[1]) - CODES[0]] += row.n
-    after = {kind: [sum(t[a * n : (a + 1) * n]) for a in range(n)] for kind, t in seen.items()}
-    return [math.log(seen[True][k] / after[True][k // n]) - math.log(seen[False][k] / after[False][k // n]) for k in range(n * n)]
+            pairs_seen[row.random][(ord(row.pair[0]) - CODES[0]) * n + ord(row.pair[1]) - CODES[0]] += row.n
+    used = [RANDOM_PRIOR if ALPHABET.match(chr(c)) else PLAIN_PRIOR for c in CODES]
+    random = _chances(pairs_seen[True], used, RANDOM_BACKOFF)
+    plain = _chances([max(0.0, x - PLAIN_DISCOUNT) for x in pairs_seen[False]], [PLAIN_PRIOR] * n, PLAIN_BACKOFF)
+    return [math.log(x) - math.log(y) for x, y in zip(random, plain)]
+
+
+def _chances(counts: list[float], prior: list[float], weight: float) -> list[float]:
+    """Chances of a character after another, falling back on those of single characters."""
+    n = len(prior)
+    single = [prior[b] + sum(counts[b::n]) for b in range(n)]
+    total = sum(single)
+    after = [sum(counts[a * n : (a + 1) * n]) + weight for a in range(n)]
+    return [(counts[a * n + b] + weight * single[b] / total) / after[a] for a in range(n) for b in range(n)]
 
 
 def secret_spans(docs: DataFrame, ratios: list[float] | None = None, margin: float = MARGIN) -> DataFrame:
@@ -175,7 +198,8 @@ def secret_spans(docs: DataFrame, ratios: list[float] | None = None, margin: flo
 
     rows = match_spans(base_spans(docs), RUN % SHORTEST, 3, "runs")
     known = F.concat("assign", "access", "hex")
-    rows = rows.withColumn("markov", F.filter(outside(F.col("runs"), known), lambda s: ratio(s["value"]) > margin)).drop("runs")
+    least = lambda run: F.greatest(F.lit(margin), PAIR_MARGIN * (F.length(run) - 1))
+    rows = rows.withColumn("markov", F.filter(outside(F.col("runs"), known), lambda s: ratio(s["value"]) > least(s["value"]))).drop("runs")
     every = F.transform(
         F.concat("assign", "access", "hex", "markov"), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
     )
