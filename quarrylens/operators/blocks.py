@@ -7,6 +7,8 @@ arrive as rows go through :mod:`quarrylens.operators.running` instead.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,30 +62,42 @@ def text_blocks(text: Column, page: Column | None = None, every_line: bool = Fal
     return carry_sections(typed)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def carry_sections(blocks: Column) -> Column:
-    """Add ``section_header``: the text of the latest heading, itself included."""
-
-    def step(state: Column, block: Column) -> Column:
-        section = F.when(block["block_type"] == "heading", block["content"]).otherwise(state["section"])
-        placed = F.struct(
-            block["block_type"].alias("block_type"),
-            block["content"].alias("content"),
-            block["page_number"].alias("page_number"),
-            block["block_index"].alias("block_index"),
-            section.alias("section_header"),
-            block["table_index"].alias("table_index"),
-        )
-        return F.struct(
-            F.concat(state["placed"], F.array(placed)).alias("placed"),
-            section.alias("section"),
+    """Add ``section_header``: the text of the latest heading, itself included.
+
+    Headings are located once; each repeats its text up to the next one, so
+    the work grows with the number of blocks.
+    """
+
+    def placed(rows: Column, sections: Column) -> Column:
+        return F.transform(
+            rows,
+            lambda block, i: F.struct(
+                block["block_type"].alias("block_type"),
+                block["content"].alias("content"),
+                block["page_number"].alias("page_number"),
+                block["block_index"].alias("block_index"),
+                F.get(sections, i).alias("section_header"),
+                block["table_index"].alias("table_index"),
+            ),
         )
 
-    empty = F.from_json(
-        F.lit('{"placed":[]}'),
-        "placed array<struct<block_type:string,content:string,page_number:int,"
-        "block_index:int,section_header:string,table_index:int>>, section string",
-    )
-    return F.aggregate(blocks, empty, step, lambda state: state["placed"])
+    def spread_out(rows: Column, heads: Column) -> Column:
+        n = F.size(rows)
+        before = F.array_repeat(F.lit(None).cast("string"), F.coalesce(F.get(heads, F.lit(0)), n))
+        after = F.transform(heads, lambda h, k: F.array_repeat(F.get(rows, h)["content"], F.coalesce(F.get(heads, k + 1), n) - h))
+        return F.flatten(F.concat(F.array(before), after))
+
+    def all_of(rows: Column) -> Column:
+        places = F.transform(rows, lambda block, i: F.when(block["block_type"] == "heading", i))
+        return bound(F.array_compact(places), lambda heads: bound(spread_out(rows, heads), lambda sections: placed(rows, sections)))
+
+    return bound(blocks, all_of)
 
 
 def explode_blocks(df: DataFrame, doc_id: str, blocks: Column) -> DataFrame:

@@ -3,7 +3,8 @@
 Sorting a hot group in one task, or holding its values in one aggregation
 buffer, does not scale.  Instead a mergeable sketch brackets each wanted rank,
 rows below the bracket are only counted, and the exact value is found among
-the few distinct values inside it.  Nothing is approximated.
+the few distinct values inside it.  Should a bracket miss its rank, counts tell
+the side, and that side becomes the bracket.  Nothing is approximated.
 """
 
 from __future__ import annotations
@@ -19,8 +20,6 @@ from quarrylens.operators.sizing import settle_small_side
 SKETCH_ACCURACY = 10_000
 # The sketch errs by at most one part in its accuracy; five are allowed for.
 BRACKET = 5 / SKETCH_ACCURACY
-# Groups up to this size are bracketed by their minimum and maximum.
-SMALL_GROUP = 20_000
 
 
 @dataclass(frozen=True)
@@ -55,11 +54,8 @@ def values_at_ranks(df: DataFrame, keys: list[str], value: str, targets: dict[st
     ]
     bounds = rows.groupBy(*keys).agg(
         F.count("*").alias("n"),
-        F.min("__v").alias("__min"),
-        F.max("__v").alias("__max"),
         F.percentile_approx("__v", fractions, SKETCH_ACCURACY).alias("__near"),
     )
-    small = F.col("n") <= SMALL_GROUP
     brackets = bounds.select(
         *keys,
         "n",
@@ -67,14 +63,15 @@ def values_at_ranks(df: DataFrame, keys: list[str], value: str, targets: dict[st
             *[
                 F.struct(
                     F.lit(i).alias("target"),
-                    F.when(small, F.col("__min")).otherwise(F.col("__near")[2 * i]).alias("low"),
-                    F.when(small, F.col("__max")).otherwise(F.col("__near")[2 * i + 1]).alias("high"),
+                    F.col("__near")[2 * i].alias("low"),
+                    F.col("__near")[2 * i + 1].alias("high"),
                     target.rank(F.col("n")).cast("long").alias("rank"),
                 )
                 for i, target in enumerate(targets.values())
             ]
         ).alias("__brackets"),
     )
+    brackets = _settled_brackets(rows, brackets, keys, len(targets))
     # Values above the bracket are dropped, values below become one null.
     placed = _with_group(rows, brackets, keys).select(
         *keys,
@@ -93,19 +90,34 @@ def values_at_ranks(df: DataFrame, keys: list[str], value: str, targets: dict[st
         Window.unboundedPreceding, 0
     )
     reached = histogram.withColumn("reached", F.sum("copies").over(upward))
-    below = F.coalesce(F.col("value").isNull() & (F.col("reached") >= F.col("rank")), F.lit(False))
-    hit = reached.withColumn(
-        "hit",
-        F.when(below, F.raise_error(F.lit("percentile bracket missed the rank")).cast("double")).when(
-            F.col("reached") >= F.col("rank"), F.col("value")
-        ),
-    )
-    found = lambda i: F.min(F.when(F.col("target") == i, F.col("hit")))
-    missed = F.raise_error(F.lit("percentile bracket ended below the rank"))
-    out = [F.coalesce(found(i), missed.cast("double")).alias(name) for i, name in enumerate(targets)]
+    hit = reached.withColumn("hit", F.when(F.col("reached") >= F.col("rank"), F.col("value")))
+    out = [F.min(F.when(F.col("target") == i, F.col("hit"))).alias(name) for i, name in enumerate(targets)]
     return hit.groupBy(*keys).agg(F.max("n").alias("n"), *out)
 
 
+def _settled_brackets(rows: DataFrame, brackets: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """The brackets, each sure to hold its rank.
+
+    One more count of the rows below and up to each bracket; a rank outside is
+    looked for between the bracket and the end on its side.
+    """
+    counts = []
+    for i in range(n):
+        b = F.col("__brackets")[i]
+        counts.append(F.count(F.when(F.col("__v") < b["low"], 1)).alias(f"__below{i}"))
+        counts.append(F.count(F.when(F.col("__v") <= b["high"], 1)).alias(f"__upto{i}"))
+    counted = _with_group(rows, brackets, keys).groupBy(*keys).agg(
+        F.first("n").alias("n"), F.first("__brackets").alias("__brackets"), F.min("__v").alias("__min"), F.max("__v").alias("__max"), *counts
+    )
+    fixed = []
+    for i in range(n):
+        b, below, upto = F.col("__brackets")[i], F.col(f"__below{i}"), F.col(f"__upto{i}")
+        low = F.when(b["rank"] <= below, F.col("__min")).when(b["rank"] > upto, b["high"]).otherwise(b["low"])
+        high = F.when(b["rank"] <= below, b["low"]).when(b["rank"] > upto, F.col("__max")).otherwise(b["high"])
+        fixed.append(F.struct(b["target"].alias("target"), low.alias("low"), high.alias("high"), b["rank"].alias("rank")))
+    return counted.select(*keys, "n", F.array(*fixed).alias("__brackets"))
+
+
 def _with_group(rows: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
     """Attach the bracket row of its group to each row."""
     if keys:

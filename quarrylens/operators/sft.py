@@ -38,15 +38,9 @@ SYSTEM_PROMPT = (
     "amount_disputed, currency, priority, assigned_agent, resolution_requested and item_returned. Reply with JSON only."
 )
 AGENTS = ("Asha", "Bruno", "Chen", "Dana", "Emre")
-LOG_TEMPLATES = (
-    "supplier {sid} disputes a deduction of {amt} on order {oid}, item never picked up. {hint}",
-    "deduction of {amt} applied in error to supplier {sid}, order {oid}; proof attached, {agent} reviewing. urgent",
-    "supplier {sid}: payment of {amt} for the last cycle not received, assigned to {agent}. {hint}",
-    "supplier {sid} reports {amt} outstanding and threatens to delist. high priority",
-    "supplier {sid} appeals {amt} rejected listings, review by {agent}, order ref {oid}. {hint}",
-    "supplier {sid} contests a penalty of {amt} on order {oid}, escalated to {agent}. {hint}",
-    "supplier {sid} got a damaged item back on order {oid} and asks for {amt}; {agent} assigned. {hint}",
-)
+# A log is put together from a phrase for each field its ticket holds.
+TOPICS = tuple(issue[0].replace("_", " ").lower() for issue in ISSUES)
+PHRASES = {"topic": "Case of {}.", "sid": "Raised by seller {}.", "amt": "Amount at stake: {}.", "oid": "It concerns {}.", "agent": "With {} now.", "hint": "Urgency {}."}
 
 
 def message(role: str, content: Column) -> Column:
@@ -83,14 +77,36 @@ def without_role(messages: Column, role: str) -> Column:
 
 
 def turn_pairs(turns: DataFrame, conv: str, turn: str, system_prompt: str = SYSTEM_PROMPT) -> DataFrame:
-    """Training messages from each user turn and the assistant turn after it.
+    """Training messages of each user turn and the assistant turn after it.
+
+    A user turn without reply has no assistant message, an assistant turn that
+    follows no user turn no user message.  The system message is the first
+    system turn of the conversation, or ``system_prompt`` without one; a
+    conversation of system turns alone has a row with that message.
 
     The join key is (conversation, turn), so one long conversation is spread
     over all tasks.
     """
-    asked = turns.filter(F.col("role") == "user").select(conv, turn, F.col("text").alias("asked"))
-    reply = turns.filter(F.col("role") == "assistant").select(conv, (F.col(turn) - 1).alias(turn), F.col("text").alias("reply"))
-    return asked.join(reply, [conv, turn]).select(conv, turn, chatml(F.col("asked"), F.col("reply"), system_prompt).alias("messages"))
+    asked = turns.filter(F.col("role") == "user").select(conv, turn, F.col("text").alias("asked"), F.lit(True).alias("asks"))
+    reply = turns.filter(F.col("role") == "assistant").select(
+        conv, (F.col(turn) - 1).alias(turn), F.col("text").alias("reply"), F.lit(True).alias("replies")
+    )
+    pairs = asked.join(reply, [conv, turn], "full")
+    first = turns.groupBy(conv).agg(
+        F.min_by(F.when(F.col("role") == "system", F.col("text")), F.when(F.col("role") == "system", F.col(turn))).alias("system"),
+        F.max(F.col("role").isin("user", "assistant")).alias("talks"),
+    )
+    rows = pairs.join(first.filter("talks").select(conv, "system"), conv).unionByName(
+        first.filter("not talks and system is not null").select(conv, "system"), allowMissingColumns=True
+    )
+    messages = F.array_compact(
+        F.array(
+            message("system", F.coalesce("system", F.lit(system_prompt))),
+            F.when(F.col("asks"), message("user", F.col("asked"))),
+            F.when(F.col("replies"), message("assistant", F.col("reply"))),
+        )
+    )
+    return rows.select(conv, turn, messages.alias("messages"))
 
 
 def order_key(ident: Column, seed: int = SEED) -> Column:
@@ -125,7 +141,8 @@ def exact_split(df: DataFrame, ident: str, train_share: float = TRAIN_SHARE, see
 def synthetic_pairs(ids: DataFrame, ident: str, seed: int = SEED) -> DataFrame:
     """A support log and its ticket for every id, drawn by digest.
 
-    Same distributions as a seeded generator would give, another stream.
+    Fields are drawn evenly from their lists and ranges; the highest amount is
+    as likely as any other.
     """
 
     def below(salt: str, n: int) -> Column:
@@ -145,12 +162,16 @@ def synthetic_pairs(ids: DataFrame, ident: str, seed: int = SEED) -> DataFrame:
         at(AGENTS, below("agent", len(AGENTS))).alias("agent"),
     )
     column = lambda i: F.get(F.array(*[F.lit(row[i]) for row in ISSUES]), F.col("issue"))
-    log = at(LOG_TEMPLATES, F.col("issue"))
-    for slot, value in (
-        ("{sid}", F.col("sid")), ("{oid}", F.col("oid")), ("{amt}", F.col("amt").cast("string")),
-        ("{agent}", F.col("agent")), ("{hint}", F.lower(F.col("drawn_priority"))),
-    ):
-        log = F.replace(log, F.lit(slot), value)
+    slots = {
+        "topic": at(TOPICS, F.col("issue")),
+        "sid": F.col("sid"),
+        "amt": F.col("amt").cast("string"),
+        "oid": F.when(column(4), F.col("oid")),
+        "agent": F.when(column(5), F.col("agent")),
+        "hint": F.lower(F.coalesce(column(3), F.col("drawn_priority"))),
+    }
+    # Fields that the ticket lacks are null here, and their phrases drop out.
+    log = F.concat_ws(" ", *[F.replace(F.lit(PHRASES[name]), F.lit("{}"), value) for name, value in slots.items()])
     ticket = F.struct(
         F.concat(F.lit("TKT-"), (F.col(ident) + 1000).cast("string")).alias("ticket_id"),
         F.col("sid").alias("supplier_id"),

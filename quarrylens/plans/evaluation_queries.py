@@ -142,8 +142,13 @@ def triplet_eval(spark: SparkSession, root: str) -> DataFrame:
 
 # Fine-tuning data -----------------------------------------------------------
 
-_SQL_PAIRED = "turns AS (SELECT u.conv_id, u.turn, u.text asked, a.text reply FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')"
 _SQL_SYSTEM = "'" + S.SYSTEM_PROMPT.replace("'", "''") + "'"
+_SQL_PAIRED = f"""
+  sys AS (SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'system') sys, bool_or(role IN ('user', 'assistant')) talks FROM conversations GROUP BY conv_id),
+  met AS (SELECT coalesce(u.conv_id, a.conv_id) conv_id, coalesce(u.turn, a.turn - 1) turn, u.text asked, a.text reply, u.conv_id IS NOT NULL asks, a.conv_id IS NOT NULL replies
+    FROM (SELECT * FROM conversations WHERE role = 'user') u FULL JOIN (SELECT * FROM conversations WHERE role = 'assistant') a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1),
+  turns AS (SELECT conv_id, turn, coalesce(sys, {_SQL_SYSTEM}) sys, asked, reply, asks, replies FROM met JOIN sys USING (conv_id)
+    UNION ALL SELECT conv_id, NULL, sys, NULL, NULL, false, false FROM sys WHERE NOT talks AND sys IS NOT NULL)"""
 
 
 def _pairs(spark: SparkSession, root: str) -> DataFrame:
@@ -152,7 +157,8 @@ def _pairs(spark: SparkSession, root: str) -> DataFrame:
 
 @query(
     "chatml_pack",
-    f"WITH {_SQL_PAIRED} SELECT conv_id, turn, 3::BIGINT n_messages, md5({_SQL_SYSTEM} || '|' || asked || '|' || reply) digest FROM turns",
+    f"""WITH {_SQL_PAIRED} SELECT conv_id, turn, (1 + asks::INT + replies::INT)::BIGINT n_messages,
+    md5(sys || CASE WHEN asks THEN '|' || asked ELSE '' END || CASE WHEN replies THEN '|' || reply ELSE '' END) digest FROM turns""",
 )
 def chatml_pack(spark: SparkSession, root: str) -> DataFrame:
     joined = F.array_join(F.transform("messages", lambda m: m["content"]), "|")
@@ -161,7 +167,7 @@ def chatml_pack(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-@query("role_pick", f"WITH {_SQL_PAIRED} SELECT conv_id, turn, asked user_text, reply assistant_text, 2::BIGINT n_prompt FROM turns")
+@query("role_pick", f"WITH {_SQL_PAIRED} SELECT conv_id, turn, asked user_text, reply assistant_text, (1 + asks::INT)::BIGINT n_prompt FROM turns")
 def role_pick(spark: SparkSession, root: str) -> DataFrame:
     messages = F.col("messages")
     return _pairs(spark, root).select(
@@ -171,7 +177,8 @@ def role_pick(spark: SparkSession, root: str) -> DataFrame:
 
 
 _SQL_CHAT = " || ".join(
-    f"'<|im_start|>{role}' || chr(10) || {text} || '<|im_end|>' || chr(10)" for role, text in (("system", _SQL_SYSTEM), ("user", "asked"), ("assistant", "reply"))
+    f"CASE WHEN {there} THEN '<|im_start|>{role}' || chr(10) || {text} || '<|im_end|>' || chr(10) ELSE '' END"
+    for role, text, there in (("system", "sys", "true"), ("user", "asked", "asks"), ("assistant", "reply", "replies"))
 )
 
 
@@ -282,9 +289,11 @@ def _sql_at(values: tuple, index: str) -> str:
 
 
 _ISSUE = [_sql_at(tuple(row[i] for row in S.ISSUES), "issue") for i in range(6)]
-_SQL_LOG = _sql_at(S.LOG_TEMPLATES, "issue")
-for _slot, _value in (("sid", "sid"), ("oid", "oid"), ("amt", "amt::VARCHAR"), ("agent", "agent"), ("hint", "lower(prio)")):
-    _SQL_LOG = f"replace({_SQL_LOG}, '{{{_slot}}}', {_value})"
+_SLOTS = {
+    "topic": _sql_at(S.TOPICS, "issue"), "sid": "sid", "amt": "amt::VARCHAR", "oid": f"CASE WHEN {_ISSUE[4]} THEN oid END",
+    "agent": f"CASE WHEN {_ISSUE[5]} THEN agent END", "hint": f"lower(coalesce({_ISSUE[3]}, prio))",
+}
+_SQL_LOG = "concat_ws(' ', " + ", ".join(f"replace('{S.PHRASES[name]}', '{{}}', {value})" for name, value in _SLOTS.items()) + ")"
 
 
 @query(

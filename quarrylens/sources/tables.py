@@ -13,15 +13,19 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+FEW_SPLITS = 8
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out over the cores when the input has fewer splits than cores.
+    """Deal rows out over the cores when the input has a handful of splits.
 
     One small file with a single row group is one task however many cores
-    there are.  A large input has more splits than cores and is left alone.
-    Meant for plain scans, whose split count is known without running a job.
+    there are.  An input of ``FEW_SPLITS`` or more is left alone on any
+    cluster: its splits follow ``spark.sql.files.maxPartitionBytes``.  Meant
+    for plain scans, whose split count is known without running a job.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, FEW_SPLITS) else df
 
 
 GOLDEN_SCHEMA = T.StructType(

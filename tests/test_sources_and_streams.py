@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quarrylens.operators import chunking as C
 from quarrylens.operators import html as H
 from quarrylens.operators import sft as S
-from quarrylens.sources import pdf, tables
+from quarrylens.sources import tables
 from quarrylens.streaming import query_log as Q
 
 LONG = "text that is long enough to stay"
@@ -100,19 +100,6 @@ def test_report_file(spark, tmp_path):
     assert tables.read_report(spark, str(tmp_path / "r")).first().avg == 0.5
 
 
-def test_pdf_layout(spark):
-    assert pdf.page_bands(0, 100, [(50, 60), (10, 20), (15, 30)]) == [(0, 10), (30, 50), (60, 100)]
-    assert pdf.page_bands(0, 60, [(0, 60)]) == []
-    page = lambda n, tabs, text: (n, tabs, text)
-    pages = [page(1, [], "INTRO\n\nbody"), page(2, [[["a", None], ["b", "c"]], [["only"]]], "NEXT PART\n\n- x")]
-    df = spark.createDataFrame([("p", pages)], pdf.PAGES_DDL)
-    blocks = df.select(pdf.page_blocks().alias("b")).first().b
-    assert [(b.block_type, b.page_number, b.section_header, b.table_index) for b in blocks] == [
-        ("heading", 1, "INTRO", None), ("prose", 1, "INTRO", None), ("table", 2, "INTRO", 0), ("heading", 2, "NEXT PART", None), ("list_item", 2, "NEXT PART", None),
-    ]
-    assert [b.block_index for b in blocks] == [0, 1, 2, 3, 4]
-
-
 T0 = dt.datetime(2024, 1, 1)
 LOG = "ts timestamp, category string, is_decline boolean, total_latency_ms double"
 
