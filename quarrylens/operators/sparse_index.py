@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylens.functions.text import tokenize
+from quarrylens.operators.blocks import bound
 from quarrylens.operators.ranking import settle, top_k
 from quarrylens.operators.sizing import settle_small_side
 from quarrylens.session import shared_dir
@@ -40,14 +41,33 @@ def term_totals(docs: DataFrame, tokens: Column) -> DataFrame:
     )
 
 
+def term_counts(tokens: Column) -> Column:
+    """(term, tf) of the distinct tokens of an array, counted by its sorted runs."""
+
+    def runs(ordered: Column) -> Column:
+        starts = F.array_compact(F.transform(ordered, lambda t, i: F.when((i == 0) | (t != F.get(ordered, i - 1)), i)))
+        return bound(
+            starts,
+            lambda at: F.transform(
+                at,
+                lambda i, k: F.struct(
+                    F.get(ordered, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(ordered)) - i).cast("long").alias("tf")
+                ),
+            ),
+        )
+
+    return bound(F.sort_array(tokens), runs)
+
+
 def postings(docs: DataFrame, doc_id: str, tokens: Column) -> DataFrame:
     """One row per (document, term): frequency and document length.
 
-    Rows are placed by document once; counting needs no further exchange.
+    A document is one row, so its terms are counted there; nothing is shuffled.
     """
-    placed = docs.select(doc_id, tokens.alias("tokens")).repartition(doc_id)
-    rows = placed.select(doc_id, F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term"))
-    return rows.filter(F.col("term").isNotNull()).groupBy(doc_id, "dl", "term").agg(F.count("*").alias("tf"))
+    rows = docs.select(doc_id, tokens.alias("tokens")).select(
+        doc_id, F.size("tokens").alias("dl"), F.explode_outer(term_counts(F.col("tokens"))).alias("posting")
+    )
+    return rows.filter(F.col("posting").isNotNull()).select(doc_id, "dl", "posting.term", "posting.tf")
 
 
 @dataclass

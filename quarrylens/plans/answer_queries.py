@@ -96,19 +96,32 @@ def _citation(chunk_id: Column, quote: Column) -> Column:
     )
 
 
+def _at(n: int) -> Column:
+    """Where a quote of n characters starts: anywhere in the text, by the document's id."""
+    return (1 + F.pmod(F.col("doc_id") * 7919, F.greatest(F.length("text") - n, F.lit(1)))).cast("int")
+
+
+def _sql_cut(n: int) -> str:
+    return f"substr(text, 1 + (doc_id * 7919) % greatest(length(text) - {n}, 1), {n})"
+
+
+def _cut(n: int) -> Column:
+    return F.substring(F.col("text"), _at(n), F.lit(n))
+
+
 def _responses(spark: SparkSession, root: str) -> DataFrame:
     own = F.concat(F.col("doc_id").cast("string"), F.lit("::0::0"))
     text = F.col("text")
     cites = F.array(
-        _citation(own, F.substring(text, 1, 60)),
-        _citation(own, F.replace(F.substring(text, 11, 50), F.lit(" "), F.lit("\n  "))),
-        F.when(F.col("lang") != "en", _citation(own, F.reverse(F.substring(text, 1, 40)))),
-        F.when(F.col("lang") == "fr", _citation(own, F.substring(text, 1, 2))),
-        F.when(F.col("n_chars") > 2000, _citation(F.lit("missing::0::0"), F.substring(text, 1, 60))),
+        _citation(own, _cut(60)),
+        _citation(own, F.replace(_cut(50), F.lit(" "), F.lit("\n  "))),
+        F.when(F.col("lang") != "en", _citation(own, F.reverse(_cut(40)))),
+        F.when(F.col("lang") == "fr", _citation(own, _cut(2))),
+        F.when(F.col("n_chars") > 2000, _citation(F.lit("missing::0::0"), _cut(60))),
     )
     return documents(spark, root).select(
         F.col("doc_id").alias("response_id"),
-        F.substring(text, 1, 80).alias("answer"),
+        text.alias("answer"),
         (0.25 + F.least(F.col("n_chars"), F.lit(4096)) / 8192).alias("confidence"),
         (F.col("source") == "src0").alias("is_decline"),
         F.when(F.col("source") == "src0", "query_out_of_scope").alias("decline_reason"),
@@ -127,11 +140,11 @@ def _pool(spark: SparkSession, root: str) -> DataFrame:
 _SQL_CITED = f"""
 raw_cites AS (
   SELECT doc_id response_id, unnest(list_filter([
-      {{'known': true, 'p': 0, 'q': substr(text, 1, 60)}},
-      {{'known': true, 'p': 1, 'q': replace(substr(text, 11, 50), ' ', chr(10) || '  ')}},
-      CASE WHEN lang <> 'en' THEN {{'known': true, 'p': 2, 'q': reverse(substr(text, 1, 40))}} END,
-      CASE WHEN lang = 'fr' THEN {{'known': true, 'p': 3, 'q': substr(text, 1, 2)}} END,
-      CASE WHEN n_chars > 2000 THEN {{'known': false, 'p': 4, 'q': substr(text, 1, 60)}} END], lambda c: c IS NOT NULL)) c, text FROM documents),
+      {{'known': true, 'p': 0, 'q': {_sql_cut(60)}}},
+      {{'known': true, 'p': 1, 'q': replace({_sql_cut(50)}, ' ', chr(10) || '  ')}},
+      CASE WHEN lang <> 'en' THEN {{'known': true, 'p': 2, 'q': reverse({_sql_cut(40)})}} END,
+      CASE WHEN lang = 'fr' THEN {{'known': true, 'p': 3, 'q': {_sql_cut(2)}}} END,
+      CASE WHEN n_chars > 2000 THEN {{'known': false, 'p': 4, 'q': {_sql_cut(60)}}} END], lambda c: c IS NOT NULL)) c, text FROM documents),
 judged AS (
   SELECT response_id, c.p p, CASE WHEN NOT c.known THEN 'unknown_chunk' WHEN length({sql_strip('c.q')}) < 10 THEN 'too_short'
     WHEN NOT contains({sql_normalize('text')}, {sql_normalize(sql_strip('c.q'))}) THEN 'not_verbatim' ELSE 'valid' END verdict FROM raw_cites)"""
@@ -247,11 +260,11 @@ def json_parse_rate(spark: SparkSession, root: str) -> DataFrame:
 def _raw_text(spark: SparkSession, root: str) -> DataFrame:
     """Model text per document: JSON in a fence, cut short for German ones."""
     own = F.concat(F.col("doc_id").cast("string"), F.lit("::0::0"))
-    known = F.struct(own.alias("chunk_id"), F.lit(None).cast("string").alias("section_header"), F.substring("text", 1, 40).alias("exact_quote_context"))
+    known = F.struct(own.alias("chunk_id"), F.lit(None).cast("string").alias("section_header"), _cut(40).alias("exact_quote_context"))
     stray = F.struct(F.lit("missing").alias("chunk_id"), F.lit("x").alias("section_header"), F.lit("never retrieved").alias("exact_quote_context"))
     body = F.to_json(
         F.struct(
-            F.substring("text", 1, 80).alias("answer"), (F.least(F.col("n_chars"), F.lit(8192)) / 6554).alias("confidence"),
+            F.col("text").alias("answer"), (F.least(F.col("n_chars"), F.lit(8192)) / 6554).alias("confidence"),
             F.lit(False).alias("is_decline"), F.array(known, stray).alias("citations"),
         ),
         {"ignoreNullFields": "false"},
@@ -262,20 +275,20 @@ def _raw_text(spark: SparkSession, root: str) -> DataFrame:
     return documents(spark, root).select(F.col("doc_id").alias("response_id"), F.col("source").alias("query"), whole.alias("text"))
 
 
-@query("citation_enrich", "SELECT doc_id response_id, doc_id::VARCHAR || '::0::0' chunk_id, doc_id::VARCHAR doc_id, NULL::VARCHAR section_header, 1::BIGINT page_number, lang content_type, length(substr(text, 1, 40))::BIGINT n_chars FROM documents WHERE lang <> 'de'")
+@query("citation_enrich", f"SELECT doc_id response_id, doc_id::VARCHAR || '::0::0' chunk_id, doc_id::VARCHAR doc_id, NULL::VARCHAR section_header, 1::BIGINT page_number, lang content_type, length({_sql_cut(40)})::BIGINT n_chars, md5({_sql_cut(40)}) digest FROM documents WHERE lang <> 'de'")
 def citation_enrich(spark: SparkSession, root: str) -> DataFrame:
     parsed = _raw_text(spark, root).select("response_id", strict_json(V.extract_json(F.col("text"))).alias("v"))
     cites = unfold(parsed, ["response_id"], F.try_variant_get("v", "$.citations", "array<variant>"), "raw", "position")
     out = V.enrich_citations(cites, _pool(spark, root))
     return out.select(
         "response_id", "chunk_id", "doc_id", "section_header", long("page_number").alias("page_number"), "content_type",
-        long(F.length("exact_quote_context")).alias("n_chars"),
+        long(F.length("exact_quote_context")).alias("n_chars"), F.md5(F.encode("exact_quote_context", "UTF-8")).alias("digest"),
     )
 
 
 @query(
     "parse_validate",
-    """WITH c AS (SELECT doc_id response_id, lang = 'de' bad_json, least(n_chars, 8192) / 6554.0::DOUBLE conf, length(substr(text, 1, 40)) < 10 short, length(text) < 1 blank FROM documents),
+    f"""WITH c AS (SELECT doc_id response_id, lang = 'de' bad_json, least(n_chars, 8192) / 6554.0::DOUBLE conf, length({_sql_cut(40)}) < 10 short, length(text) < 1 blank FROM documents),
     v AS (SELECT response_id, conf, CASE WHEN bad_json THEN 'not_json' ELSE concat_ws(',', CASE WHEN blank THEN 'answer_empty' END, CASE WHEN conf > 1 THEN 'confidence_range' END,
       CASE WHEN short THEN 'citation_quote' END) END violations FROM c)
     SELECT response_id, violations, round(CASE WHEN violations <> '' THEN 0 ELSE conf END, 6) confidence, violations <> '' OR conf < 0.3 is_decline,

@@ -19,13 +19,13 @@ from quarrylens.sources.tables import read_jsonl, write_jsonl
 
 
 def _results(spark: SparkSession, root: str) -> DataFrame:
-    """Labelled documents as evaluation rows: toxic ones declined, unscored."""
-    rows = documents(spark, root).join(table(spark, root, "labels"), "doc_id")
+    """All documents as evaluation rows: toxic ones declined, these and unlabelled ones unscored."""
+    rows = documents(spark, root).join(table(spark, root, "labels"), "doc_id", "left")
     scored = F.col("toxic") == 0
     return rows.select(
         F.col("doc_id").alias("response_id"),
         F.col("lang").alias("category"),
-        (F.col("toxic") == 1).alias("is_decline"),
+        F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("is_decline"),
         F.when(scored, 0.5 + F.col("quality") * 0.25 + F.least(F.col("n_chars"), F.lit(2048)) / 8192).alias("faithfulness"),
         F.when(scored & (F.col("quality") == 1), F.least(F.col("n_chars"), F.lit(1024)) / 1024).alias("context_recall"),
         F.when(scored, F.col("quality").cast("double")).alias("context_precision"),
@@ -35,12 +35,12 @@ def _results(spark: SparkSession, root: str) -> DataFrame:
 
 
 _SQL_RESULTS = """results AS (
-  SELECT doc_id response_id, lang category, toxic = 1 is_decline,
+  SELECT doc_id response_id, lang category, coalesce(toxic = 1, false) is_decline,
     CASE WHEN toxic = 0 THEN 0.5::DOUBLE + quality * 0.25::DOUBLE + least(n_chars, 2048) / 8192.0::DOUBLE END faithfulness,
     CASE WHEN toxic = 0 AND quality = 1 THEN least(n_chars, 1024) / 1024.0::DOUBLE END context_recall,
     CASE WHEN toxic = 0 THEN quality::DOUBLE END context_precision, least(n_chars, 4096) / 4096.0::DOUBLE confidence,
     CASE WHEN n_chars < 200 THEN 'too short' END error
-  FROM documents JOIN labels USING (doc_id))"""
+  FROM documents LEFT JOIN labels USING (doc_id))"""
 
 
 @query("row_gate", f"WITH {_SQL_RESULTS} SELECT response_id, coalesce(faithfulness >= 0.85, false) passed FROM results")
