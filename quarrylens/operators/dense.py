@@ -23,6 +23,8 @@ ENCODE_BATCH = 32
 # --------------------------------------------------------------------------
 
 # Largest query matrix sent to every task.
+# Scores held at once, and queries of one tile.
+TILE_BYTES, TILE_SIDE = 32 << 20, 4096
 BROADCAST_BYTES = 64 << 20
 # Rows per side of a block when the queries exceed that.
 BLOCK_ROWS = 16384
@@ -61,6 +63,21 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return _cut(query, vec, value, k)
 
 
+def _best_of_product(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best k of every query over all vectors, in tiles of at most ``TILE_BYTES`` of scores."""
+    rows = min(len(queries), TILE_SIDE)
+    columns = max(1, TILE_BYTES // (8 * max(1, rows)))
+    out = []
+    for q in range(0, len(queries), rows):
+        held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float64))
+        for v in range(0, len(vectors), columns):
+            scores = np.round(queries[q : q + rows] @ vectors[v : v + columns].T, SCORE_DECIMALS)
+            fresh = _best(scores, ids[v : v + columns], k)
+            held = _cut(*(np.concatenate(pair) for pair in zip(held, fresh)), k)
+        out.append((held[0] + q, held[1], held[2]))
+    return tuple(np.concatenate(parts) for parts in zip(*out))
+
+
 def _cut(query: np.ndarray, vec: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.lexsort((vec, -value, query))
     query, vec, value = query[order], vec[order], value[order]
@@ -117,8 +134,7 @@ def _against_broadcast(vectors: DataFrame, queries: pa.Table, k: int) -> DataFra
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            scores = np.round(matrix @ _matrix(batch.column("embedding")).T, SCORE_DECIMALS)
-            fresh = _best(scores, batch.column("vec_id").to_numpy(), k)
+            fresh = _best_of_product(matrix, _matrix(batch.column("embedding")), batch.column("vec_id").to_numpy(), k)
             held = _cut(*(np.concatenate(pair) for pair in zip(held, fresh)), k)
         if len(held[0]):
             yield _table(query_ids, held)
@@ -147,10 +163,9 @@ def _by_blocks(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int)
     def meet(query_block: pa.Table, vector_block: pa.Table) -> pa.Table:
         if not query_block.num_rows or not vector_block.num_rows:
             return _HITS.empty_table()
-        scores = np.round(
-            _matrix(query_block.column("embedding")) @ _matrix(vector_block.column("embedding")).T, SCORE_DECIMALS
+        hits = _best_of_product(
+            _matrix(query_block.column("embedding")), _matrix(vector_block.column("embedding")), vector_block.column("vec_id").to_numpy(), k
         )
-        hits = _best(scores, vector_block.column("vec_id").to_numpy(), k)
         return pa.Table.from_batches([_table(query_block.column("query_id").to_numpy(), hits)])
 
     return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(meet, _HITS_DDL)

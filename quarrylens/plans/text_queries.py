@@ -370,7 +370,10 @@ def src_pages(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "pages").select("page_id", long(F.length("html")).alias("n_chars"), "url")
 
 
-@query("html_h1", f"SELECT page_id, {sql_strip('regexp_extract(html, ' + chr(39) + '(?is)<h1[^>]*>([^<]*)</h1>' + chr(39) + ', 1)')} title FROM pages")
+_SQL_H1 = "regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')"
+
+
+@query("html_h1", f"SELECT page_id, {sql_strip(_SQL_H1)} title FROM pages")
 def html_h1(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "pages").select("page_id", strip(first_heading(F.col("html"))).alias("title"))
 

@@ -7,11 +7,13 @@ from __future__ import annotations
 
 import argparse
 import sys
+import uuid
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from quarrylens.operators import evaluation as E
+from quarrylens.session import shared_dir
 from quarrylens.sources.tables import read_golden_set, write_jsonl, write_report
 
 
@@ -32,7 +34,11 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         # Ids follow the file order: partitions are numbered in reading order.
         triplets = rows.withColumn("response_id", F.monotonically_increasing_id())
         chosen = E.first_triplets(triplets, "response_id", E.FAST_TRIPLETS if args.fast else 0)
-        results = E.evaluate_triplets(chosen)
+        # Written once: the report, the verdict and the output files read the same answers.
+        path = f"{shared_dir(spark)}/evaluation-{uuid.uuid4().hex}"
+        answered = E.evaluate_triplets(chosen)
+        answered.write.parquet(path)
+        results = spark.read.schema(answered.schema).parquet(path)
         report = E.eval_report(results, args.threshold)
         figures = report.first().asDict()
         verdict = E.gate_verdict(results, args.threshold, args.require_all_categories).first()
