@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrylens.llm.shared import pinned
+
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
@@ -114,15 +116,11 @@ def quality_verdicts(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFr
     broken = [F.when(~holds(rule), F.lit(rule.name)) for rule in rules]
     broken_rules = F.array_compact(F.array(*broken)) if broken else F.array().cast("array<string>")
     judged = measures(docs).withColumn("base_failed", base).withColumn("broken_rules", broken_rules)
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.size("broken_rules") == 0))
+    return judged.withColumn("kept", pinned(~F.col("base_failed") & (F.size("broken_rules") == 0)))
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows that pass, with all their columns; judged in the row, never joined by id."""
     whole = F.struct(*docs.columns)
     judged = quality_verdicts(docs.select(whole.alias("doc_id"), F.col("text")), rules)
-    # A filter is not moved below a column that is not deterministic.  Moved
-    # down, it would fold the arrays into its formula and compute them for
-    # every word.
-    judged = judged.select("doc_id", "kept", F.spark_partition_id().alias("task"))
-    return judged.filter(F.col("kept") & (F.col("task") >= 0)).select("doc_id.*")
+    return judged.filter("kept").select("doc_id.*")

@@ -29,6 +29,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrylens.llm.shared import pinned
+
 # The shapes, in the order in which equal starts are listed.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -217,7 +219,7 @@ def secret_report(docs: DataFrame, margin: float = MARGIN) -> DataFrame:
     rows = secret_spans(docs, margin=margin)
     base = F.filter("all_spans", lambda s: s["kind"] < 3)
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
-    return rows.select("doc_id", *counts, F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("all_spans")).alias("spans"))
+    return rows.select("doc_id", *counts, pinned(F.sha2(spelled(base), 256)).alias("base_sha256"), spelled(F.col("all_spans")).alias("spans"))
 
 
 def mask_secrets(docs: DataFrame, mask: str = "<secret>", ratios: list[float] | None = None) -> DataFrame:
@@ -244,7 +246,7 @@ def mask_secrets(docs: DataFrame, mask: str = "<secret>", ratios: list[float] |
     columns = []
     for c in docs.columns:
         if c == "text":
-            columns.append(F.col("masked").alias("text"))
+            columns.append(pinned(F.col("masked")).alias("text"))
         elif c == "n_chars":
             changed = F.length("masked").cast(docs.schema["n_chars"].dataType)
             columns.append(F.when(F.size("all_spans") > 0, changed).otherwise(F.col("doc_id.n_chars")).alias("n_chars"))

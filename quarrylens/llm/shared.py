@@ -5,7 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarrylens.session import shared_dir
 from quarrylens.sources.tables import read_table
@@ -44,3 +45,12 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def tasks(spark: SparkSession) -> int:
     """Partitions for shuffles whose width an operator sets itself."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def pinned(column: Column) -> Column:
+    """The same column, below whose projection no filter is moved.
+
+    A filter moved down would fold the arrays of the projections under it into
+    its own formula and compute them again for every item.
+    """
+    return F.when(F.spark_partition_id() >= 0, column)
