@@ -95,16 +95,21 @@ def hybrid_search(
     top_k_retrieve: int = CANDIDATES,
     top_k_rerank: int = FINAL_K,
     scorer: str | Scorer = "lexical",
+    where: Column | None = None,
 ) -> DataFrame:
     """Dense and sparse retrieval, fusion and rerank as one plan.
 
     ``vectors`` has (vec_id, embedding), vec_id being the id of an indexed
-    document.
+    document.  ``where`` selects documents, by their columns, for both legs
+    before their limits.
     """
+    if where is not None:
+        allowed = index.docs.filter(where).select(F.col(index.doc_id).alias("vec_id"))
+        vectors = vectors.join(allowed, "vec_id", "left_semi")
     asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_text).alias("query"))
     docs = index.docs.select(F.col(index.doc_id).alias("doc_id"), F.col(index.text).alias("content"))
     dense = dense_topk(vectors, query_vectors, top_k_retrieve).withColumnRenamed("vec_id", "doc_id")
-    sparse = index.search(queries, query_id, query_text, top_k_retrieve)
+    sparse = index.search(queries, query_id, query_text, top_k_retrieve, where)
     fused = rrf_fuse(dense, sparse, top_k_retrieve)
     return rerank(fused, asked, docs, top_k_rerank, scorer)
 

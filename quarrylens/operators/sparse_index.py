@@ -142,25 +142,19 @@ class SparseIndex:
 
         ``where`` selects documents before scoring; statistics stay global.
 
-        Query terms reach the scan by broadcast when their counted number
-        allows, by a shuffle join beyond it.  The matching tokens are then
-        placed by document, which serves counting, scoring and the partial
-        top-k without another exchange of pairs.
-
-        Tokens are exploded with the outer form: the inner one makes Catalyst
-        infer a size filter that tokenizes every text two more times.
+        Terms are counted inside each document's row.  Query terms reach the
+        scan by broadcast when their counted number allows, by a shuffle join
+        beyond it.  The matching counts are then placed by document, which
+        serves scoring and the partial top-k without another exchange of pairs.
         """
         weights, small = self._weights(queries, query_id, query_text)
         docs = self.docs if where is None else self.docs.filter(where)
-        tokens = docs.select(F.col(self.doc_id).alias("doc_id"), tokenize(F.col(self.text)).alias("tokens"))
-        norm = F.lit(self.k1) * (1 - self.b + self.b * F.size("tokens") / F.lit(self.avgdl))
+        counted = postings(docs.withColumn("doc_id", F.col(self.doc_id)), "doc_id", tokenize(F.col(self.text)))
+        norm = F.lit(self.k1) * (1 - self.b + self.b * F.col("dl") / F.lit(self.avgdl))
         found = (
-            tokens.select("doc_id", norm.alias("norm"), F.explode_outer("tokens").alias("term"))
-            .filter(F.col("term").isNotNull())
+            counted.select("doc_id", norm.alias("norm"), "term", "tf")
             .join(_marked(weights.select("term").distinct(), small), "term", "left_semi")
             .repartition("doc_id")
-            .groupBy("doc_id", "norm", "term")
-            .agg(F.count("*").alias("tf"))
         )
         return _rank(found, _marked(weights, small), k)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylens.functions.text import tokenize
@@ -44,7 +44,9 @@ dense AS (
   FROM embeddings q JOIN benchmark b ON b.item_id = q.vec_id, embeddings v WHERE {where} QUALIFY rank <= {k})"""
 
 
-SQL_FUSED = f"""{sql_bm25()}, {sql_dense(where='v.vec_id IN (SELECT doc_id FROM documents)')},
+def sql_fused(where: str = "true") -> str:
+    """Both legs over the documents that ``where`` selects, fused."""
+    return f"""{sql_bm25(where=where)}, {sql_dense(where=f'v.vec_id IN (SELECT doc_id FROM documents WHERE {where})')},
 fused AS (
   SELECT query_id, doc_id, d.rank dense_rank, s.rank bm25_rank,
     coalesce(1.0::DOUBLE / (60 + d.rank), 0) + coalesce(1.0::DOUBLE / (60 + s.rank), 0) rrf_score
@@ -54,6 +56,9 @@ ranked AS (
   FROM fused QUALIFY rank <= 25)"""
 
 
+SQL_FUSED = sql_fused()
+
+
 def sql_reranked(source: str) -> str:
     return f"""
 covered AS (
@@ -190,10 +195,10 @@ def rerank_lexical(spark: SparkSession, root: str) -> DataFrame:
     return best.select("query_id", long("rank").alias("rank"), "doc_id", r6("rerank_score").alias("rerank_score"))
 
 
-def hybrid_hits(spark: SparkSession, root: str) -> DataFrame:
+def hybrid_hits(spark: SparkSession, root: str, where: Column | None = None) -> DataFrame:
     return fusion.hybrid_search(
         build_index(spark, root), table(spark, root, "benchmark"), "item_id", "text",
-        corpus_vectors(spark, root), query_vectors(spark, root),
+        corpus_vectors(spark, root), query_vectors(spark, root), where=where,
     )
 
 
@@ -203,7 +208,21 @@ def hybrid_hits(spark: SparkSession, root: str) -> DataFrame:
     SELECT query_id, rank, doc_id, dense_rank, bm25_rank, round(rrf_score, 6) rrf_score, round(rerank_score, 6) rerank_score FROM reranked""",
 )
 def hybrid_search(spark: SparkSession, root: str) -> DataFrame:
-    return hybrid_hits(spark, root).select(
+    return _hybrid_rows(hybrid_hits(spark, root))
+
+
+@query(
+    "hybrid_search_filtered",
+    f"""WITH {sql_fused(_ENGLISH)}, {sql_reranked('ranked')}
+    SELECT query_id, rank, doc_id, dense_rank, bm25_rank, round(rrf_score, 6) rrf_score, round(rerank_score, 6) rerank_score FROM reranked""",
+)
+def hybrid_search_filtered(spark: SparkSession, root: str) -> DataFrame:
+    """English documents only, on both legs."""
+    return _hybrid_rows(hybrid_hits(spark, root, F.col("lang") == "en"))
+
+
+def _hybrid_rows(hits: DataFrame) -> DataFrame:
+    return hits.select(
         "query_id", long("rank").alias("rank"), "doc_id", long("dense_rank").alias("dense_rank"),
         long("bm25_rank").alias("bm25_rank"), r6("rrf_score").alias("rrf_score"), r6("rerank_score").alias("rerank_score"),
     )
