@@ -75,12 +75,12 @@ def chunk_uuid(spark: SparkSession, root: str) -> DataFrame:
 
 @query(
     "para_split",
-    f"WITH {_sql_lines('text')} SELECT doc_id, pos::BIGINT pos, length(p)::BIGINT n_chars FROM paras",
+    f"WITH {_sql_lines('text')} SELECT doc_id, pos::BIGINT pos, length(p)::BIGINT n_chars, md5(p) digest FROM paras",
 )
 def para_split(spark: SparkSession, root: str) -> DataFrame:
     doubled = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
     rows = unfold(documents(spark, root), ["doc_id"], B.paragraphs(doubled), "p", "pos")
-    return rows.select("doc_id", long("pos").alias("pos"), long(F.length("p")).alias("n_chars"))
+    return rows.select("doc_id", long("pos").alias("pos"), long(F.length("p")).alias("n_chars"), F.md5(F.encode("p", "UTF-8")).alias("digest"))
 
 
 @query("heading_flag", f"WITH {_sql_lines(_SQL_MARKED)} SELECT doc_id, pos::BIGINT pos, {_SQL_HEADING} is_heading FROM paras")
@@ -143,8 +143,8 @@ def _line_table(text: Column) -> Column:
 
 
 _SQL_CELL = f"replace({sql_strip('replace(l, chr(124), chr(92) || chr(124))')}, chr(10), ' ')"
-_SQL_TABLE = f"""'| line | text |' || chr(10) || '| --- | --- |' || chr(10) ||
-  array_to_string(list_transform(string_split(text, chr(10)), lambda l, i: '| ' || i || ' | ' || {_SQL_CELL} || ' |'), chr(10))"""
+_SQL_TABLE_LINES = f"list_transform(string_split(text, chr(10)), lambda l, i: '| ' || i || ' | ' || {_SQL_CELL} || ' |')"
+_SQL_TABLE = f"""'| line | text |' || chr(10) || '| --- | --- |' || chr(10) || array_to_string({_SQL_TABLE_LINES}, chr(10))"""
 
 
 @query("table_serialize", f"SELECT doc_id, md5({_SQL_TABLE}) digest, length({_SQL_TABLE})::BIGINT n_chars FROM documents")
@@ -156,14 +156,18 @@ def table_serialize(spark: SparkSession, root: str) -> DataFrame:
 @query(
     "md_table_parse",
     f"""SELECT doc_id, 1 + len(string_split(text, chr(10)))::BIGINT n_rows, 2::BIGINT n_cols,
-      4 + 4 + list_sum(list_transform(string_split(text, chr(10)), lambda l, i: length(i::VARCHAR) + length({sql_strip('l')})))::BIGINT cell_chars
+      4 + 4 + list_sum(list_transform(string_split(text, chr(10)), lambda l, i: length(i::VARCHAR) + length({sql_strip('l')})))::BIGINT cell_chars,
+      md5(array_to_string(['line', 'text'] || flatten(list_transform(string_split(text, chr(10)), lambda l, i: [i::VARCHAR, {sql_strip('l')}])), chr(1))) digest
     FROM documents""",
 )
 def md_table_parse(spark: SparkSession, root: str) -> DataFrame:
     rows = documents(spark, root).select("doc_id", B.parse_markdown_table(B.serialize_table(_line_table(F.col("text")))).alias("t"))
     chars = F.aggregate("t", F.lit(0), lambda n, r: n + F.aggregate(r, F.lit(0), lambda m, c: m + F.length(c)))
     width = F.array_max(F.transform("t", lambda r: F.size(r)))
-    return rows.select("doc_id", long(F.size("t")).alias("n_rows"), long(width).alias("n_cols"), long(chars).alias("cell_chars"))
+    return rows.select(
+        "doc_id", long(F.size("t")).alias("n_rows"), long(width).alias("n_cols"), long(chars).alias("cell_chars"),
+        F.md5(F.encode(F.array_join(F.flatten("t"), "\x01"), "UTF-8")).alias("digest"),
+    )
 
 
 # Greedy cuts in SQL: from each start, the last row whose running size fits.
@@ -180,20 +184,26 @@ cuts(doc_id, lo, hi, base, n) AS (
   WHERE c.hi < c.n AND p.i > c.hi AND (p.i = c.hi + 1 OR (29 + p.s - c.base) // 4 + 1 <= 750)
   GROUP BY c.doc_id, c.hi, c.n)
 SELECT c.doc_id, (row_number() OVER (PARTITION BY c.doc_id ORDER BY c.lo) - 1)::BIGINT chunk_pos,
-  (29 + c.base - coalesce(lag(c.base) OVER (PARTITION BY c.doc_id ORDER BY c.lo), 0))::BIGINT n_chars
-FROM cuts c WHERE c.lo > 0
+  (29 + c.base - coalesce(lag(c.base) OVER (PARTITION BY c.doc_id ORDER BY c.lo), 0))::BIGINT n_chars,
+  md5('| line | text |' || chr(10) || '| --- | --- |' || chr(10) || array_to_string({_SQL_TABLE_LINES}[c.lo:c.hi], chr(10))) digest
+FROM cuts c JOIN documents USING (doc_id) WHERE c.lo > 0
 UNION ALL
-SELECT doc_id, 0, length({_SQL_TABLE}) FROM documents WHERE length({_SQL_TABLE}) // 4 + 1 <= 750"""
+SELECT doc_id, 0, length({_SQL_TABLE}), md5({_SQL_TABLE}) FROM documents WHERE length({_SQL_TABLE}) // 4 + 1 <= 750"""
+
+
+def _with_digest(rows: DataFrame) -> DataFrame:
+    digest = F.md5(F.encode("t", "UTF-8"))
+    return rows.select("doc_id", long("chunk_pos").alias("chunk_pos"), long(F.length("t")).alias("n_chars"), digest.alias("digest"))
 
 
 @query("table_split", _SQL_TABLE_CUTS)
 def table_split(spark: SparkSession, root: str) -> DataFrame:
     markdown = B.serialize_table(_line_table(F.col("text")))
     rows = unfold(documents(spark, root).select("doc_id", markdown.alias("m")), ["doc_id"], C.table_split(F.col("m")), "t", "chunk_pos")
-    return rows.select("doc_id", long("chunk_pos").alias("chunk_pos"), long(F.length("t")).alias("n_chars"))
+    return _with_digest(rows)
 
 
-def _sql_word_cuts(words: str, weight: str, fits: str, size: str) -> str:
+def _sql_word_cuts(words: str, weight: str, fits: str, size: str, glue: str) -> str:
     """Greedy packing of ``words`` per document by recursive cuts."""
     return f"""
 WITH RECURSIVE parts AS (SELECT doc_id, unnest({words}) w, generate_subscripts({words}, 1) i FROM documents),
@@ -204,33 +214,34 @@ cuts(doc_id, lo, hi, base, chars, n) AS (
   SELECT c.doc_id, c.hi + 1, max(p.i), max_by(p.s, p.i), max_by(p.c, p.i), c.n FROM cuts c JOIN pre p ON p.doc_id = c.doc_id
   WHERE c.hi < c.n AND p.i > c.hi AND (p.i = c.hi + 1 OR {fits})
   GROUP BY c.doc_id, c.hi, c.n)
-SELECT doc_id, (row_number() OVER w - 1)::BIGINT chunk_pos, ({size})::BIGINT n_chars
-FROM cuts WHERE lo > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY lo)"""
+SELECT doc_id, (row_number() OVER w - 1)::BIGINT chunk_pos, ({size})::BIGINT n_chars,
+  md5(array_to_string(({words})[lo:hi], '{glue}')) digest
+FROM cuts JOIN documents USING (doc_id) WHERE lo > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY lo)"""
 
 
 @query(
     "hard_split",
     _sql_word_cuts(
         "string_split(text, ' ')", "(length(w) + 1) // 4 + 1", "p.s - c.base <= 600",
-        "chars - coalesce(lag(chars) OVER w, 0) + hi - lo",
+        "chars - coalesce(lag(chars) OVER w, 0) + hi - lo", " ",
     ),
 )
 def hard_split(spark: SparkSession, root: str) -> DataFrame:
     rows = unfold(documents(spark, root), ["doc_id"], C.hard_split(F.col("text"), 600), "t", "chunk_pos")
-    return rows.select("doc_id", long("chunk_pos").alias("chunk_pos"), long(F.length("t")).alias("n_chars"))
+    return _with_digest(rows)
 
 
 @query(
     "greedy_merge",
     _sql_word_cuts(
         "list_filter(string_split(text, '. '), lambda x: x <> '')", "length(w) + 2", "(p.s - c.base - 2) // 4 + 1 <= 600",
-        "chars - coalesce(lag(chars) OVER w, 0) + 2 * (hi - lo)",
+        "chars - coalesce(lag(chars) OVER w, 0) + 2 * (hi - lo)", ". ",
     ),
 )
 def greedy_merge(spark: SparkSession, root: str) -> DataFrame:
     parts = F.array_remove(F.split(F.col("text"), r"\. "), "")
     rows = unfold(documents(spark, root), ["doc_id"], C.greedy_merge(parts, ". ", 600), "t", "chunk_pos")
-    return rows.select("doc_id", long("chunk_pos").alias("chunk_pos"), long(F.length("t")).alias("n_chars"))
+    return _with_digest(rows)
 
 
 def _sql_level(level: int, source: str, cond: str, sep: str, weight: str, fits: str, swallow: bool = True) -> str:
@@ -348,14 +359,15 @@ def overlap_flags(spark: SparkSession, root: str) -> DataFrame:
     w AS (SELECT doc_id, pos, unnest(string_split(p, ' ')) w, generate_subscripts(string_split(p, ' '), 1) i FROM paras),
     back AS (SELECT *, sum((length(w) + 1) // 4 + 1) OVER (PARTITION BY doc_id, pos ORDER BY i DESC) s FROM w)
     SELECT doc_id, pos::BIGINT pos, coalesce(count(*) FILTER (s <= 100), 0)::BIGINT n_words,
-      (coalesce(sum(length(w)) FILTER (s <= 100), 0) + greatest(count(*) FILTER (s <= 100) - 1, 0))::BIGINT n_chars
+      (coalesce(sum(length(w)) FILTER (s <= 100), 0) + greatest(count(*) FILTER (s <= 100) - 1, 0))::BIGINT n_chars,
+      md5(coalesce(string_agg(w, ' ' ORDER BY i) FILTER (s <= 100), '')) digest
     FROM back GROUP BY doc_id, pos""",
 )
 def overlap_tail(spark: SparkSession, root: str) -> DataFrame:
     paras = B.paragraphs(F.col("text"), every_line=True)
     rows = unfold(documents(spark, root), ["doc_id"], paras, "p", "pos").select("doc_id", "pos", C.overlap_tail(F.col("p")).alias("t"))
     words = F.when(F.col("t") == "", 0).otherwise(F.size(F.split("t", " ")))
-    return rows.select("doc_id", long("pos").alias("pos"), long(words).alias("n_words"), long(F.length("t")).alias("n_chars"))
+    return rows.select("doc_id", long("pos").alias("pos"), long(words).alias("n_words"), long(F.length("t")).alias("n_chars"), F.md5(F.encode("t", "UTF-8")).alias("digest"))
 
 
 @query("strip_overlap", "SELECT doc_id, md5(text) digest, length(text)::BIGINT n_chars FROM documents")
@@ -365,9 +377,9 @@ def strip_overlap(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("doc_id", F.md5(F.encode("t", "UTF-8")).alias("digest"), long(F.length("t")).alias("n_chars"))
 
 
-@query("src_pages", "SELECT page_id, length(html)::BIGINT n_chars, url FROM pages")
+@query("src_pages", "SELECT page_id, length(html)::BIGINT n_chars, url, md5(html) digest FROM pages")
 def src_pages(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "pages").select("page_id", long(F.length("html")).alias("n_chars"), "url")
+    return table(spark, root, "pages").select("page_id", long(F.length("html")).alias("n_chars"), "url", F.md5(F.encode("html", "UTF-8")).alias("digest"))
 
 
 _SQL_H1 = "regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')"
