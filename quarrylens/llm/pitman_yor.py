@@ -8,13 +8,14 @@ all rare words, whose own share follows their counts.  A word is frequent when
 it makes up at least ``FREQUENT`` of the training tokens, so there are at most
 1 / FREQUENT of them whatever the corpus.  All counts cover all training texts.
 
-Seating is sampled by Gibbs: in every step each pair takes one random customer
-out and seats it anew, at a table in proportion to its customers less the
-discount, or at a new one in proportion to the parent's probability.  Pairs of
-more than ``BLOCKED`` customers draw the number of their tables as a whole from
-the growth law of the restaurant.  Pairs are dealt over shards; between rounds
-the table counts of contexts and dishes are added up over all shards.  The
-predictive probability of a pair is the mean over the kept samples.
+Seating is sampled by Gibbs in rounds, each a sweep over all customers of all
+pairs.  The driver draws the parent's probabilities and, for every context, a
+gamma variable of its number of tables; given these, the pairs are independent,
+whatever shard they lie in, and each draws its number of tables from its exact
+conditional, in which the seats of all its customers are summed out.  So a
+round needs no seats of the round before, only the table counts of contexts and
+dishes, added up over all shards.  The first ``BURN_IN`` rounds are dropped; the
+predictive probability of a pair is the mean over the samples of the others.
 
 Data moves in blocks of numbers: a task sends each shard the pairs of its
 documents, sorted and written as differences, and gets sums for each document
@@ -32,6 +33,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +49,13 @@ FREQUENT = 2.0**-20
 SMOOTH = 0.1
 STRENGTH = 1.0
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.5, 1.0
-ROUNDS, STEPS = 2, 8
-BLOCKED = 256
+# Rounds, those of them that are dropped, and sweeps in a round: one, as what is
+# drawn for it holds for all shards.
+ROUNDS, BURN_IN, STEPS = 10, 6, 1
+# Customers up to which the laws of table numbers are listed.
+LISTED = 1024
+# Numbers of tables whose chances are held at a time.
+CELLS = 1 << 18
 # Documents and bytes of text of a block, and bytes of text for each shard.
 TEXTS, TEXT_BYTES = 8192, 8 << 20
 SHARD_BYTES = 16 << 20
@@ -142,10 +149,21 @@ class Root:
     tables: np.ndarray  # tables of each context
     customers: np.ndarray  # of each dish: the tables of all contexts
     prob: np.ndarray
+    # Drawn for the next sweep, the same for all shards.
+    base: np.ndarray | None = None  # the parent's probabilities
+    mass: np.ndarray | None = None  # of each context
 
 
-def root_of(tables: np.ndarray, customers: np.ndarray, rng: np.random.Generator) -> Root:
-    """Seats the parent's customers and returns its predictive probabilities."""
+def context_mass(tables: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Gamma variables that make the dishes of a context independent.
+
+    The product of STRENGTH + discount * k over k tables is a moment of them.
+    """
+    return rng.gamma(STRENGTH / discount + tables)
+
+
+def root_of(tables: np.ndarray, customers: np.ndarray, discount: float, rng: np.random.Generator) -> Root:
+    """Seats the parent's customers, and returns its predictive probabilities and what the next sweep needs."""
     n = max(1, len(customers) - 1)  # the start of a text is never a dish
     own = (customers > 0).astype(np.float64)
     share = (ROOT_STRENGTH + ROOT_DISCOUNT * own.sum()) / n
@@ -153,76 +171,69 @@ def root_of(tables: np.ndarray, customers: np.ndarray, rng: np.random.Generator)
     own += np.where(customers > 1, rng.poisson(share / n * np.log1p(customers)), 0)
     own = np.minimum(own, customers)
     mass = (ROOT_STRENGTH + ROOT_DISCOUNT * own.sum()) / n
-    prob = (customers - ROOT_DISCOUNT * own + mass) / (ROOT_STRENGTH + customers.sum())
+    weights = customers - ROOT_DISCOUNT * own + mass
+    prob = weights / (ROOT_STRENGTH + customers.sum())
     prob[-1] = 0.0
-    return Root(tables.astype(np.float64), customers.astype(np.float64), prob)
+    base = rng.gamma(weights)
+    base /= base.sum()
+    return Root(tables.astype(np.float64), customers.astype(np.float64), prob, base, context_mass(tables, discount, rng))
+
+
+@lru_cache(maxsize=4)
+def listed_ways(discount: float) -> np.ndarray:
+    """Logs of the generalized Stirling numbers: all seatings of c customers at t tables, each by its weight."""
+    ways = np.full((LISTED + 1, LISTED + 1), -np.inf)
+    ways[1, 1] = 0.0
+    t = np.arange(1, LISTED + 1)
+    for c in range(1, LISTED):
+        ways[c + 1, 1 : c + 2] = np.logaddexp(ways[c, : c + 1], np.log(np.maximum(c - discount * t[: c + 1], 1e-300)) + ways[c, 1 : c + 2])
+    return ways
+
+
+def _picked(logs: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A position in each row, by logs of weights."""
+    chances = np.exp(logs - logs.max(axis=1, keepdims=True)).cumsum(axis=1)
+    return (chances < rng.random((len(logs), 1)) * chances[:, -1:]).sum(axis=1)
+
+
+def drawn_tables(counts: np.ndarray, rates: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Numbers of tables of pairs, by rates**t times the ways to seat their customers at t tables."""
+    tables = np.minimum(counts, 1).astype(np.int64)
+    log_rates = np.log(np.maximum(rates, 1e-300))
+    ways = listed_ways(discount)
+    some = np.flatnonzero((counts > 1) & (counts <= LISTED))
+    some = some[np.argsort(counts[some], kind="stable")]
+    cuts = np.flatnonzero(np.diff(counts[some], prepend=-1)).tolist()
+    for a, b in zip(cuts, [*cuts[1:], len(some)]):
+        c = int(counts[some[a]])
+        for k in range(a, b, max(1, CELLS // c)):
+            part = some[k : min(b, k + max(1, CELLS // c))]
+            tables[part] = 1 + _picked(log_rates[part][:, None] * np.arange(1, c + 1) + ways[c, 1 : c + 1], rng)
+    big = np.flatnonzero(counts > LISTED)
+    if len(big):
+        c, open_rate = counts[big], rates[big]
+        tables[big] = np.minimum(c, 1 + rng.poisson(open_rate * np.log((open_rate + c) / (open_rate + 1))))
+    return tables
 
 
 def seat_pairs(pairs: np.ndarray, counts: np.ndarray, start: np.ndarray, root: Root, discount: float, steps: int, seed: list[int]) -> np.ndarray:
-    """Numbers of tables of all pairs after ``steps`` Gibbs steps.
+    """Numbers of tables of all pairs after ``steps`` Gibbs sweeps.
 
-    ``start`` holds the numbers of tables to begin with.  Table counts of
-    contexts and dishes follow this shard's own moves at once, those of other
-    shards from round to round.
+    ``start`` holds the numbers of tables that ``root`` counts for them.  The
+    first sweep uses what was drawn for all shards; further ones draw the mass
+    of contexts anew, by this shard's own moves.
     """
     rng = np.random.default_rng(seed)
-    tables = start.astype(np.int64).copy()
+    tables = start.astype(np.int64)
     context, dish = (pairs >> _WORD_BITS).astype(np.int64), (pairs & _WORD_MASK).astype(np.int64)
-    held, known = root.tables.copy(), root.customers.copy()
-    whole = root.customers.sum()
-
-    def parent(w: np.ndarray) -> np.ndarray:
-        return np.maximum(root.prob[w] + (known[w] - root.customers[w]) / (ROOT_STRENGTH + whole), 1e-12)
-
-    big = np.flatnonzero(counts > BLOCKED)
-    if len(big):
-        u, w, c = context[big], dish[big], counts[big]
-        open_rate = (STRENGTH + discount * held[u]) * parent(w)
-        tables[big] = np.minimum(c, 1 + rng.poisson(open_rate * np.log((open_rate + c) / (open_rate + 1))))
-    some = np.flatnonzero((counts > 1) & (counts <= BLOCKED))
-    if not len(some):
-        return tables
-    u, w, c, t = context[some], dish[some], counts[some], tables[some]
-    at = np.concatenate(([0], np.cumsum(c)[:-1]))
-    # A customer's table and a table's customers live in slots of the pair;
-    # unused table slots are kept on a stack.
-    place = np.arange(int(c.sum())) - np.repeat(at, c)
-    first = np.repeat(t, c)
-    seat = np.where(place < first, place, 0).astype(np.int32)
-    size = np.where(place == 0, np.repeat(c - t + 1, c), (place < first).astype(np.int64)).astype(np.int32)
-    spare = np.minimum(place + first, np.repeat(c, c) - 1).astype(np.int32)
-    for _ in range(steps):
-        mine = at + (rng.random(len(c)) * c).astype(np.int64)
-        table = at + seat[mine]
-        size[table] -= 1
-        gone = np.flatnonzero(size[table] == 0)
-        spare[at[gone] + c[gone] - t[gone]] = seat[mine[gone]]
-        t[gone] -= 1
-        np.subtract.at(held, u[gone], 1)
-        np.subtract.at(known, w[gone], 1)
-        fresh_rate = (STRENGTH + discount * held[u]) * parent(w)
-        fresh = rng.random(len(c)) * (fresh_rate + (c - 1) - discount * t) < fresh_rate
-        new = np.flatnonzero(fresh)
-        slot = spare[at[new] + c[new] - t[new] - 1]
-        t[new] += 1
-        np.add.at(held, u[new], 1)
-        np.add.at(known, w[new], 1)
-        seat[mine[new]] = slot
-        size[at[new] + slot] = 1
-        # Another customer's table is met in proportion to its customers, and
-        # taken with what the discount leaves of it.
-        todo = np.flatnonzero(~fresh)
-        while len(todo):
-            other = at[todo] + (rng.random(len(todo)) * (c[todo] - 1)).astype(np.int64)
-            other += other >= mine[todo]
-            met = seat[other]
-            held_by = size[at[todo] + met]
-            taken = rng.random(len(todo)) * held_by < held_by - discount
-            done = todo[taken]
-            seat[mine[done]] = met[taken]
-            size[at[done] + met[taken]] += 1
-            todo = todo[~taken]
-    tables[some] = t
+    parent = np.maximum(root.prob if root.base is None else root.base, 1e-12)
+    held = root.tables.astype(np.float64)
+    for step in range(steps):
+        mass = root.mass if step == 0 and root.mass is not None else context_mass(held, discount, rng)
+        after = drawn_tables(counts, discount * mass[context] * parent[dish], discount, rng)
+        if step + 1 < steps:
+            held = held + np.bincount(context, weights=after - tables, minlength=len(held))
+        tables = after
     return tables
 
 
@@ -379,7 +390,7 @@ class Model:
     rare_shards: int
 
 
-def train(docs: DataFrame, share: float = FREQUENT, rounds: int = ROUNDS, steps: int = STEPS, seed: int = 1) -> Model:
+def train(docs: DataFrame, share: float = FREQUENT, rounds: int = ROUNDS, burn_in: int = BURN_IN, seed: int = 1) -> Model:
     """Trains on every row of (text)."""
     spark = docs.sparkSession
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -394,7 +405,7 @@ def train(docs: DataFrame, share: float = FREQUENT, rounds: int = ROUNDS, steps:
     width = len(symbols.words) + 2
     sums = _summed(pairs, width, ["ones", "counts"])
     rng = np.random.default_rng(seed)
-    root = root_of(sums[0, 0], sums[0, 1], rng)
+    root = root_of(sums[0, 0], sums[0, 1], discount, rng)
     seated, roots = pairs.select("shard", "keys", "counts"), []
     seats = None
     for turn in range(rounds):
@@ -404,15 +415,18 @@ def train(docs: DataFrame, share: float = FREQUENT, rounds: int = ROUNDS, steps:
             for batch in batches:
                 for row in _each(batch):
                     keys, counts = unpacked(row["keys"]), unpacked_counts(row["counts"])
-                    before = unpacked_counts(row["tables"]) if turn else np.ones(len(keys), np.int64)
-                    after = seat_pairs(keys, counts, before, given.value, discount, steps, [seed, turn, row["shard"]])
-                    yield _rows([(row["shard"], packed_counts(after))], [pa.int32(), pa.binary()], ["shard", "tables"])
-
-        met = seated if seats is None else seated.join(seats.select("shard", F.col(f"t{turn - 1}").alias("tables")), "shard")
-        drawn = settle(met.mapInArrow(run, "shard int, tables binary"), "seats").withColumnRenamed("tables", f"t{turn}")
-        seats = drawn if seats is None else seats.join(drawn, "shard")
-        sums_now = _summed(seated.join(drawn, "shard"), width, [f"t{turn}"])
-        root = root_of(sums_now[0, 0], sums_now[0, 1], rng)
+                    after = seat_pairs(keys, counts, np.ones(len(keys), np.int64), given.value, discount, STEPS, [seed, turn, row["shard"]])
+                    yield _rows([(row["shard"], row["keys"], packed_counts(after))], [pa.int32(), pa.binary(), pa.binary()], ["shard", "keys", "tables"])
+
+        drawn = seated.mapInArrow(run, "shard int, keys binary, tables binary")
+        if turn >= burn_in:
+            drawn = settle(drawn, "seats")
+        sums_now = _summed(drawn, width, ["tables"])
+        root = root_of(sums_now[0, 0], sums_now[0, 1], discount, rng)
+        if turn < burn_in:
+            continue
+        sample = drawn.select("shard", F.col("tables").alias(f"t{len(roots)}"))
+        seats = sample if seats is None else seats.join(sample, "shard")
         roots.append(root)
     return Model(symbols, discount, sums[1, 0], roots, pairs, seats, unigrams, shards, rare_shards)
 

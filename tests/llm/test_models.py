@@ -93,6 +93,38 @@ def test_gibbs_reaches_the_seating_law():
         assert abs((tables == t).mean() - p) < 0.04
 
 
+def summed_seating_law(customers, rate, discount):
+    """The same chances with the customers of the tables summed out: they leave what the discount leaves."""
+    law = [0.0, 1.0] + [0.0] * customers
+    for seated in range(1, customers):
+        opened = [0.0] + [p * (pitman_yor.STRENGTH + discount * t) * rate for t, p in enumerate(law[:-1])]
+        law = [p * max(0.0, seated - discount * t) + q for t, (p, q) in enumerate(zip(law, opened))]
+        total = sum(law)
+        law = [p / total for p in law]
+    return np.array(law[: customers + 1])
+
+
+def production_tables(customers, rate, discount, many=3000):
+    """Tables of one dish alone in each of many restaurants, after every kept round."""
+    keys = np.arange(many, dtype=np.uint64) << np.uint64(21)
+    tables, kept = np.ones(many, np.int64), []
+    for turn in range(pitman_yor.ROUNDS):
+        root = Root(tables.astype(float), np.full(1, 1e12), np.full(1, rate))
+        tables = seat_pairs(keys, np.full(many, customers), tables, root, discount, pitman_yor.STEPS, [turn])
+        if turn >= pitman_yor.BURN_IN:
+            kept.append(tables)
+    return np.concatenate(kept)
+
+
+@pytest.mark.parametrize("customers", [16, 64, 256])
+def test_production_rounds_reach_the_seating_law(customers):
+    for t, p in seating_law(5, 0.4, 0.7).items():
+        assert abs(summed_seating_law(5, 0.4, 0.7)[t] - p) < 1e-9
+    law = summed_seating_law(customers, 0.4, 0.7)
+    got = np.bincount(production_tables(customers, 0.4, 0.7), minlength=customers + 1) / 12_000
+    assert abs(got - law).max() < 0.02, (got[:12], law[:12])
+
+
 def test_packing_of_numbers():
     values = np.unique(np.random.default_rng(1).integers(1 << 63, size=500).astype(np.uint64))
     assert (unpacked(packed(values)) == values).all() and len(unpacked(packed(values[:0]))) == 0
