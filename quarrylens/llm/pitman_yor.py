@@ -31,6 +31,7 @@ the unseen.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -56,6 +57,8 @@ ROUNDS, BURN_IN, STEPS = 10, 6, 1
 LISTED = 1024
 # Numbers of tables whose chances are held at a time.
 CELLS = 1 << 18
+# Points of an integral.
+NODES = 32
 # Documents and bytes of text of a block, and bytes of text for each shard.
 TEXTS, TEXT_BYTES = 8192, 8 << 20
 SHARD_BYTES = 16 << 20
@@ -152,6 +155,7 @@ class Root:
     # Drawn for the next sweep, the same for all shards.
     base: np.ndarray | None = None  # the parent's probabilities
     mass: np.ndarray | None = None  # of each context
+    own: np.ndarray | None = None  # the parent's own tables of each dish
 
 
 def context_mass(tables: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -162,21 +166,23 @@ def context_mass(tables: np.ndarray, discount: float, rng: np.random.Generator)
     return rng.gamma(STRENGTH / discount + tables)
 
 
-def root_of(tables: np.ndarray, customers: np.ndarray, discount: float, rng: np.random.Generator) -> Root:
-    """Seats the parent's customers, and returns its predictive probabilities and what the next sweep needs."""
+def root_of(tables: np.ndarray, customers: np.ndarray, discount: float, rng: np.random.Generator, before: np.ndarray | None = None) -> Root:
+    """Seats the parent's customers, and returns its predictive probabilities and what the next sweep needs.
+
+    ``before`` holds the parent's own tables of the round before.  They are
+    drawn like those of any context; the base is uniform.
+    """
     n = max(1, len(customers) - 1)  # the start of a text is never a dish
-    own = (customers > 0).astype(np.float64)
-    share = (ROOT_STRENGTH + ROOT_DISCOUNT * own.sum()) / n
-    # A further table for a known dish is rare: the base is uniform.
-    own += np.where(customers > 1, rng.poisson(share / n * np.log1p(customers)), 0)
-    own = np.minimum(own, customers)
+    own = np.minimum(customers, 1) if before is None else before
+    rate = ROOT_DISCOUNT * rng.gamma(ROOT_STRENGTH / ROOT_DISCOUNT + own.sum()) / n
+    own = drawn_tables(customers.astype(np.int64), np.full(len(customers), rate), ROOT_DISCOUNT, rng)
     mass = (ROOT_STRENGTH + ROOT_DISCOUNT * own.sum()) / n
     weights = customers - ROOT_DISCOUNT * own + mass
     prob = weights / (ROOT_STRENGTH + customers.sum())
     prob[-1] = 0.0
     base = rng.gamma(weights)
     base /= base.sum()
-    return Root(tables.astype(np.float64), customers.astype(np.float64), prob, base, context_mass(tables, discount, rng))
+    return Root(tables.astype(np.float64), customers.astype(np.float64), prob, base, context_mass(tables, discount, rng), own)
 
 
 @lru_cache(maxsize=4)
@@ -196,6 +202,66 @@ def _picked(logs: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return (chances < rng.random((len(logs), 1)) * chances[:, -1:]).sum(axis=1)
 
 
+def _solved(rising, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Where conditions that hold for small positive arguments end, by bisection of the logs."""
+    low, high = np.log(low), np.log(high)
+    for _ in range(60):
+        middle = (low + high) / 2
+        holds = rising(np.exp(middle))
+        low, high = np.where(holds, middle, low), np.where(holds, high, middle)
+    return np.exp(low)
+
+
+def likely_tables(counts: np.ndarray, rates: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the numbers of tables of large pairs: eight deviations around the likeliest, and 16 more."""
+    c, full = counts.astype(np.float64), np.full(len(counts), 60.0)
+
+    def steep(v: np.ndarray) -> np.ndarray:
+        return np.log(rates * discount) + (discount - 1) * np.log(-np.expm1(-v)) - v > np.log(c)
+
+    # Rates so low that no such point can be told from 0 have few tables.
+    v = _solved(steep, np.full(len(c), 1e-300), full)
+    middle = np.minimum(rates * (1 - (-np.expm1(-v)) ** discount), c)
+    spread = 8 * np.sqrt(middle) + 16
+    return np.maximum(1, np.floor(middle - spread)).astype(np.int64), np.minimum(c, np.ceil(middle + spread)).astype(np.int64)
+
+
+def log_sums(c: np.ndarray, n: np.ndarray, discount: float) -> np.ndarray:
+    """Logs of the chances that n Sibuya numbers add up to c, for large c.
+
+    Their generating function is 1 - (1 - x)**discount; times c! / (n! *
+    discount**n) these are the numbers of ``listed_ways``.  The coefficient is
+    integrated through the saddle point, along a parabola around the cut where
+    the point is near it, else along a circle.
+    """
+    c, n = c.astype(np.float64), n.astype(np.float64)
+
+    def steep(v: np.ndarray) -> np.ndarray:
+        z = -np.expm1(-v)
+        return n * discount * np.exp(-v + (discount - 1) * np.log(z)) > c * (1 - z**discount)
+
+    v = np.clip(_solved(steep, 1e-9 / c, np.full(len(n), 60.0)), 2.0 / c, 8.0)
+    log_one = lambda v: n * np.log1p(-((-np.expm1(-v)) ** discount))
+    bend = np.maximum(log_one(1.001 * v) - 2 * log_one(v) + log_one(0.999 * v), 1e-30) / (1e-3 * v) ** 2
+    near, circle = v < 0.5, np.minimum(np.pi, 9 / np.sqrt(bend))
+    reach = np.where(near, np.where(c * v > 20, np.sqrt(60 / (c * v)), 1.5 * np.sqrt(1 + 37 / (c * v))), circle)
+    x = reach[:, None] * np.linspace(0, 1, NODES)
+    step = np.where(near[:, None], 2 * v[:, None] * (1 + 1j * x), 1.0)
+    at = np.where(near[:, None], v[:, None] * (1 + 1j * x) ** 2, v[:, None] + 1j * x)
+    logs = c[:, None] * at + n[:, None] * np.log(1 - (1 - np.exp(-at)) ** discount)
+    top = logs.real.max(axis=1)
+    values = (np.exp(logs - top[:, None]) * step).real
+    values[:, [0, -1]] /= 2
+    return top + np.log(np.maximum(values.sum(axis=1) * x[:, 1] / np.pi, 1e-300))
+
+
+def log_weights(c: np.ndarray, n: np.ndarray, rates: np.ndarray, discount: float) -> np.ndarray:
+    """Logs of the weights of n tables, but for what depends on c alone; rates are over the discount."""
+    sums = [log_sums(c[k : k + CELLS // NODES], n[k : k + CELLS // NODES], discount) for k in range(0, len(n), CELLS // NODES)]
+    factorials = np.array([math.lgamma(x + 1) for x in n.tolist()])
+    return n * np.log(np.maximum(rates, 1e-300)) - factorials + np.concatenate(sums)
+
+
 def drawn_tables(counts: np.ndarray, rates: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
     """Numbers of tables of pairs, by rates**t times the ways to seat their customers at t tables."""
     tables = np.minimum(counts, 1).astype(np.int64)
@@ -209,10 +275,24 @@ def drawn_tables(counts: np.ndarray, rates: np.ndarray, discount: float, rng: np
         for k in range(a, b, max(1, CELLS // c)):
             part = some[k : min(b, k + max(1, CELLS // c))]
             tables[part] = 1 + _picked(log_rates[part][:, None] * np.arange(1, c + 1) + ways[c, 1 : c + 1], rng)
+    # The rest have a window of numbers around the likeliest one each.
     big = np.flatnonzero(counts > LISTED)
-    if len(big):
-        c, open_rate = counts[big], rates[big]
-        tables[big] = np.minimum(c, 1 + rng.poisson(open_rate * np.log((open_rate + c) / (open_rate + 1))))
+    if not len(big):
+        return tables
+    low, high = likely_tables(counts[big], rates[big] / discount, discount)
+    order = np.argsort(high - low, kind="stable")
+    rows = CELLS // NODES
+    done = 0
+    while done < len(order):
+        widths = (high - low + 1)[order[done : done + rows]]
+        part = order[done : done + max(1, int((widths * np.arange(1, len(widths) + 1) <= rows).sum()))]
+        n = low[part][:, None] + np.arange((high - low)[part].max() + 1)
+        logs = np.full(n.shape, -np.inf)
+        used = n <= high[part][:, None]
+        of = np.broadcast_to(big[part][:, None], n.shape)[used]
+        logs[used] = log_weights(counts[of], n[used], rates[of] / discount, discount)
+        tables[big[part]] = low[part] + _picked(logs, rng)
+        done += len(part)
     return tables
 
 
@@ -422,7 +502,7 @@ def train(docs: DataFrame, share: float = FREQUENT, rounds: int = ROUNDS, burn_i
         if turn >= burn_in:
             drawn = settle(drawn, "seats")
         sums_now = _summed(drawn, width, ["tables"])
-        root = root_of(sums_now[0, 0], sums_now[0, 1], discount, rng)
+        root = root_of(sums_now[0, 0], sums_now[0, 1], discount, rng, root.own)
         if turn < burn_in:
             continue
         sample = drawn.select("shard", F.col("tables").alias(f"t{len(roots)}"))

@@ -125,6 +125,45 @@ def test_production_rounds_reach_the_seating_law(customers):
     assert abs(got - law).max() < 0.02, (got[:12], law[:12])
 
 
+def test_large_and_small_pairs_follow_one_law():
+    for discount in (0.05, 0.5, 0.7, 0.95):
+        n, c = np.arange(1, 301), pitman_yor.LISTED
+        got = pitman_yor.log_weights(np.full(300, c), n, np.full(300, 1.0), discount) + math.lgamma(c + 1)
+        assert abs(got - pitman_yor.listed_ways(discount)[c, 1:301] - n * math.log(discount)).max() < 1e-6
+    for rate in (0.01, 0.4):
+        means = [production_tables(c, rate, 0.7, 1000).mean() for c in (256, 257, pitman_yor.LISTED, pitman_yor.LISTED + 1)]
+        assert max(means) < 1.1 * min(means), means
+    law = summed_seating_law(1500, 0.4, 0.7)
+    got = np.bincount(production_tables(1500, 0.4, 0.7, 1000), minlength=1501) / 4_000
+    assert abs(got - law).max() < 0.04
+    # Many tables: the window has to lie around them.
+    for c in (1024, 1025, 5000):
+        for rate in (3.0, 700.0):
+            tables = pitman_yor.drawn_tables(np.full(400, c), np.full(400, 0.7 * rate), 0.7, np.random.default_rng(c))
+            n = np.arange(1, c + 1)
+            logs = pitman_yor.log_weights(np.full(c, c), n, np.full(c, rate), 0.7)
+            chances = np.exp(logs - logs.max())
+            mean = (chances * n).sum() / chances.sum()
+            deviation = math.sqrt((chances * (n - mean) ** 2).sum() / chances.sum())
+            assert abs(tables.mean() - mean) < 5 * deviation / 20
+
+
+def test_tables_of_the_parent_follow_the_law():
+    customers = np.full(2001, 40.0)
+    customers[-1] = 0
+    rng, own, means = np.random.default_rng(1), None, []
+    for _ in range(40):
+        root = pitman_yor.root_of(np.ones(2001), customers, 0.7, rng, own)
+        own = root.own
+        means.append(own[:-1].mean())
+    # Each of so many dishes has the same share: the mean settles where it gives itself.
+    d, mean = pitman_yor.ROOT_DISCOUNT, 1.0
+    for _ in range(200):
+        weights = np.exp(np.arange(1, 41) * math.log(d * (pitman_yor.ROOT_STRENGTH / d / 2000 + mean)) + pitman_yor.listed_ways(d)[40, 1:41])
+        mean = (weights * np.arange(1, 41)).sum() / weights.sum()
+    assert abs(np.mean(means[20:]) - mean) < 0.05 * mean and mean > 1.5
+
+
 def test_packing_of_numbers():
     values = np.unique(np.random.default_rng(1).integers(1 << 63, size=500).astype(np.uint64))
     assert (unpacked(packed(values)) == values).all() and len(unpacked(packed(values[:0]))) == 0
