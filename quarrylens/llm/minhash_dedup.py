@@ -338,20 +338,21 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     classes = settle(filled.groupBy("set_digest").agg(F.min("doc_id").alias("id")), "classes")
     # The representative's own row only: both keys together are held once.
     picked = filled.join(classes.withColumnRenamed("set_digest", "digest"), (F.col("doc_id") == F.col("id")) & (F.col("set_digest") == F.col("digest")))
-    first = picked.select("id", "bands", "signature").groupBy("id", "bands", "signature").count().drop("count")
-    keys = first.select("id", F.explode_outer("bands").alias("key"))
+    first = picked.select("id", "digest", "bands", "signature").groupBy("id", "digest", "bands", "signature").count().drop("count")
+    # A doc_id on rows of different sets may represent each of them.
+    keys = first.select("id", "digest", F.explode_outer("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = settle(keys.join(shared, "key"), "members")
-    signs = first.select("id", "signature")
+    signs = first.select("id", "digest", "signature")
 
-    dealt = members.select("key", F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("n") / BLOCK)).alias("block"), "id")
-    blocks = dealt.join(signs, "id").select("key", "block", "id", "signature")
+    dealt = members.select("key", F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("n") / BLOCK)).alias("block"), "id", "digest")
+    blocks = dealt.join(signs, ["id", "digest"]).select("key", "block", "id", "signature")
     blocks = blocks.repartition("key", "block").sortWithinPartitions("key", "block", "id")
     proposed = settle(blocks.mapInArrow(_propose, "a long, b long").filter("a != b").distinct(), "proposed")
     links = settle(confirmed(docs, gathered_pairs(proposed), share), "links")
     found = settle(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
 
-    labelled = members.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    labelled = members.join(found, "id", "left").select("key", "id", "digest", F.coalesce("component", "id").alias("component"))
     sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
     split = sizes.groupBy("key").agg(
         F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("kinds")
@@ -359,11 +360,11 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     split = split.filter("kinds > 1").select("key", "main", F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil((F.col("n") - F.col("most")) / BLOCK).alias("chunks"))
     rest = labelled.join(split, "key")
     all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    one = rest.select("key", F.pmod(F.xxhash64("id", "key"), "blocks").alias("block"), all_of("chunks").alias("chunk"), F.lit(0).alias("side"), "id", "component")
+    one = rest.select("key", F.pmod(F.xxhash64("id", "key"), "blocks").alias("block"), all_of("chunks").alias("chunk"), F.lit(0).alias("side"), "id", "digest", "component")
     two = rest.filter("component != main").select(
-        "key", all_of("blocks").alias("block"), F.pmod(F.xxhash64("key", "id"), "chunks").alias("chunk"), F.lit(1).alias("side"), "id", "component"
+        "key", all_of("blocks").alias("block"), F.pmod(F.xxhash64("key", "id"), "chunks").alias("chunk"), F.lit(1).alias("side"), "id", "digest", "component"
     )
-    cells = one.unionByName(two).join(first.select("id", "signature", "bands"), "id")
+    cells = one.unionByName(two).join(first.select("id", "digest", "signature", "bands"), ["id", "digest"])
     cells = cells.select("key", "block", "chunk", "side", "id", "component", "signature", "bands")
     cells = cells.repartition("key", "block", "chunk").sortWithinPartitions("key", "block", "chunk")
     asked = settle(cells.mapInArrow(_compare, _ASKED), "asked")

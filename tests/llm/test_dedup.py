@@ -80,6 +80,20 @@ def test_near_duplicates(spark, monkeypatch):
     assert {r.doc_id for r in left} == {i for i, c in want.items() if i == c} | {None}
 
 
+def test_an_id_on_rows_of_different_texts_beside_unlinked_documents(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(12):
+        text = prose(2000 + k, 200)
+        # The other row of the id shares no band with the documents near the first.
+        rows += [(10 * k, text), (10 * k, prose(3000 + k, 200)), (10 * k + 1, edited(text, 0.05, rng)), (10 * k + 2, edited(text, 0.05, rng))]
+        rows.append((10 * k + 3, edited(rows[-3][1], 0.01, rng)))
+    want = brute(rows)
+    assert len(set(want.values())) > 24
+    got = near_duplicates(awkward(spark, rows)).collect()
+    assert len(got) == len(rows) and all(r.component_id == want[r.doc_id] for r in got)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_duplicates(empty(spark)).count() == 0
     rows = [(1, None), (2, ""), (3, "  ")]
