@@ -56,7 +56,7 @@ ROUNDS, BURN_IN, STEPS = 10, 6, 1
 # Customers up to which the laws of table numbers are listed.
 LISTED = 1024
 # Numbers of tables whose chances are held at a time.
-CELLS = 1 << 18
+CELLS = 1 << 16
 # Points of an integral.
 NODES = 32
 # Documents and bytes of text of a block, and bytes of text for each shard.
@@ -407,40 +407,51 @@ def _counted_pairs(symbols, shards: int):
     return run
 
 
-def _summed(seated: DataFrame, width: int, kinds: list[str]) -> np.ndarray:
-    """Sums over shards, by context and by dish, of each kind of count.
+def _parts(total: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Equal stretches of flat sums that hold more than zeros."""
+    flat, stretch = total.ravel(), 1 << 13
+    for k in range(0, len(flat), stretch):
+        if flat[k : k + stretch].any() or not k:
+            yield k // stretch, flat[k : k + stretch].tobytes()
 
-    A task adds up its shards; then equal stretches of symbols are added up.
-    The result, a few numbers for each of at most 1 / FREQUENT symbols,
-    reaches the driver.
-    """
-    stretch = 1 << 13
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(kinds), 2, width), dtype=np.float64)
-        for batch in batches:
-            for row in _each(batch):
-                pairs = unpacked(row["keys"])
-                ends = [(pairs >> _WORD_BITS).astype(np.int64), (pairs & _WORD_MASK).astype(np.int64)]
-                for k, kind in enumerate(kinds):
-                    values = np.ones(len(pairs)) if kind == "ones" else unpacked_counts(row[kind])
-                    for end in (0, 1):
-                        total[k, end] += np.bincount(ends[end], weights=values, minlength=width)
-        flat = total.ravel()
-        rows = [(k // stretch, flat[k : k + stretch].tobytes()) for k in range(0, len(flat), stretch)]
-        yield _rows(rows, [pa.int32(), pa.binary()], ["part", "values"])
+def _ends(pairs: np.ndarray) -> list[np.ndarray]:
+    return [(pairs >> _WORD_BITS).astype(np.int64), (pairs & _WORD_MASK).astype(np.int64)]
+
+
+def _added(parts: DataFrame, shape: tuple[int, ...]) -> np.ndarray:
+    """Sums of (part, values) of all tasks.
+
+    Equal stretches of symbols are added up.  The result, a few numbers for
+    each of at most 1 / FREQUENT symbols, reaches the driver.
+    """
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in _runs(batches, 1):
             values = np.sum([np.frombuffer(x, np.float64) for x in run.column("values").to_pylist()], axis=0)
             yield _rows([(run.column("part")[0].as_py(), values.tobytes())], [pa.int32(), pa.binary()], ["part", "values"])
 
-    needed = ["keys", *[k for k in kinds if k != "ones"]]
-    parts = seated.select(*needed).mapInArrow(add, "part int, values binary").repartition("part").sortWithinPartitions("part")
-    rows = sorted(parts.mapInArrow(join, "part int, values binary").collect(), key=lambda r: r.part)
-    if not rows:
-        return np.zeros((len(kinds), 2, width))
-    return np.concatenate([np.frombuffer(bytes(r.values), np.float64) for r in rows]).reshape(len(kinds), 2, width)
+    total = np.zeros(int(np.prod(shape)))
+    for row in parts.repartition("part").sortWithinPartitions("part").mapInArrow(join, "part int, values binary").collect():
+        values = np.frombuffer(bytes(row["values"]), np.float64)
+        total[row["part"] << 13 : (row["part"] << 13) + len(values)] = values
+    return total.reshape(shape)
+
+
+def _summed(counted: DataFrame, width: int) -> np.ndarray:
+    """By context and by dish, how many pairs there are and how often they occur."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, 2, width))
+        for batch in batches:
+            for row in _each(batch):
+                counts = unpacked_counts(row["counts"])
+                for k, end in enumerate(_ends(unpacked(row["keys"]))):
+                    total[0, k] += np.bincount(end, minlength=width)
+                    total[1, k] += np.bincount(end, weights=counts, minlength=width)
+        yield _rows(list(_parts(total)), [pa.int32(), pa.binary()], ["part", "values"])
+
+    return _added(counted.select("keys", "counts").mapInArrow(add, "part int, values binary"), (2, 2, width))
 
 
 def count_discount(counted: DataFrame) -> float:
@@ -483,31 +494,42 @@ def train(docs: DataFrame, share: float = FREQUENT, rounds: int = ROUNDS, burn_i
     pairs = _gathered(texts.mapInArrow(_counted_pairs(shipped, shards), _SENT), "pairs")
     discount = count_discount(pairs)
     width = len(symbols.words) + 2
-    sums = _summed(pairs, width, ["ones", "counts"])
+    sums = _summed(pairs, width)
     rng = np.random.default_rng(seed)
     root = root_of(sums[0, 0], sums[0, 1], discount, rng)
-    seated, roots = pairs.select("shard", "keys", "counts"), []
+    roots: list[Root] = []
     seats = None
     for turn in range(rounds):
-        given = spark.sparkContext.broadcast(root)
+        given = spark.sparkContext.broadcast((root.base, root.mass))
 
         def run(batches: Iterator[pa.RecordBatch], given=given, turn=turn) -> Iterator[pa.RecordBatch]:
+            types, names = [pa.int32(), pa.binary(), pa.int32(), pa.binary()], ["shard", "tables", "part", "values"]
+            base, mass = given.value
+            here = Root(mass, base, base, base, mass)
+            total = np.zeros((2, width))
             for batch in batches:
                 for row in _each(batch):
                     keys, counts = unpacked(row["keys"]), unpacked_counts(row["counts"])
-                    after = seat_pairs(keys, counts, np.ones(len(keys), np.int64), given.value, discount, STEPS, [seed, turn, row["shard"]])
-                    yield _rows([(row["shard"], row["keys"], packed_counts(after))], [pa.int32(), pa.binary(), pa.binary()], ["shard", "keys", "tables"])
-
-        drawn = seated.mapInArrow(run, "shard int, keys binary, tables binary")
+                    after = seat_pairs(keys, counts, np.ones(len(keys), np.int64), here, discount, STEPS, [seed, turn, row["shard"]])
+                    for k, end in enumerate(_ends(keys)):
+                        total[k] += np.bincount(end, weights=after, minlength=width)
+                    if turn >= burn_in:
+                        yield _rows([(row["shard"], packed_counts(after), None, None)], types, names)
+            yield _rows([(None, None, *part) for part in _parts(total)], types, names)
+
+        drawn = pairs.select("shard", "keys", "counts").mapInArrow(run, "shard int, tables binary, part int, values binary")
         if turn >= burn_in:
             drawn = settle(drawn, "seats")
-        sums_now = _summed(drawn, width, ["tables"])
-        root = root_of(sums_now[0, 0], sums_now[0, 1], discount, rng, root.own)
+        held, customers = _added(drawn.filter("part is not null").select("part", "values"), (2, width))
+        given.unpersist()
+        root = root_of(held, customers, discount, rng, root.own)
         if turn < burn_in:
             continue
-        sample = drawn.select("shard", F.col("tables").alias(f"t{len(roots)}"))
+        sample = drawn.filter("part is null").select("shard", F.col("tables").alias(f"t{len(roots)}"))
         seats = sample if seats is None else seats.join(sample, "shard")
         roots.append(root)
+    # Scores need no more of them.
+    roots = [Root(r.tables, r.customers, r.prob) for r in roots]
     return Model(symbols, discount, sums[1, 0], roots, pairs, seats, unigrams, shards, rare_shards)
 
 
