@@ -333,6 +333,8 @@ def similar(x: np.ndarray, y: np.ndarray, share: int) -> bool:
 
 def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
+    if share < SHARE:
+        raise ValueError(f"bands and estimates are made for a share of {SHARE} or more, not {share}")
     signed = settle(document_signatures(docs), "signatures")
     filled = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = settle(filled.groupBy("set_digest").agg(F.min("doc_id").alias("id")), "classes")

@@ -94,6 +94,13 @@ def test_an_id_on_rows_of_different_texts_beside_unlinked_documents(spark):
     assert len(got) == len(rows) and all(r.component_id == want[r.doc_id] for r in got)
 
 
+def test_shares_that_the_bands_would_miss_are_refused():
+    with pytest.raises(ValueError):
+        near_duplicates(None, 50)
+    with pytest.raises(ValueError):
+        minhash_dedup.keep_one_of_each(None, 74)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_duplicates(empty(spark)).count() == 0
     rows = [(1, None), (2, ""), (3, "  ")]
