@@ -11,11 +11,14 @@ from quarrylens.llm import (
     line_dedup,
     minhash_dedup,
     packing,
+    periodic_runs,
     pitman_yor,
     quality_rules,
     secret_scan,
+    simhash_dedup,
     token_counts,
     warc,
+    whitening,
 )
 from quarrylens.llm.shared import ORACLES, QUERIES, query, table
 
@@ -161,3 +164,32 @@ def op7_hilbert_ann(spark: SparkSession, root: str) -> DataFrame:
 @query("op3_pitman_yor")
 def op3_pitman_yor(spark: SparkSession, root: str) -> DataFrame:
     return pitman_yor.score_documents(table(spark, root, "documents"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id, text: a tenth of the documents, chosen by their ids, repeat a passage to their end."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    rows = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    chosen = rows.withColumn("words", F.when(F.col("h") % 10 == 0, words)).withColumn("n", F.size("words"))
+    g = F.floor(F.col("h") / 10)
+    placed = chosen.withColumn("a", F.when(F.col("n") > 0, F.pmod(g, F.col("n"))))
+    placed = placed.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.pmod(g, F.lit(8)))))
+    source = lambda i: F.when(i >= F.col("a"), F.col("a") + F.pmod(i - F.col("a"), F.col("p"))).otherwise(i).cast("int")
+    repeated = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("words", source(i))), " ")
+    return placed.select("doc_id", F.when(F.col("n") > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, root: str) -> DataFrame:
+    planted = with_planted_runs(table(spark, root, "documents").select("doc_id", "text"))
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(planted))
+
+
+@query("op12_simhash_dedup")
+def op12_simhash_dedup(spark: SparkSession, root: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(table(spark, root, "documents"))
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, root: str) -> DataFrame:
+    return whitening.whiten(table(spark, root, "embeddings"))

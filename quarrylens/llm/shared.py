@@ -54,3 +54,24 @@ def pinned(column: Column) -> Column:
     its own formula and compute them again for every item.
     """
     return F.when(F.spark_partition_id() >= 0, column)
+
+
+# A key with this share of all rows is heavy; there are at most as many of them.
+HEAVY_KEYS = 1024
+
+
+def join_weighted(rows: DataFrame, side: DataFrame, on: list[str], weight: str, how: str) -> DataFrame:
+    """``rows`` joined with ``side``, whose column ``weight`` counts the rows of its key.
+
+    Keys that hold a thousandth of the counted rows, at most ``HEAVY_KEYS`` of
+    them, are broadcast, so the rows of such a key stay spread over the tasks
+    they are in.  All others meet in a shuffle.  ``how`` is inner, left_semi
+    or left_anti; ``side`` has each key once, and no null keys.
+    """
+    total = side.agg(F.sum(weight)).first()[0] or 0
+    is_heavy = F.col(weight) * HEAVY_KEYS >= F.lit(total)
+    heavy, light = side.filter(is_heavy), side.filter(~is_heavy)
+    others = rows.join(F.broadcast(heavy.select(*on)), on, "left_anti")
+    if how == "left_anti":
+        return others.join(light, on, how)
+    return rows.join(F.broadcast(heavy), on, how).unionByName(others.join(light, on, how))
