@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylens.llm.shared import settle
+from quarrylens.llm.shared import settle, tasks
 from quarrylens.llm.shingles import mixed, slices
 
 LEAST_WORDS, LEAST_TURNS = 24, 3
@@ -45,6 +45,8 @@ SMALL = 8
 BOUNDARIES = 16
 # Steps of words before a boundary and after it that it is solved on.
 BEFORE, AFTER = 1, 4
+# Words of tiles that a task solves.
+TASK_WORDS = 1 << 19
 # Texts, and bytes of them, that are tiled together.
 TEXTS, TEXT_BYTES = 512, 2 << 20
 
@@ -225,7 +227,9 @@ def stretches(rows: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["row", "period", "start", "end"])
 
-    tiles = rows.select("row", F.explode("tiles").alias("tile")).repartition("row", "tile.step", "tile.start")
+    n_words = rows.agg(F.sum(F.aggregate("tiles", F.lit(0), lambda n, t: n + F.size(t["ids"])))).first()[0] or 0
+    parts = max(tasks(rows.sparkSession), -(-n_words // TASK_WORDS))
+    tiles = rows.select("row", F.explode("tiles").alias("tile")).repartition(parts, "row", "tile.step", "tile.start")
     return tiles.mapInArrow(run, "row long, period long, start long, end long")
 
 

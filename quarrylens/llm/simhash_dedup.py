@@ -207,13 +207,12 @@ def _linked(radius: int):
 
 def form_links(forms: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, free_bits: int = FREE_BITS) -> DataFrame:
     """(u, v) that join all of the distinct (form) within the radius, by way of others or directly."""
-    spark = forms.sparkSession
     depths = band_masks(radius, free_bits)
     rows, links = forms.select("form", F.lit(0).cast("long").alias("path")), None
     for depth, bands in enumerate(depths):
-        # A few bands for each path: (radius + 1) ** depth rows at most.
-        below = spark.createDataFrame([(p, q, _signed(m)) for p, q, m in bands], "path long, below long, mask long")
-        keyed = rows.join(F.broadcast(below), "path").select(F.col("below").alias("path"), F.col("form").bitwiseAND(F.col("mask")).alias("key"), "form")
+        below = F.array(*[F.struct(F.lit(p).alias("above"), F.lit(q).cast("long").alias("path"), F.lit(_signed(m)).alias("mask")) for p, q, m in bands])
+        cut = rows.select("form", F.explode(F.filter(below, lambda b: b["above"] == F.col("path"))).alias("band"))
+        keyed = cut.select("band.path", F.col("form").bitwiseAND(F.col("band.mask")).alias("key"), "form")
         hot = None
         if depth + 1 < len(depths):
             sizes = settle(keyed.groupBy("path", "key").agg(F.count("*").alias("size")).filter(F.col("size") > bucket), "full-buckets")
