@@ -15,7 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrylens.operators.numbering import numbered
 from quarrylens.operators.ranking import SCORE_DECIMALS, top_k
+from quarrylens.operators.sizing import fetch_by_key
 
 # Fixed values -------------------------------------------------------------
 DEFAULT_TOP_K = 25
@@ -124,6 +126,22 @@ def dense_topk(
     return top_k(partial, ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
 
 
+def dense_topk_by_id(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_TOP_K, where: Column | None = None, **bounds: int) -> DataFrame:
+    """As :func:`dense_topk`, for ids of any ordered type on either side.
+
+    Ids are numbered in their order, the numbers are searched, and ids are
+    joined back for the hits alone.  Ids are unique.
+    """
+    kept = (vectors if where is None else vectors.filter(where)).select("vec_id", "embedding")
+    rows = numbered(kept, "vec_id", "vec_no")
+    asked = numbered(queries.select("query_id", "embedding"), "query_id", "query_no")
+    searched = asked.select(F.col("query_no").alias("query_id"), "embedding")
+    hits = dense_topk(rows.select(F.col("vec_no").alias("vec_id"), "embedding"), searched, k, **bounds)
+    hits = hits.select(F.col("query_id").alias("query_no"), F.col("vec_id").alias("vec_no"), "score", "rank")
+    found = fetch_by_key(hits, rows.select("vec_no", "vec_id"), "vec_no")
+    return fetch_by_key(found, asked.select("query_no", "query_id"), "query_no").select("query_id", "vec_id", "score", "rank")
+
+
 def _against_broadcast(vectors: DataFrame, queries: pa.Table, k: int) -> DataFrame:
     ids = queries.column("query_id").to_numpy()
     shipped = vectors.sparkSession.sparkContext.broadcast((ids, _matrix(queries.column("embedding"))))

@@ -7,26 +7,33 @@ from pyspark.sql import functions as F
 
 from quarrylens.functions.text import tokenize
 from quarrylens.operators import fusion
+from quarrylens.operators.chunk_index import DIMENSIONS, ChunkIndex
 from quarrylens.operators.dense import dense_topk as dense_search
+from quarrylens.operators.dense import dense_topk_by_id as dense_search_by_id
 from quarrylens.operators.dense import l2_normalize, vector_norm
 from quarrylens.operators.sparse_index import SparseIndex, postings
 from quarrylens.plans.catalog import documents, long, query, r6, sql_share, sql_token_count, sql_tokens, table
-from quarrylens.session import shared_dir
+from quarrylens.plans.text_queries import SQL_CHUNKS, semantic_chunk_rows
 from quarrylens.sources.tables import upsert_latest
 
-SQL_CORPUS = f"""
-toks AS (SELECT doc_id, lang, {sql_tokens('text')} toks FROM documents),
+def sql_corpus(source: str) -> str:
+    """Tokens, postings and weights of a table with doc_id, lang and text."""
+    return f"""
+toks AS MATERIALIZED (SELECT doc_id, lang, {sql_tokens('text')} toks FROM {source}),
 dl AS (SELECT doc_id, lang, len(toks) dl FROM toks),
 post AS (SELECT doc_id, term, count(*) tf FROM (SELECT doc_id, unnest(toks) term FROM toks) GROUP BY ALL),
 st AS (SELECT count(*) n, sum(dl)::DOUBLE / count(*) avgdl FROM dl),
 tdf AS (SELECT term, count(*) df FROM post GROUP BY term),
-raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) r FROM tdf, st),
+raw AS (SELECT term, df, ln((SELECT n FROM st) - df + 0.5) - ln(df + 0.5) r FROM tdf),
 mi AS (SELECT avg(r) m FROM raw),
-idf AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * m ELSE r END idf FROM raw, mi)"""
+idf AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT m FROM mi) ELSE r END idf FROM raw)"""
+
+
+SQL_CORPUS = sql_corpus("documents")
 
 
-def sql_bm25(k: int = 25, where: str = "true") -> str:
-    return f"""{SQL_CORPUS},
+def sql_bm25(k: int = 25, where: str = "true", corpus: str = SQL_CORPUS) -> str:
+    return f"""{corpus},
 qt AS (SELECT query_id, term, count(*) qtf FROM (SELECT item_id query_id, unnest({sql_tokens('text')}) term FROM benchmark) GROUP BY ALL),
 scored AS (
   SELECT query_id, doc_id, sum(qtf * idf * 2.5 * tf / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) s
@@ -44,13 +51,33 @@ dense AS (
   FROM embeddings q JOIN benchmark b ON b.item_id = q.vec_id, embeddings v WHERE {where} QUALIFY rank <= {k})"""
 
 
+# Chunks as the corpus; their type takes the place of the language.
+SQL_CHUNK_CORPUS = f"""
+corpus AS MATERIALIZED (SELECT doc_id || '::' || block_index || '::' || chunk_index doc_id, t lang, p AS text FROM chunks), {sql_corpus('corpus')}"""
+
+SQL_TERM_SLOTS = f"""
+slots AS MATERIALIZED (
+  SELECT term, idf * CASE WHEN ('0x' || substr(md5(term), 5, 1))::INT < 8 THEN 1 ELSE -1 END w, ('0x' || substr(md5(term), 1, 4))::INT % {DIMENSIONS} slot FROM idf),
+qsum AS (SELECT query_id, slot, sum(qtf * w) v FROM qt JOIN slots USING (term) GROUP BY ALL)"""
+
+
+def sql_chunk_dense(k: int = 25, where: str = "true") -> str:
+    """Hashed term vectors of queries and chunks and their cosines."""
+    return f"""{SQL_TERM_SLOTS},
+qunit AS MATERIALIZED (SELECT query_id, slot, v / sqrt(sum(v * v) OVER (PARTITION BY query_id)) v FROM qsum),
+dsum AS (SELECT doc_id, slot, sum(tf * w) v FROM post JOIN slots USING (term) GROUP BY ALL),
+dunit AS MATERIALIZED (SELECT doc_id, slot, v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)) v FROM dsum JOIN dl USING (doc_id) WHERE {where}),
+near AS (SELECT query_id, doc_id, round(sum(q.v * d.v), 9) score FROM qunit q JOIN dunit d USING (slot) GROUP BY ALL),
+dense AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM near QUALIFY rank <= {k})"""
+
+
 def sql_fused(where: str = "true") -> str:
-    """Both legs over the documents that ``where`` selects, fused."""
-    return f"""{sql_bm25(where=where)}, {sql_dense(where=f'v.vec_id IN (SELECT doc_id FROM documents WHERE {where})')},
+    """Both legs over the chunks that ``where`` selects, fused."""
+    return f"""{SQL_CHUNKS}, {sql_bm25(where=where, corpus=SQL_CHUNK_CORPUS)}, {sql_chunk_dense(where=where)},
 fused AS (
   SELECT query_id, doc_id, d.rank dense_rank, s.rank bm25_rank,
     coalesce(1.0::DOUBLE / (60 + d.rank), 0) + coalesce(1.0::DOUBLE / (60 + s.rank), 0) rrf_score
-  FROM (SELECT query_id, vec_id doc_id, rank FROM dense) d FULL JOIN sparse s USING (query_id, doc_id)),
+  FROM dense d FULL JOIN sparse s USING (query_id, doc_id)),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, dense_rank NULLS LAST, bm25_rank NULLS LAST) AS rank
   FROM fused QUALIFY rank <= 25)"""
@@ -71,6 +98,23 @@ reranked AS (
 
 
 _ENGLISH = "lang = 'en'"
+_PROSE = "lang = 'prose'"
+
+# The stored index of each data folder that a session has searched: state of the folder, path.
+_STORED: dict[tuple[str, str], tuple[tuple, str]] = {}
+
+
+def chunk_index(spark: SparkSession, root: str) -> ChunkIndex:
+    """The index over the chunks of all documents, built once and opened again while the files are the same."""
+    meta = [F.col(f"_metadata.{c}") for c in ("file_path", "file_size", "file_modification_time")]
+    files = table(spark, root, "documents").select(F.xxhash64(*meta).alias("file")).distinct()
+    state = tuple(files.agg(F.count("*"), F.sum(F.col("file").cast("decimal(38,0)"))).first())
+    key = (spark.sparkContext.applicationId, root)
+    if _STORED.get(key, (None,))[0] != state:
+        built = ChunkIndex.build(semantic_chunk_rows(spark, root), "chunk_id", "content", keep=["doc_id", "content_type"])
+        _STORED[key] = (state, built.path)
+        return built
+    return ChunkIndex.open(spark, _STORED[key][1])
 
 
 def build_index(spark: SparkSession, root: str) -> SparseIndex:
@@ -81,12 +125,6 @@ def bm25_hits(spark: SparkSession, root: str, k: int = 25) -> DataFrame:
     return build_index(spark, root).search(table(spark, root, "benchmark"), "item_id", "text", k)
 
 
-def corpus_vectors(spark: SparkSession, root: str) -> DataFrame:
-    """Vectors whose id is a document: the two tables share only some ids."""
-    ids = table(spark, root, "documents").select(F.col("doc_id").alias("vec_id"))
-    return table(spark, root, "embeddings").join(ids, "vec_id", "left_semi")
-
-
 def query_vectors(spark: SparkSession, root: str) -> DataFrame:
     """The vector of every benchmark item: the collection row of its id."""
     items = table(spark, root, "benchmark").select(F.col("item_id").alias("vec_id"))
@@ -131,26 +169,89 @@ def bm25_topk_filtered(spark: SparkSession, root: str) -> DataFrame:
 
 @query("index_roundtrip", f"WITH {sql_bm25()} SELECT query_id, rank, doc_id, round(score, 6) score FROM sparse")
 def index_roundtrip(spark: SparkSession, root: str) -> DataFrame:
-    """Write postings and statistics, open them again, search the stored copy."""
-    import uuid
+    """Write an index of documents, open it again, search the stored postings."""
+    built = ChunkIndex.build(documents(spark, root), "doc_id", "text")
+    opened = ChunkIndex.open(spark, built.path)
+    hits = opened.named(opened.sparse_topk(table(spark, root, "benchmark"), "item_id", "text"))
+    return hits.select("query_id", long("rank").alias("rank"), "doc_id", r6("score").alias("score"))
 
-    folder = f"{shared_dir(spark)}/stored-index-{uuid.uuid4().hex}"
-    docs = documents(spark, root)
-    SparseIndex.build(docs, "doc_id", "text", folder)
-    postings(docs, "doc_id", tokenize(F.col("text"))).write.parquet(f"{folder}/postings")
-    opened = SparseIndex.load(spark, docs, "doc_id", "text", folder)
-    hits = opened.search_postings(
-        spark.read.parquet(f"{folder}/postings"), table(spark, root, "benchmark"), "item_id", "text"
-    )
+
+@query(
+    "index_upsert",
+    f"""WITH corpus AS (
+      SELECT doc_id, lang, CASE WHEN toxic = 1 THEN 'rewritten ' || lang || ' text of ' || source ELSE text END AS text
+      FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL OR quality = 1 OR toxic = 1
+      UNION ALL SELECT item_id + 1000000000, 'en', text FROM benchmark),
+    {sql_bm25(corpus=sql_corpus('corpus'))} SELECT query_id, rank, doc_id, round(score, 6) score FROM sparse""",
+)
+def index_upsert(spark: SparkSession, root: str) -> DataFrame:
+    """Toxic documents replaced, benchmark texts inserted, other bad ones deleted: searched as an index built anew."""
+    docs, labels = documents(spark, root).select("doc_id", "lang", "source", "text"), table(spark, root, "labels")
+    items = table(spark, root, "benchmark")
+    toxic = docs.join(labels.filter("toxic = 1"), "doc_id", "left_semi")
+    rewritten = toxic.select("doc_id", F.concat_ws(" ", F.lit("rewritten"), "lang", F.lit("text of"), "source").alias("text"))
+    fresh = rewritten.unionByName(items.select((F.col("item_id") + 1_000_000_000).alias("doc_id"), "text"))
+    index = ChunkIndex.build(docs, "doc_id", "text").upsert(fresh, "text")
+    index = index.delete(labels.filter("quality = 0 AND toxic = 0").select("doc_id"))
+    hits = index.named(index.sparse_topk(items, "item_id", "text"))
     return hits.select("query_id", long("rank").alias("rank"), "doc_id", r6("score").alias("score"))
 
 
+@query(
+    "chunk_bm25_topk",
+    f"{SQL_CHUNKS}, {sql_bm25(corpus=SQL_CHUNK_CORPUS)} SELECT query_id, rank, doc_id chunk_id, score FROM sparse",
+)
+def chunk_bm25_topk(spark: SparkSession, root: str) -> DataFrame:
+    index = chunk_index(spark, root)
+    return _chunk_hits(index, index.sparse_topk(table(spark, root, "benchmark"), "item_id", "text"))
+
+
+@query(
+    "chunk_dense_topk",
+    f"{SQL_CHUNKS}, {sql_bm25(corpus=SQL_CHUNK_CORPUS)}, {sql_chunk_dense()} SELECT query_id, rank, doc_id chunk_id, score FROM dense",
+)
+def chunk_dense_topk(spark: SparkSession, root: str) -> DataFrame:
+    index = chunk_index(spark, root)
+    return _chunk_hits(index, index.dense_topk(table(spark, root, "benchmark"), "item_id", "text"))
+
+
+def _chunk_hits(index: ChunkIndex, hits: DataFrame) -> DataFrame:
+    return index.named(hits).select("query_id", long("rank").alias("rank"), "chunk_id", "score")
+
+
+@query(
+    "embed_texts",
+    f"{SQL_CHUNKS}, {sql_bm25(corpus=SQL_CHUNK_CORPUS)}, {SQL_TERM_SLOTS} SELECT query_id, slot::BIGINT slot, round(v, 6) + 0 AS value FROM qsum WHERE round(v, 6) <> 0",
+)
+def embed_texts(spark: SparkSession, root: str) -> DataFrame:
+    """Entries of the query texts' vectors that are not zero."""
+    vectors = chunk_index(spark, root).query_vectors(table(spark, root, "benchmark"), "item_id", "text")
+    cells = vectors.select("query_id", F.posexplode("embedding").alias("slot", "value"))
+    return cells.select("query_id", long("slot").alias("slot"), r6("value").alias("value")).filter("value != 0")
+
+
 @query("dense_topk", f"WITH {sql_dense()} SELECT query_id, rank, vec_id, round(score, 6) score FROM dense")
 def dense_topk(spark: SparkSession, root: str) -> DataFrame:
     hits = dense_search(table(spark, root, "embeddings"), query_vectors(spark, root))
     return hits.select("query_id", long("rank").alias("rank"), "vec_id", r6("score").alias("score"))
 
 
+@query(
+    "dense_topk_by_id",
+    """WITH named AS (SELECT 'vec-' || vec_id AS vec_id, embedding FROM embeddings WHERE label = 1),
+    near AS (
+      SELECT 'item-' || q.vec_id query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) score
+      FROM embeddings q JOIN benchmark b ON b.item_id = q.vec_id, named v)
+    SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM near QUALIFY rank <= 10""",
+)
+def dense_topk_by_id(spark: SparkSession, root: str) -> DataFrame:
+    """Text ids on both sides, and a filter before the limit."""
+    vectors = table(spark, root, "embeddings").withColumn("vec_id", F.concat(F.lit("vec-"), "vec_id"))
+    asked = query_vectors(spark, root).withColumn("query_id", F.concat(F.lit("item-"), "query_id"))
+    hits = dense_search_by_id(vectors, asked, 10, F.col("label") == 1)
+    return hits.select("query_id", "vec_id", "score", long("rank").alias("rank"))
+
+
 @query(
     "dense_topk_filtered",
     f"WITH {sql_dense(where='v.label = 1')} SELECT query_id, rank, vec_id, round(score, 6) score FROM dense",
@@ -174,12 +275,12 @@ def embed_normalize(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-@query("rrf_fuse", f"WITH {SQL_FUSED} SELECT query_id, rank, doc_id, dense_rank, bm25_rank, round(rrf_score, 6) rrf_score FROM ranked")
+@query("rrf_fuse", f"{SQL_FUSED} SELECT query_id, rank, doc_id chunk_id, dense_rank, bm25_rank, round(rrf_score, 6) rrf_score FROM ranked")
 def rrf_fuse(spark: SparkSession, root: str) -> DataFrame:
-    dense = dense_search(corpus_vectors(spark, root), query_vectors(spark, root)).withColumnRenamed("vec_id", "doc_id")
-    fused = fusion.rrf_fuse(dense, bm25_hits(spark, root))
-    return fused.select(
-        "query_id", long("rank").alias("rank"), "doc_id", long("dense_rank").alias("dense_rank"),
+    index = chunk_index(spark, root)
+    fused = index.fused(table(spark, root, "benchmark"), "item_id", "text").withColumnRenamed("doc_id", "doc_no")
+    return index.named(fused).select(
+        "query_id", long("rank").alias("rank"), "chunk_id", long("dense_rank").alias("dense_rank"),
         long("bm25_rank").alias("bm25_rank"), r6("rrf_score").alias("rrf_score"),
     )
 
@@ -196,34 +297,27 @@ def rerank_lexical(spark: SparkSession, root: str) -> DataFrame:
 
 
 def hybrid_hits(spark: SparkSession, root: str, where: Column | None = None) -> DataFrame:
-    return fusion.hybrid_search(
-        build_index(spark, root), table(spark, root, "benchmark"), "item_id", "text",
-        corpus_vectors(spark, root), query_vectors(spark, root), where=where,
-    )
+    return chunk_index(spark, root).hybrid(table(spark, root, "benchmark"), "item_id", "text", where=where)
 
 
-@query(
-    "hybrid_search",
-    f"""WITH {SQL_FUSED}, {sql_reranked('ranked')}
-    SELECT query_id, rank, doc_id, dense_rank, bm25_rank, round(rrf_score, 6) rrf_score, round(rerank_score, 6) rerank_score FROM reranked""",
-)
+_SQL_HYBRID_COLUMNS = "query_id, rank, doc_id chunk_id, dense_rank, bm25_rank, round(rrf_score, 6) rrf_score, round(rerank_score, 6) rerank_score"
+
+
+@query("hybrid_search", f"{SQL_FUSED}, {sql_reranked('ranked')} SELECT {_SQL_HYBRID_COLUMNS} FROM reranked")
 def hybrid_search(spark: SparkSession, root: str) -> DataFrame:
+    """Every chunk of every document, on both legs."""
     return _hybrid_rows(hybrid_hits(spark, root))
 
 
-@query(
-    "hybrid_search_filtered",
-    f"""WITH {sql_fused(_ENGLISH)}, {sql_reranked('ranked')}
-    SELECT query_id, rank, doc_id, dense_rank, bm25_rank, round(rrf_score, 6) rrf_score, round(rerank_score, 6) rerank_score FROM reranked""",
-)
+@query("hybrid_search_filtered", f"{sql_fused(_PROSE)}, {sql_reranked('ranked')} SELECT {_SQL_HYBRID_COLUMNS} FROM reranked")
 def hybrid_search_filtered(spark: SparkSession, root: str) -> DataFrame:
-    """English documents only, on both legs."""
-    return _hybrid_rows(hybrid_hits(spark, root, F.col("lang") == "en"))
+    """Chunks of running text only, on both legs."""
+    return _hybrid_rows(hybrid_hits(spark, root, F.col("content_type") == "prose"))
 
 
 def _hybrid_rows(hits: DataFrame) -> DataFrame:
     return hits.select(
-        "query_id", long("rank").alias("rank"), "doc_id", long("dense_rank").alias("dense_rank"),
+        "query_id", long("rank").alias("rank"), "chunk_id", long("dense_rank").alias("dense_rank"),
         long("bm25_rank").alias("bm25_rank"), r6("rrf_score").alias("rrf_score"), r6("rerank_score").alias("rerank_score"),
     )
 

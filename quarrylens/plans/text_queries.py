@@ -302,7 +302,7 @@ def semantic_chunk_rows(spark: SparkSession, root: str) -> DataFrame:
     return C.chunk_documents(documents(spark, root), "doc_id", B.text_blocks(marked(F.col("text")), every_line=True))
 
 
-_SQL_CHUNKS = f"""WITH RECURSIVE {_sql_lines(_SQL_MARKED)}, typed AS (SELECT *, {_SQL_TYPE} t FROM paras),
+SQL_CHUNKS = f"""WITH RECURSIVE {_sql_lines(_SQL_MARKED)}, typed AS (SELECT *, {_SQL_TYPE} t FROM paras),
 blocks AS (SELECT *, last_value(CASE WHEN t = 'heading' THEN p END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) s FROM typed),
 src AS (SELECT {{'d': doc_id, 'b': pos}} k, []::BIGINT[] ord, p FROM blocks), {_sql_cascade('src')},
 chunks AS (
@@ -315,7 +315,7 @@ flagged AS (
 
 @query(
     "semantic_chunks",
-    f"""{_SQL_CHUNKS} SELECT doc_id || '::' || block_index || '::' || chunk_index chunk_id, md5(p) digest, s section_header, t content_type, total::BIGINT total_chunks,
+    f"""{SQL_CHUNKS} SELECT doc_id || '::' || block_index || '::' || chunk_index chunk_id, md5(p) digest, s section_header, t content_type, total::BIGINT total_chunks,
       has_overlap, {sql_token_count('p')}::BIGINT token_count FROM flagged""",
 )
 def semantic_chunks(spark: SparkSession, root: str) -> DataFrame:
@@ -327,7 +327,7 @@ def semantic_chunks(spark: SparkSession, root: str) -> DataFrame:
 
 @query(
     "chunk_struct",
-    f"""{_SQL_CHUNKS} SELECT doc_id || '::' || block_index || '::' || chunk_index chunk_id, p content, doc_id::VARCHAR doc_id, 'pdf' doc_type, t content_type,
+    f"""{SQL_CHUNKS} SELECT doc_id || '::' || block_index || '::' || chunk_index chunk_id, p content, doc_id::VARCHAR doc_id, 'pdf' doc_type, t content_type,
       {sql_token_count('p')}::BIGINT token_count FROM flagged""",
 )
 def chunk_struct(spark: SparkSession, root: str) -> DataFrame:
