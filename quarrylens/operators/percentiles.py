@@ -1,10 +1,14 @@
 """Exact percentiles, in the three definitions in use.
 
 Sorting a hot group in one task, or holding its values in one aggregation
-buffer, does not scale.  Instead a mergeable sketch brackets each wanted rank,
-rows below the bracket are only counted, and the exact value is found among
-the few distinct values inside it.  Should a bracket miss its rank, counts tell
-the side, and that side becomes the bracket.  Nothing is approximated.
+buffer, does not scale.  Instead the wanted rank is closed in by rounds: a
+mergeable sketch of what lies between two values gives a grid of quantiles, the
+two around the rank become the new ends, and one count tells how many rows lie
+below, at and between them.  A rank at an end is answered there, however many
+rows share that value; otherwise the ends themselves are left out of the next
+round, so each round makes progress on any distribution.  A round leaves about
+a five-hundredth of the rows.  At most ``FEW`` values of a rank are
+sorted at last.  Nothing is approximated, and there is no window.
 """
 
 from __future__ import annotations
@@ -18,8 +22,10 @@ from pyspark.sql import functions as F
 from quarrylens.operators.sizing import settle_small_side
 
 SKETCH_ACCURACY = 10_000
-# The sketch errs by at most one part in its accuracy; five are allowed for.
-BRACKET = 5 / SKETCH_ACCURACY
+# Quantiles of a sketch; the grid is wider than the sketch's error.
+GRID = 1000
+# Values between the ends of a rank that are sorted in the last step.
+FEW = 4096
 
 
 @dataclass(frozen=True)
@@ -49,94 +55,121 @@ def _next(rank: Callable[[Column], Column]) -> Callable[[Column], Column]:
 def values_at_ranks(df: DataFrame, keys: list[str], value: str, targets: dict[str, RankTarget]) -> DataFrame:
     """Per group: ``n`` and the value at each target's rank.  Nulls are ignored."""
     rows = df.select(*keys, F.col(value).alias("__v")).filter(F.col("__v").isNotNull())
-    fractions = [
-        min(1.0, max(0.0, target.fraction + side * BRACKET)) for target in targets.values() for side in (-1, 1)
-    ]
-    bounds = rows.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.percentile_approx("__v", fractions, SKETCH_ACCURACY).alias("__near"),
+    ends = _first_ends(rows, keys, targets)
+    open_values = lambda frame: frame.agg(F.max(F.array_max(F.transform("__ends", _between)))).first()[0] or 0
+    # Few values from the start need neither sketch nor count.
+    few = open_values(ends) <= FEW
+    while not few:
+        ends = _kept(_counted(rows, ends, keys, len(targets)))
+        few = open_values(ends) <= FEW
+        if not few:
+            ends = _closer(rows, ends, keys, len(targets))
+    out = []
+    for i, name in enumerate(targets):
+        end = F.col("__ends")[i]
+        held = F.sort_array(F.collect_list(F.when(_inside(end), F.col("__v"))))
+        found = F.get(held, (F.first(end["rank"]) - F.first(end["below"]) - 1).cast("int"))
+        out.append(F.coalesce(F.first(end["value"]), found).alias(name))
+    return _with_ends(rows, ends, keys).groupBy(*keys).agg(F.count("*").alias("n"), *out)
+
+
+def _between(end: Column) -> Column:
+    """Rows strictly between the ends of a rank; none once it is answered."""
+    return F.when(end["value"].isNull(), end["inside"]).otherwise(0)
+
+
+def _inside(end: Column) -> Column:
+    """Whether a row's value lies strictly between the ends; an absent end is no end."""
+    above = end["low"].isNull() | (F.col("__v") > end["low"])
+    return end["value"].isNull() & above & (end["high"].isNull() | (F.col("__v") < end["high"]))
+
+
+def _end(rank: Column, low: Column, high: Column, below: Column, inside: Column, value: Column, left: Column, right: Column) -> Column:
+    """State of a rank: rows up to ``low``, rows between the ends, the answer; and the ends to be tried next."""
+    return F.struct(
+        rank.alias("rank"), low.alias("low"), high.alias("high"), below.cast("long").alias("below"), inside.cast("long").alias("inside"),
+        value.alias("value"), left.alias("left"), right.alias("right"),
     )
-    brackets = bounds.select(
-        *keys,
-        "n",
-        F.array(
-            *[
-                F.struct(
-                    F.lit(i).alias("target"),
-                    F.col("__near")[2 * i].alias("low"),
-                    F.col("__near")[2 * i + 1].alias("high"),
-                    target.rank(F.col("n")).cast("long").alias("rank"),
-                )
-                for i, target in enumerate(targets.values())
-            ]
-        ).alias("__brackets"),
-    )
-    brackets = _settled_brackets(rows, brackets, keys, len(targets))
-    # Values above the bracket are dropped, values below become one null.
-    placed = _with_group(rows, brackets, keys).select(
-        *keys,
-        "n",
-        "__v",
-        F.explode(F.filter("__brackets", lambda b: F.col("__v") <= b["high"])).alias("b"),
-    )
-    histogram = placed.groupBy(
-        *keys,
-        "n",
-        F.col("b.target").alias("target"),
-        F.col("b.rank").alias("rank"),
-        F.when(F.col("__v") >= F.col("b.low"), F.col("__v")).alias("value"),
-    ).agg(F.count("*").alias("copies"))
-    upward = Window.partitionBy(*keys, "target").orderBy(F.asc_nulls_first("value")).rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    reached = histogram.withColumn("reached", F.sum("copies").over(upward))
-    hit = reached.withColumn("hit", F.when(F.col("reached") >= F.col("rank"), F.col("value")))
-    out = [F.min(F.when(F.col("target") == i, F.col("hit"))).alias(name) for i, name in enumerate(targets)]
-    return hit.groupBy(*keys).agg(F.max("n").alias("n"), *out)
 
 
-def _settled_brackets(rows: DataFrame, brackets: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """The brackets, each sure to hold its rank.
+def _around(grid: Column, share: Column) -> tuple[Column, Column]:
+    """The quantiles a cell below and above a share of the rows."""
+    at = lambda k: F.get(grid, F.greatest(F.lit(0), F.least(F.lit(GRID), k)).cast("int"))
+    return at(F.floor(share * GRID) - 1), at(F.ceil(share * GRID) + 1)
 
-    One more count of the rows below and up to each bracket; a rank outside is
-    looked for between the bracket and the end on its side.
-    """
+
+def _first_ends(rows: DataFrame, keys: list[str], targets: dict[str, RankTarget]) -> DataFrame:
+    quantiles = [k / GRID for k in range(GRID + 1)]
+    bounds = rows.groupBy(*keys).agg(F.count("*").alias("__n"), F.percentile_approx("__v", quantiles, SKETCH_ACCURACY).alias("__grid"))
+    none = F.lit(None).cast(rows.schema["__v"].dataType)
+    ends = []
+    for target in targets.values():
+        rank = target.rank(F.col("__n")).cast("long")
+        ends.append(_end(rank, none, none, F.lit(0), F.col("__n"), none, *_around(F.col("__grid"), rank / F.col("__n"))))
+    return _kept(bounds.filter("__n > 0").select(*keys, F.array(*ends).alias("__ends")))
+
+
+def _counted(rows: DataFrame, ends: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """One count of the rows around the tried ends; each rank takes the part that holds it."""
     counts = []
     for i in range(n):
-        b = F.col("__brackets")[i]
-        counts.append(F.count(F.when(F.col("__v") < b["low"], 1)).alias(f"__below{i}"))
-        counts.append(F.count(F.when(F.col("__v") <= b["high"], 1)).alias(f"__upto{i}"))
-    counted = _with_group(rows, brackets, keys).groupBy(*keys).agg(
-        F.first("n").alias("n"), F.first("__brackets").alias("__brackets"), F.min("__v").alias("__min"), F.max("__v").alias("__max"), *counts
-    )
+        end = F.col("__ends")[i]
+        for name, side in (("left", "low"), ("right", "high")):
+            inside = _inside(end)
+            counts.append(F.count_if(inside & (F.col("__v") < end[name])).alias(f"__{name}{i}"))
+            counts.append(F.count_if(inside & (F.col("__v") <= end[name])).alias(f"__upto_{name}{i}"))
+    met = _with_ends(rows, ends, keys).groupBy(*keys).agg(F.first("__ends").alias("__ends"), *counts)
     fixed = []
     for i in range(n):
-        b, below, upto = F.col("__brackets")[i], F.col(f"__below{i}"), F.col(f"__upto{i}")
-        low = F.when(b["rank"] <= below, F.col("__min")).when(b["rank"] > upto, b["high"]).otherwise(b["low"])
-        high = F.when(b["rank"] <= below, b["low"]).when(b["rank"] > upto, F.col("__max")).otherwise(b["high"])
-        fixed.append(F.struct(b["target"].alias("target"), low.alias("low"), high.alias("high"), b["rank"].alias("rank")))
-    return counted.select(*keys, "n", F.array(*fixed).alias("__brackets"))
+        end = F.col("__ends")[i]
+        place = end["rank"] - end["below"]
+        left, upto_left, right, upto_right = (F.col(f"__{c}{i}") for c in ("left", "upto_left", "right", "upto_right"))
+        case = lambda *parts: F.when(place <= left, parts[0]).when(place <= upto_left, parts[1]).when(place <= right, parts[2]).when(place <= upto_right, parts[3]).otherwise(parts[4])
+        fixed.append(
+            F.when(end["value"].isNotNull(), end).otherwise(
+                _end(
+                    end["rank"],
+                    case(end["low"], end["low"], end["left"], end["low"], end["right"]),
+                    case(end["left"], end["high"], end["right"], end["high"], end["high"]),
+                    end["below"] + case(F.lit(0), F.lit(0), upto_left, F.lit(0), upto_right),
+                    case(left, F.lit(0), right - upto_left, F.lit(0), end["inside"] - upto_right),
+                    F.when((place > left) & (place <= upto_left), end["left"]).when((place > right) & (place <= upto_right), end["right"]),
+                    end["left"],
+                    end["right"],
+                )
+            )
+        )
+    return met.select(*keys, F.array(*fixed).alias("__ends"))
+
+
+def _closer(rows: DataFrame, ends: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """New ends to try, from a sketch of the rows strictly between the present ones."""
+    quantiles = [k / GRID for k in range(GRID + 1)]
+    grids = [F.percentile_approx(F.when(_inside(F.col("__ends")[i]), F.col("__v")), quantiles, SKETCH_ACCURACY).alias(f"__grid{i}") for i in range(n)]
+    met = _with_ends(rows, ends, keys).groupBy(*keys).agg(F.first("__ends").alias("__ends"), *grids)
+    tried = []
+    for i in range(n):
+        end = F.col("__ends")[i]
+        left, right = _around(F.col(f"__grid{i}"), (end["rank"] - end["below"]) / F.greatest(end["inside"], F.lit(1)))
+        tried.append(_end(*(end[c] for c in ("rank", "low", "high", "below", "inside", "value")), left, right))
+    return _kept(met.select(*keys, F.array(*tried).alias("__ends")))
 
 
-def _with_group(rows: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
-    """Attach the bracket row of its group to each row."""
+def _kept(ends: DataFrame) -> DataFrame:
+    """One row for each group, computed once: local if there are few, else a table."""
+    return settle_small_side(ends)[0]
+
+
+def _with_ends(rows: DataFrame, ends: DataFrame, keys: list[str]) -> DataFrame:
+    """Attach the state of its group to each row."""
     if keys:
-        # One row per group: measured, then shipped to the rows if small.
-        side, small = settle_small_side(brackets)
-        return rows.join(F.broadcast(side) if small else side, keys)
-    only = brackets.first()
-    bracket = F.array(
-        *[
-            F.struct(
-                F.lit(b["target"]).alias("target"),
-                F.lit(b["low"]).alias("low"),
-                F.lit(b["high"]).alias("high"),
-                F.lit(b["rank"]).cast("long").alias("rank"),
-            )
-            for b in (only["__brackets"] or [])
-        ]
-    )
-    return rows.select("*", F.lit(only["n"]).alias("n"), bracket.alias("__brackets"))
+        return rows.join(ends, keys)
+    only = ends.first()
+    state = F.lit(None).cast(ends.schema["__ends"].dataType)
+    if only is not None:
+        kind = ends.schema["__ends"].dataType.elementType
+        state = F.array(*[F.struct(*[F.lit(e[f.name]).cast(f.dataType).alias(f.name) for f in kind]) for e in only["__ends"]])
+    return rows.select("*", state.alias("__ends"))
 
 
 def percentile_floor(df: DataFrame, keys: list[str], value: str, percents: list[int]) -> DataFrame:

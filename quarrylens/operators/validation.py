@@ -100,9 +100,18 @@ def demote_low_confidence(responses: DataFrame) -> DataFrame:
     )
 
 
-def content_lookup(pool: DataFrame) -> DataFrame:
-    """One content per (response_id, chunk_id): the last position wins."""
-    return pool.groupBy("response_id", "chunk_id").agg(F.max_by("content", "position").alias("content"))
+def content_lookup(pool: DataFrame, cited: DataFrame) -> DataFrame:
+    """One content per cited (response_id, chunk_id): the last position wins.
+
+    The winner is chosen on keys and numbers; contents are met last, and only
+    those of cited chunks go on.  A position occurs once for each key.  All
+    steps use one partitioning by the key, and the hashed side has no texts.
+    """
+    key = ["response_id", "chunk_id"]
+    asked = cited.select(*key).distinct()
+    last = pool.select(*key, "position").join(asked.hint("shuffle_hash"), key, "left_semi").groupBy(*key).agg(F.max("position").alias("__last"))
+    met = pool.select(*key, "position", "content").join(last.hint("shuffle_hash"), key)
+    return met.filter(F.col("position") == F.col("__last")).select(*key, "content")
 
 
 def citation_verdicts(citations: DataFrame, pool: DataFrame, min_chars: int = MIN_QUOTE_CHARS) -> DataFrame:
@@ -112,7 +121,7 @@ def citation_verdicts(citations: DataFrame, pool: DataFrame, min_chars: int = MI
     the response, so a chunk cited everywhere is no hot key.
     """
     # Contents are normalized once per chunk, not once per citation.
-    known = content_lookup(pool).select("response_id", "chunk_id", normalize_ws(F.col("content")).alias("normal"), F.lit(True).alias("found"))
+    known = content_lookup(pool, citations).select("response_id", "chunk_id", normalize_ws(F.col("content")).alias("normal"), F.lit(True).alias("found"))
     joined = citations.join(known, ["response_id", "chunk_id"], "left")
     quote = strip(F.col("quote"))
     verdict = (

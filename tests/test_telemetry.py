@@ -27,9 +27,10 @@ def test_three_percentiles(spark, values):
 
 
 def test_large_groups_are_bracketed_exactly(spark, monkeypatch):
-    # A sketch this coarse and brackets of no width miss most ranks.
-    monkeypatch.setattr(P, "SKETCH_ACCURACY", 3)
-    monkeypatch.setattr(P, "BRACKET", 0.0)
+    # A sketch coarser than its grid misses ranks, so that both sides of the tried ends are taken.
+    monkeypatch.setattr(P, "SKETCH_ACCURACY", 200)
+    monkeypatch.setattr(P, "GRID", 150)
+    monkeypatch.setattr(P, "FEW", 40)
     rng = random.Random(1)
     skewed = [rng.expovariate(0.01) for _ in range(60_000)] + [7.0] * 30_000
     rng.shuffle(skewed)
@@ -43,6 +44,27 @@ def test_large_groups_are_bracketed_exactly(spark, monkeypatch):
     assert whole.p50 == sorted(skewed + [float(v) for v in range(50)])[(90_050 * 50) // 100 - 1] and whole.n == 90_050
 
 
+def test_few_values_are_left_to_sort(spark, monkeypatch):
+    # A continuous column: every value differs.
+    monkeypatch.setattr(P, "FEW", 300)
+    sorted_at_last, rounds = [], []
+    kept, counted = P._kept, P._counted
+    monkeypatch.setattr(P, "_kept", lambda ends: sorted_at_last.append(kept(ends)) or sorted_at_last[-1])
+    monkeypatch.setattr(P, "_counted", lambda *a: rounds.append(1) or counted(*a))
+    df = spark.range(200_000).select(F.exp(F.pmod(F.col("id") * 7919, F.lit(200_003)) / 10_000).alias("v"))
+    found = P.percentile_floor(df, [], "v", [50, 99]).first()
+    ordered = sorted(r.v for r in df.collect())
+    assert (found.p50, found.p99) == (ordered[100_000 - 1], ordered[198_000 - 1])
+    ends = sorted_at_last[-1].first()["__ends"]
+    assert len(rounds) <= 2 and all(e["value"] is not None or e["inside"] <= 300 for e in ends)
+
+
+def test_values_at_ranks_of_nothing(spark):
+    none = spark.createDataFrame([("g", None)], "g string, v double")
+    assert P.percentile_exclusive(none, ["g"], "v", [50]).collect() == []
+    assert P.percentile_floor(none, [], "v", [50]).first() in (None, (0, None))
+
+
 def test_running_figures_cross_buckets(spark):
     rows = [("d", i, kind, f"t{i}") for i, kind in ((1, "prose"), (2, "heading"), (65536, "table"), (65537, "prose"), (200000, "table"), (200001, "heading"))]
     rows += [("e", 9, "table", "x")]
