@@ -33,17 +33,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylens.llm.minhash_dedup import _runs
-from quarrylens.llm.shared import settle
+from quarrylens.llm.shared import settle, tasks
 from quarrylens.llm.shingles import joined, mixed, slices, word_hashes
 
 FREQUENT = 2.0**-20
@@ -62,6 +63,8 @@ NODES = 32
 # Documents and bytes of text of a block, and bytes of text for each shard.
 TEXTS, TEXT_BYTES = 8192, 8 << 20
 SHARD_BYTES = 16 << 20
+# Bytes of rows handed to Python together.
+BATCH_BYTES = 8 << 20
 # Rare words are fewer than pairs; their shards are larger by this factor.
 RARE_SHARE = 8
 END = np.uint64(0x9D5C7A1E33F04B27)
@@ -337,6 +340,23 @@ def _counted_words(shards: int):
     return run
 
 
+def parts_of(spark: SparkSession, shards: int) -> int:
+    """Partitions of a shuffle by shard, two for each: they follow the bytes of text and are not merged again."""
+    return max(tasks(spark), 2 * shards)
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Rows that hold large blocks reach Python a few at a time."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def _each(batch: pa.RecordBatch) -> Iterator[dict]:
     """Rows one at a time: they hold large blocks."""
     for k in range(batch.num_rows):
@@ -360,8 +380,8 @@ _SENT = "shard int, keys binary, counts binary"
 _HELD = "shard int, keys binary, counts binary, distinct long, total long"
 
 
-def _gathered(sent: DataFrame, label: str) -> DataFrame:
-    return settle(sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(_merge_shards, _HELD), label)
+def _gathered(sent: DataFrame, label: str, shards: int) -> DataFrame:
+    return settle(sent.repartition(parts_of(sent.sparkSession, shards), "shard").sortWithinPartitions("shard").mapInArrow(_merge_shards, _HELD), label)
 
 
 def frequent_words(unigrams: DataFrame, share: float = FREQUENT) -> Symbols:
@@ -488,10 +508,10 @@ def train(docs: DataFrame, share: float = FREQUENT, rounds: int = ROUNDS, burn_i
     shards = max(4, -(-size // SHARD_BYTES))
     rare_shards = max(1, -(-shards // RARE_SHARE))
     texts = docs.select("text")
-    unigrams = _gathered(texts.mapInArrow(_counted_words(rare_shards), _SENT), "words")
+    unigrams = _gathered(texts.mapInArrow(_counted_words(rare_shards), _SENT), "words", rare_shards)
     symbols = frequent_words(unigrams, share)
     shipped = spark.sparkContext.broadcast(symbols)
-    pairs = _gathered(texts.mapInArrow(_counted_pairs(shipped, shards), _SENT), "pairs")
+    pairs = _gathered(texts.mapInArrow(_counted_pairs(shipped, shards), _SENT), "pairs", shards)
     discount = count_discount(pairs)
     width = len(symbols.words) + 2
     sums = _summed(pairs, width)
@@ -652,7 +672,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     # Heads of blocks are spread by their block; they need no shard.
     spread = F.when(F.col("kind") == 2, F.col("block")).otherwise(F.col("shard").cast("long"))
     rows = asked.unionByName(known_pairs).unionByName(known_words)
-    rows = rows.repartition("kind", spread).sortWithinPartitions("kind", "shard", "block")
+    parts_asked = parts_of(spark, shards + rare_shards)
+    rows = rows.repartition(parts_asked, "kind", spread).sortWithinPartitions("kind", "shard", "block")
     answered = rows.mapInArrow(answer, "block long, kind int, docs binary, sums binary")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -675,7 +696,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
-    back = answered.repartition("block").sortWithinPartitions("block", "kind")
+    back = answered.repartition(parts_asked, "block").sortWithinPartitions("block", "kind")
     return back.mapInArrow(gather, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
@@ -688,8 +709,10 @@ def split_held_out(docs: DataFrame) -> DataFrame:
 def score_documents(docs: DataFrame) -> DataFrame:
     """Scores of all documents by a model of those not held out."""
     rows = split_held_out(docs)
-    model = train(rows.filter("not held_out"))
-    return score(rows, model).withColumn("train_tokens", F.lit(model.symbols.tokens).cast("long"))
+    with small_batches(docs.sparkSession):
+        model = train(rows.filter("not held_out"))
+        scores = settle(score(rows, model), "scores")
+    return scores.withColumn("train_tokens", F.lit(model.symbols.tokens).cast("long"))
 
 
 def perplexity(scores: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylens.llm.bpe import default_vocabulary, load_bpe
+from quarrylens.llm.shared import settle
 
 # Lengths summed up together; sums over such blocks come first.
 BLOCK = 1024
@@ -103,4 +104,5 @@ def truncated_totals(sums: DataFrame, limits: list[int]) -> DataFrame:
 
 def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """The suffix sums of a table of documents."""
-    return suffix_sums(length_histogram(token_lengths(docs, vocabulary)))
+    # Blocks and cells both read the histogram; texts are encoded once.
+    return suffix_sums(settle(length_histogram(token_lengths(docs, vocabulary)), "lengths"))
