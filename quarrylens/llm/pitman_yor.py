@@ -61,10 +61,10 @@ CELLS = 1 << 16
 # Points of an integral.
 NODES = 32
 # Documents and bytes of text of a block, and bytes of text for each shard.
-TEXTS, TEXT_BYTES = 8192, 8 << 20
+TEXTS, TEXT_BYTES = 8192, 4 << 20
 SHARD_BYTES = 16 << 20
 # Bytes of rows handed to Python together.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 # Rare words are fewer than pairs; their shards are larger by this factor.
 RARE_SHARE = 8
 END = np.uint64(0x9D5C7A1E33F04B27)
