@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylens.functions.text import overlap_share, tokenize
-from quarrylens.operators.validation import CITATION_DDL, DECLINE_MESSAGE, NO_CONTEXT, best_sentence, demote_low_confidence, enforce_citations
+from quarrylens.operators.models import Generator, generate
+from quarrylens.operators.numbering import settled
+from quarrylens.operators.prompt import context_block, prompt_messages
+from quarrylens.operators.validation import (
+    CITATION_DDL, DECLINE_MESSAGE, NO_CONTEXT, best_sentence, demote_low_confidence, enforce_citations, parse_responses,
+)
 
 # Fixed values -------------------------------------------------------------
 FAITHFULNESS_THRESHOLD = 0.85
@@ -49,17 +55,63 @@ def passes(faithfulness: Column, threshold: float = FAITHFULNESS_THRESHOLD) -> C
     return F.coalesce(faithfulness >= threshold, F.lit(False))
 
 
+def _triplet_rows(triplets: DataFrame) -> DataFrame:
+    """Triplets with the defaults of their optional fields; the context is one chunk."""
+    named = lambda c: F.coalesce(F.col(c), F.lit("unknown")) if c in triplets.columns else F.lit("unknown")
+    return triplets.select(
+        "response_id", "query", "context", "ground_truth",
+        named("doc_id").cast("string").alias("doc_id"), named("category").alias("category"), named("difficulty").alias("difficulty"),
+    ).withColumn("chunk_id", F.concat("doc_id", F.lit("::eval::0")))
+
+
+def _precision(answer: Column, truth: Column, context: Column) -> Column:
+    target = F.when(F.coalesce(truth, F.lit("")) != "", truth).otherwise(answer)
+    return F.when(lexical_recall(target, context) >= RELEVANT_SHARE, 1.0).otherwise(0.0)
+
+
+def evaluate_through(
+    triplets: DataFrame,
+    make_generator: Callable[[], Generator],
+    scorers: Scorers | None = None,
+    system_prompt: str | None = None,
+    wait: Callable[[float], None] = time.sleep,
+) -> DataFrame:
+    """Prompt, generate, parse, enforce and score every golden triplet through the model slots.
+
+    Columns as :func:`evaluate_triplets`, and ``latency_ms`` of the generation.
+    The model's texts are written once, so a triplet is one call (up to three
+    attempts) however often the result is read.  A triplet whose call fails
+    keeps its row with the error, declined and unscored; scorers see the rest.
+    """
+    rows = _triplet_rows(triplets)
+    chunk = rows.select(
+        F.col("response_id").alias("query_id"), F.lit(1).alias("rank"), "chunk_id", "doc_id", F.lit(None).cast("string").alias("section_header"),
+        F.lit(1).alias("page_number"), F.lit("prose").alias("content_type"), F.col("context").alias("content"),
+    )
+    asked = rows.select(F.col("response_id").alias("query_id"), "query")
+    prompts = prompt_messages(context_block(asked, chunk), system_prompt)
+    said = settled(generate(prompts, make_generator, wait).withColumnRenamed("query_id", "response_id"), "generated")
+    pool = chunk.withColumnRenamed("query_id", "response_id").withColumn("position", F.lit(0))
+    parsed = parse_responses(rows.select("response_id", "query").join(said.select("response_id", "text"), "response_id"), pool)
+    checked = enforce_citations(parsed, pool).select("response_id", "answer", "is_decline", "confidence")
+    joined = rows.join(checked, "response_id").join(said.select("response_id", F.col("error").alias("failure"), "latency_ms"), "response_id")
+    scored = score_answers(joined, scorers)
+    names = [m for m in (LEXICAL_SCORERS if scorers is None else scorers) if m != "context_precision"]
+    precision = F.when(~F.col("is_decline"), _precision(F.col("answer"), F.col("ground_truth"), F.col("context")))
+    own = precision if scorers is None or "context_precision" not in scorers else F.col("context_precision")
+    return scored.select(
+        "response_id", "query", "ground_truth", F.col("answer").alias("generated_answer"), "is_decline", "confidence", *names,
+        own.alias("context_precision"), "doc_id", "category", "difficulty", F.col("failure").alias("error"), "latency_ms",
+    )
+
+
 def evaluate_triplets(triplets: DataFrame) -> DataFrame:
     """Answer, check and score every golden triplet.
 
     ``triplets``: response_id, query, context, ground_truth and optional
     doc_id, category, difficulty, section.  The context is the one chunk.
     """
-    named = lambda c: F.coalesce(F.col(c), F.lit("unknown")) if c in triplets.columns else F.lit("unknown")
-    rows = triplets.select(
-        "response_id", "query", "context", "ground_truth",
-        named("doc_id").cast("string").alias("doc_id"), named("category").alias("category"), named("difficulty").alias("difficulty"),
-    ).withColumn("chunk_id", F.concat("doc_id", F.lit("::eval::0")))
+    rows = _triplet_rows(triplets)
     best = rows.withColumn("best", best_sentence(F.col("query"), F.col("context")))
     found = F.coalesce(F.col("best.score"), F.lit(0.0)) > 0
     citation = F.struct(
@@ -80,8 +132,7 @@ def evaluate_triplets(triplets: DataFrame) -> DataFrame:
     live = ~F.col("is_decline")
     faithful = lexical_faithfulness(F.col("answer"), F.col("context"))
     recall = F.when(F.col("ground_truth") != "", lexical_recall(F.col("ground_truth"), F.col("context")))
-    target = F.when(F.coalesce(F.col("ground_truth"), F.lit("")) != "", F.col("ground_truth")).otherwise(F.col("answer"))
-    precision = F.when(lexical_recall(target, F.col("context")) >= RELEVANT_SHARE, 1.0).otherwise(0.0)
+    precision = _precision(F.col("answer"), F.col("ground_truth"), F.col("context"))
     return joined.select(
         "response_id", "query", "ground_truth", F.col("answer").alias("generated_answer"), "is_decline", "confidence",
         F.when(live, faithful).alias("faithfulness"),
@@ -110,6 +161,7 @@ def eval_report(results: DataFrame, threshold: float = FAITHFULNESS_THRESHOLD) -
         mean("context_precision", scored).alias("avg_context_precision"),
         F.avg(F.col("is_decline").cast("int")).alias("decline_rate"),
         mean("confidence", everything).alias("avg_confidence"),
+        *([mean("latency_ms", everything).alias("avg_latency_ms")] if "latency_ms" in results.columns else []),
     )
     return report.withColumn("faithfulness_gate_threshold", F.lit(threshold)).withColumn(
         "passed_gate", F.col("avg_faithfulness") >= threshold

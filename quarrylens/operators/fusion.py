@@ -1,4 +1,4 @@
-"""Rank fusion, reranking and the hybrid search over both."""
+"""Rank fusion and reranking of two lists; `chunk_index` searches both."""
 
 from __future__ import annotations
 
@@ -8,10 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylens.functions.text import overlap_share, tokenize
-from quarrylens.operators.dense import dense_topk
 from quarrylens.operators.ranking import settle, top_k
 from quarrylens.operators.sizing import fetch_by_key
-from quarrylens.operators.sparse_index import SparseIndex
 
 # Fixed values -------------------------------------------------------------
 RRF_K = 60
@@ -85,35 +83,6 @@ def rerank(
     return best.drop("query")
 
 
-def hybrid_search(
-    index: SparseIndex,
-    queries: DataFrame,
-    query_id: str,
-    query_text: str,
-    vectors: DataFrame,
-    query_vectors: DataFrame,
-    top_k_retrieve: int = CANDIDATES,
-    top_k_rerank: int = FINAL_K,
-    scorer: str | Scorer = "lexical",
-    where: Column | None = None,
-) -> DataFrame:
-    """Dense and sparse retrieval, fusion and rerank as one plan.
-
-    ``vectors`` has (vec_id, embedding), vec_id being the id of an indexed
-    document.  ``where`` selects documents, by their columns, for both legs
-    before their limits.
-    """
-    if where is not None:
-        allowed = index.docs.filter(where).select(F.col(index.doc_id).alias("vec_id"))
-        vectors = vectors.join(allowed, "vec_id", "left_semi")
-    asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_text).alias("query"))
-    docs = index.docs.select(F.col(index.doc_id).alias("doc_id"), F.col(index.text).alias("content"))
-    dense = dense_topk(vectors, query_vectors, top_k_retrieve).withColumnRenamed("vec_id", "doc_id")
-    sparse = index.search(queries, query_id, query_text, top_k_retrieve, where)
-    fused = rrf_fuse(dense, sparse, top_k_retrieve)
-    return rerank(fused, asked, docs, top_k_rerank, scorer)
-
-
 def retrieved_projection(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """Typed hit rows: metadata fetched late, defaults for what is missing."""
     columns = set(chunks.columns)

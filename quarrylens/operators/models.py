@@ -50,7 +50,7 @@ def embed(text: Column, make_encoder: Callable[[], Encoder], prefix: str = PASSA
 def generate(
     prompts: DataFrame, make_generator: Callable[[], Generator], wait: Callable[[float], None] = time.sleep
 ) -> DataFrame:
-    """Model text per prompt: query_id, text, error.
+    """Model text per prompt: query_id, text, error, latency_ms (all attempts and pauses).
 
     ``prompts`` has (query_id, messages).  A call is tried three times with a
     growing pause; an empty text counts as a failure.  What fails in the end
@@ -74,8 +74,12 @@ def generate(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         generator = make_generator()
         for batch in batches:
-            rows = [(q, *answer(generator, list(m))) for q, m in zip(batch["query_id"], batch["messages"])]
-            yield pd.DataFrame(rows, columns=["query_id", "text", "error"])
+            rows = []
+            for query, messages in zip(batch["query_id"], batch["messages"]):
+                start = time.perf_counter()
+                text, error = answer(generator, list(messages))
+                rows.append((query, text, error, 1000 * (time.perf_counter() - start)))
+            yield pd.DataFrame(rows, columns=["query_id", "text", "error", "latency_ms"])
 
     kind = prompts.schema["query_id"].dataType.simpleString()
-    return prompts.select("query_id", "messages").mapInPandas(run, f"query_id {kind}, text string, error string")
+    return prompts.select("query_id", "messages").mapInPandas(run, f"query_id {kind}, text string, error string, latency_ms double")

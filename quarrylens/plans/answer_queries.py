@@ -203,16 +203,21 @@ def citation_enforce(spark: SparkSession, root: str) -> DataFrame:
         CASE WHEN toxic = 0 AND n_chars < 300 THEN 'citations_missing' END,
         CASE WHEN n_chars >= 300 AND lang = 'es' THEN 'citation_field_missing' END,
         CASE WHEN n_chars >= 300 AND quality = 0 THEN 'citation_page' END,
-        CASE WHEN n_chars >= 300 AND (length(split_part(text, ' ', 1)) < 10 OR {sql_strip("split_part(text, ' ', 1)")} = '') THEN 'citation_quote' END], lambda x: x IS NOT NULL) v
-      FROM documents d JOIN labels l USING (doc_id))
+        CASE WHEN n_chars >= 300 AND (length(quote) < 10 OR {sql_strip("quote")} = '') THEN 'citation_quote' END], lambda x: x IS NOT NULL) v
+      FROM (SELECT doc_id, lang, n_chars, text, coalesce(quality, 1) quality, coalesce(toxic, 0) toxic,
+          CASE WHEN doc_id % 2 = 0 THEN split_part(text, ' ', 1) ELSE substr(text, 1, 60) END quote
+        FROM documents LEFT JOIN labels USING (doc_id)) d)
     SELECT doc_id, array_to_string(v, ',') violations, len(v) = 0 is_valid FROM v""",
 )
 def response_rules(spark: SparkSession, root: str) -> DataFrame:
-    """Labelled documents as responses that break the rules in various ways."""
-    rows = documents(spark, root).join(table(spark, root, "labels"), "doc_id")
+    """Documents as responses that break the rules in various ways; those without a label count as good ones."""
+    labels = table(spark, root, "labels").select("doc_id", "quality", "toxic")
+    rows = documents(spark, root).join(labels, "doc_id", "left")
+    rows = rows.withColumn("quality", F.coalesce("quality", F.lit(1))).withColumn("toxic", F.coalesce("toxic", F.lit(0)))
+    quote = F.when(F.col("doc_id") % 2 == 0, F.substring_index("text", " ", 1)).otherwise(F.substring("text", 1, 60))
     cite = F.struct(
         F.lit("c").alias("chunk_id"), F.when(F.col("lang") != "es", "d").alias("doc_id"), F.col("quality").alias("page_number"),
-        F.substring_index("text", " ", 1).alias("exact_quote_context"),
+        quote.alias("exact_quote_context"),
     )
     broken = V.response_violations(
         F.col("lang"),

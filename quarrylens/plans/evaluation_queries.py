@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylens.operators import evaluation as E
 from quarrylens.operators import sft as S
-from quarrylens.plans.catalog import documents, long, query, r6, rows_of, sql_share, sql_tokens, table
+from quarrylens.plans.catalog import documents, long, query, r6, rows_of, sql_share, sql_strip, sql_tokens, table
+from quarrylens.operators.prompt import USER_TEMPLATE
 from quarrylens.operators.sizing import fetch_by_key
 from quarrylens.operators.validation import DECLINE_MESSAGE
 from quarrylens.plans.answer_queries import SQL_BEST_SENTENCE
@@ -140,6 +143,52 @@ def triplet_eval(spark: SparkSession, root: str) -> DataFrame:
     return out.select(*[r6(c).alias(c) if c in rounded else F.col(c) for c in out.columns])
 
 
+_HEAD, _MIDDLE, _ = USER_TEMPLATE
+
+
+def quoting_generator() -> Callable[[Sequence[dict]], str]:
+    """A scripted model: answers with the start of its chunk; fails on some queries and forgets its JSON on others."""
+
+    def generate(messages: Sequence[dict]) -> str:
+        user = messages[1]["content"]
+        cut = user.rindex(_MIDDLE)
+        label, content = user[len(_HEAD) : cut].split("\n", 1)
+        asked = len(user) - cut
+        if asked % 7 == 0:
+            raise ConnectionError("no answer")
+        quote = content[:60].strip()
+        if asked % 5 == 0:
+            return quote
+        chunk = label.split("chunk_id=", 1)[1].split(" | ", 1)[0]
+        return json.dumps({"answer": quote, "confidence": 0.75, "citations": [{"chunk_id": chunk, "exact_quote_context": quote}]})
+
+    return generate
+
+
+_FRAME = len(USER_TEMPLATE[1]) + len(USER_TEMPLATE[2])
+
+
+@query(
+    "triplet_generation",
+    f"""WITH {sql_bm25(1)},
+    made AS (SELECT query_id, doc_id, {sql_strip('substr(x.text, 1, 60)')} answer, q.t qt, d.toks ct, (length(q.text) + {_FRAME}) % 7 = 0 broken, (length(q.text) + {_FRAME}) % 5 = 0 bare
+      FROM sparse JOIN toks d USING (doc_id) JOIN documents x USING (doc_id) JOIN (SELECT item_id query_id, text, {sql_tokens('text')} t FROM benchmark) q USING (query_id)),
+    judged AS (SELECT *, NOT broken AND NOT bare AND length(answer) >= 10 live FROM made)
+    SELECT query_id response_id, CASE WHEN live THEN answer ELSE '{DECLINE_MESSAGE}' END generated_answer, NOT live is_decline, CASE WHEN live THEN 0.75 ELSE 0 END::DOUBLE confidence,
+      CASE WHEN live THEN round({sql_share(sql_tokens('answer'), 'ct')}, 6) END faithfulness, CASE WHEN live THEN round({sql_share('qt', 'ct')}, 6) END context_recall,
+      CASE WHEN live THEN ({sql_share('qt', 'ct')} >= 0.5)::INT::DOUBLE END context_precision, CASE WHEN broken THEN 'no answer' END error, true measured FROM judged""",
+)
+def triplet_generation(spark: SparkSession, root: str) -> DataFrame:
+    """Benchmark texts over their best documents, through prompt, model, parser, citation check and scorers."""
+    best = _answer_pairs(spark, root, 1)
+    triplets = best.select(F.col("query_id").alias("response_id"), "query", F.col("content").alias("context"), F.col("query").alias("ground_truth"), "doc_id")
+    out = E.evaluate_through(triplets, quoting_generator, wait=lambda seconds: None)
+    return out.select(
+        "response_id", "generated_answer", "is_decline", "confidence", r6("faithfulness").alias("faithfulness"), r6("context_recall").alias("context_recall"),
+        "context_precision", "error", (F.col("latency_ms") >= 0).alias("measured"),
+    )
+
+
 # Fine-tuning data -----------------------------------------------------------
 
 _SQL_SYSTEM = "'" + S.SYSTEM_PROMPT.replace("'", "''") + "'"

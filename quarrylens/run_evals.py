@@ -40,6 +40,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         answered.write.parquet(path)
         results = spark.read.schema(answered.schema).parquet(path)
         report = E.eval_report(results, args.threshold)
+        report = report.withColumn("timestamp", F.current_timestamp().cast("string")).withColumn("dataset_path", F.lit(args.dataset))
         figures = report.first().asDict()
         verdict = E.gate_verdict(results, args.threshold, args.require_all_categories).first()
         if args.output:

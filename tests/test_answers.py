@@ -204,3 +204,38 @@ def test_chatml(spark):
     df = spark.createDataFrame([(m,)], "m array<struct<role:string,content:string>>")
     row = df.select(S.first_with_role(F.col("m"), "nobody").alias("x"), F.size(S.without_role(F.col("m"), "assistant")).alias("n"), S.chat_template(F.col("m")).alias("t")).first()
     assert row.x is None and row.n == 2 and row.t.startswith("<|im_start|>system\nsys<|im_end|>\n")
+
+
+def test_triplets_through_the_slots(spark, tmp_path):
+    import json
+
+    from quarrylens.operators import evaluation as E
+
+    calls = str(tmp_path / "calls")
+
+    def make_generator():
+        def generate(messages):
+            user = messages[1]["content"]
+            with open(calls, "a", encoding="utf-8") as log:
+                log.write("x")
+            if "broken" in user:
+                raise RuntimeError("model is down")
+            if "unquoted" in user:
+                return json.dumps({"answer": "made up", "confidence": 0.9, "citations": [{"chunk_id": "d1::eval::0", "exact_quote_context": "words that nobody wrote"}]})
+            chunk = user.split("chunk_id=")[1].split(" ")[0]
+            return json.dumps({"answer": "Refunds are paid on Monday.", "confidence": 0.9, "citations": [{"chunk_id": chunk, "exact_quote_context": "refunds are  paid on Monday"}]})
+
+        return generate
+
+    context = "Refunds are paid on Monday. Other things follow {later}."
+    rows = [(1, "when are refunds paid", context, "paid on Monday", "d1"), (2, "broken question", context, "", "d1"), (3, "unquoted question", context, "Monday", "d1")]
+    triplets = spark.createDataFrame(rows, "response_id long, query string, context string, ground_truth string, doc_id string")
+    out = E.evaluate_through(triplets, make_generator, wait=lambda seconds: None)
+    got = {r.response_id: r for r in out.collect()}
+    assert (got[1].is_decline, got[1].faithfulness, got[1].context_recall, got[1].context_precision, got[1].error) == (False, 1.0, 1.0, 1.0, None)
+    assert (got[2].is_decline, got[2].faithfulness, got[2].error) == (True, None, "model is down")
+    assert (got[3].is_decline, got[3].error) == (True, None) and all(r.latency_ms >= 0 for r in got.values())
+    report = E.eval_report(out).first()
+    assert (report.total_triplets, report.scored_triplets, report.failed_triplets) == (3, 1, 1) and report.avg_latency_ms >= 0
+    # One call for each triplet, three attempts for the broken one, whatever is read.
+    assert len(open(calls, encoding="utf-8").read()) == 5
