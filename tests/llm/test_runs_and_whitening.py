@@ -319,3 +319,29 @@ def test_polar_factor_is_the_sign_of_the_spectrum():
     values, axes = np.linalg.eigh(spectrum("plain", 20) - 1.0 * np.eye(20))
     want = (axes * np.sign(values)) @ axes.T
     np.testing.assert_allclose(whitening.polar((axes * values) @ axes.T), want, atol=1e-12)
+
+
+# --- joins of hot keys
+
+
+@pytest.mark.parametrize("heavy_keys", [1, 3, 1024])
+@pytest.mark.parametrize("how", ["inner", "left_semi", "left_anti"])
+def test_hot_keys_join_like_others(spark, monkeypatch, heavy_keys, how):
+    from quarrylens.llm import shared
+
+    monkeypatch.setattr(shared, "HEAVY_KEYS", heavy_keys)
+    rows = [(k % 7 if k % 3 else 0, k) for k in range(90)]
+    side = [(0, 40, "hot"), (1, 9, "a"), (4, 8, "b"), (9, 0, "absent")]
+    left = spark.createDataFrame(rows, "key int, v int")
+    right = spark.createDataFrame(side, "key int, n int, name string")
+    got = sorted(map(tuple, shared.join_weighted(left, right, ["key"], "n", how).collect()))
+    assert got == sorted(map(tuple, left.join(right, ["key"], how).collect())) and got
+
+
+def test_components_equal_brute_force_with_light_forms(spark, monkeypatch):
+    from quarrylens.llm import shared
+
+    monkeypatch.setattr(shared, "HEAVY_KEYS", 8)
+    rows = simhash_rows()
+    found = simhash_dedup.near_duplicates(awkward(spark, rows), bucket=2)
+    assert sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in found.collect()) == brute_components(rows)
