@@ -143,6 +143,18 @@ def triplet_eval(spark: SparkSession, root: str) -> DataFrame:
     return out.select(*[r6(c).alias(c) if c in rounded else F.col(c) for c in out.columns])
 
 
+@query(
+    "row_json",
+    """SELECT doc_id, to_json({'doc_id': doc_id, 'lang': lang, 'n_chars': n_chars, 'quality': quality, 'toxic': toxic})::VARCHAR AS record
+    FROM documents LEFT JOIN labels USING (doc_id)""",
+)
+def row_json(spark: SparkSession, root: str) -> DataFrame:
+    """Every document's record as JSON; what is missing is written as null."""
+    labels = table(spark, root, "labels").select("doc_id", "quality", "toxic")
+    rows = documents(spark, root).select("doc_id", "lang", "n_chars").join(labels, "doc_id", "left")
+    return rows.select("doc_id", E.row_json("doc_id", "lang", "n_chars", "quality", "toxic").alias("record"))
+
+
 _HEAD, _MIDDLE, _ = USER_TEMPLATE
 
 

@@ -154,3 +154,14 @@ def test_pages_to_chunks(spark):
         ("7::0::0", "heading", "Top", False), ("7::1::0", "prose", "Top", False), ("7::2::0", "prose", "Top", True),
     ]
     assert rows[2].content_with_overlap == f"{LONG} first{C.OVERLAP_SENTINEL}{LONG} second"
+
+
+def test_settings_come_from_yaml(tmp_path):
+    pytest.importorskip("yaml")
+    from quarrylens.sources.tables import load_config
+
+    path = tmp_path / "settings.yaml"
+    path.write_text("model:\n  name: small\n  layers: [1, 2]\nrate: 0.5\n", encoding="utf-8")
+    assert load_config(str(path)) == {"model": {"name": "small", "layers": [1, 2]}, "rate": 0.5}
+    with pytest.raises(FileNotFoundError):
+        load_config(str(tmp_path / "absent.yaml"))
