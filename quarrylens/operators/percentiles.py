@@ -25,7 +25,7 @@ SKETCH_ACCURACY = 10_000
 # Quantiles of a sketch; the grid is wider than the sketch's error.
 GRID = 1000
 # Values between the ends of a rank that are sorted in the last step.
-FEW = 4096
+FEW = 1 << 17
 
 
 @dataclass(frozen=True)
