@@ -3,18 +3,20 @@
 Two first-order models of characters are trained, one of random strings and
 one of ordinary identifiers.  The labelled samples come from the corpus: the
 values of all matches of the fixed shapes are random strings, all other
-identifier-like runs are ordinary.  A run of at least ``SHORTEST`` characters
-is reported when its log-likelihood ratio exceeds ``MARGIN``, and
-``PAIR_MARGIN`` for each of its character pairs.
+identifier-like runs are ordinary; each distinct string counts once.  What a
+run of at least ``SHORTEST`` characters has left outside the fixed shapes is
+searched for its best-scoring stretches, so a secret is found between words
+that are joined to it.  A stretch is reported when its log-likelihood ratio
+exceeds ``MARGIN``, and ``PAIR_MARGIN`` for each of its character pairs.
 
 Everything is made of DataFrame functions.  Positions of regex matches come
 from the lengths of the matches and of the parts between them.  A text is one
-row from scan to span list; training shuffles counts of character pairs only,
-at most ``len(CODES) ** 2`` rows for each model.
+row from scan to span list; training shuffles the distinct samples and then
+counts of character pairs, at most ``len(CODES) ** 2`` rows for each model.
 
 A null or empty text has no spans.  Positions count code points, the end is
-exclusive.  Spans of different kinds may overlap; a Markov span that would
-overlap another one is not added.  Rows are scanned one by one, so repeated
+exclusive.  Spans of different kinds may overlap; Markov spans overlap no
+other.  Rows are scanned one by one, so repeated
 rows have equal spans; without any labelled samples the models agree and add
 nothing.
 """
@@ -37,21 +39,29 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 ASSIGNED = 6
 KINDS = ("assign", "access", "hex", "markov")
-# Runs that the models judge; shorter ones are labelled samples at most.
+# Runs that are searched; those from ``SAMPLED`` on are labelled samples.
 # They start where no such character stands before, so that a search does not
 # try every character of a short word.
-SHORTEST = 20
-SAMPLED = 16
+SHORTEST = 16
+SAMPLED = 12
 RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}"
-# Natural-log odds beyond which a run is taken for random: in all, and for
+# Signs that join words; a pair with one of them never speaks for randomness.
+JOINTS = "+/_=-"
+# Natural-log odds beyond which a stretch is taken for random: in all, and for
 # each of its character pairs.
-MARGIN, PAIR_MARGIN = 10.0, 0.75
+MARGIN, PAIR_MARGIN = 12.0, 0.75
+# A stretch grows while its pairs bring more than ``DRIFT`` each; it ends at
+# its best point once the score has fallen by ``FALL`` from there.  It has at
+# least ``STRETCH`` characters: both ends of a short secret may look ordinary.
+DRIFT, FALL, STRETCH = 0.5, 12.0, 12
 # Printable ASCII, as numbers from 0.
 CODES = range(32, 127)
-# Counts that single characters have from the start: random strings may use
-# all of their alphabet, identifiers use what they were seen to use.  Pairs
-# fall back on single characters with the weight of so many counts.
-RANDOM_PRIOR, PLAIN_PRIOR = 50.0, 0.5
+# Random strings may use all of their alphabet, whatever the samples used: this
+# share of the random model is an even draw from it.
+EVEN_SHARE = 0.8
+# Counts that single characters have from the start.  Pairs fall back on single
+# characters with the weight of so many counts.
+PRIOR = 0.5
 RANDOM_BACKOFF, PLAIN_BACKOFF = 20.0, 2.0
 # Taken off the counts of pairs in ordinary runs: some of these are secrets of
 # no fixed shape, whose odd pairs must not pass for usual ones.
@@ -88,19 +98,19 @@ SPAN = "array<struct<start:int,end:int,kind:int,value:string>>"
 
 
 def match_spans(
-    df: DataFrame, pattern: str, kind: int, column: str, value_group: int = 0, least: int = 0, sign: Column | None = None
+    df: DataFrame, pattern: str, kind: int, column: str, value_group: int = 0, least: int = 0, sign: Column | None = None, of: str = "body"
 ) -> DataFrame:
-    """Adds the spans of all matches of a pattern in ``body``, leftmost and not overlapping.
+    """Adds the spans of all matches of a pattern in the text ``of``, leftmost and not overlapping.
 
     ``sign`` is a cheap condition that holds wherever the pattern matches.
     """
-    matched = F.col("body").rlike(pattern)
+    matched = F.col(of).rlike(pattern)
     hit = F.col("_hit")
     found = df.withColumn("_hit", matched if sign is None else F.when(sign, matched).otherwise(False)).select(
         "*",
-        F.when(hit, F.regexp_extract_all("body", F.lit(pattern), F.lit(0))).alias("_found"),
-        F.when(hit, F.regexp_extract_all("body", F.lit(pattern), F.lit(value_group))).alias("_value"),
-        F.when(hit, F.split("body", pattern, -1)).alias("_gaps"),
+        F.when(hit, F.regexp_extract_all(of, F.lit(pattern), F.lit(0))).alias("_found"),
+        F.when(hit, F.regexp_extract_all(of, F.lit(pattern), F.lit(value_group))).alias("_value"),
+        F.when(hit, F.split(of, pattern, -1)).alias("_gaps"),
     )
     pairs = F.transform("_found", lambda m, k: F.struct((F.length(F.col("_gaps")[k]) + F.length(m)).alias("n"), F.length(m).alias("m")))
     found = found.withColumn("_pairs", pairs)
@@ -134,22 +144,39 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return match_spans(rows, HEX, 2, "hex")
 
 
-def outside(spans: Column, others: Column) -> Column:
-    """Spans that overlap none of the others."""
-    return F.filter(spans, lambda s: ~F.exists(others, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])))
+def blanked(known: Column) -> Column:
+    """``body`` with blanks in the place of known spans, so that all positions stay."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+
+    def step(state: Column, s: Column) -> Column:
+        plain = F.substring(F.col("body"), state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
+        gap = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], state["at"]), F.lit(0)))
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["parts"], F.array(plain, gap)).alias("parts"))
+
+    def whole(state: Column) -> Column:
+        return F.concat(F.array_join(state["parts"], ""), F.substring(F.col("body"), state["at"] + 1, F.length("body")))
+
+    return F.when(F.size(known) > 0, F.aggregate(F.sort_array(known), start, step, whole)).otherwise(F.col("body"))
+
+
+def without_known(docs: DataFrame) -> DataFrame:
+    """The spans of the fixed shapes, and ``rest``: the text without them."""
+    rows = base_spans(docs).withColumn("known", F.concat("assign", "access", "hex"))
+    return rows.withColumn("rest", blanked(F.col("known")))
 
 
 def labelled_samples(docs: DataFrame) -> DataFrame:
-    """(value, random) for every match of a fixed shape and every other long identifier-like run."""
-    rows = base_spans(docs)
-    known = F.concat("assign", "access", "hex")
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("body", ASSIGN, " "), ACCESS, " "), HEX, " ")
-    rest = F.when(F.size(known) > 0, bare).otherwise(F.col("body"))
-    secret = F.transform(known, lambda s: F.struct(s["value"].alias("value"), F.lit(True).alias("random")))
+    """(value, random) for every distinct match of a fixed shape and other identifier-like run."""
+    secret = F.transform("known", lambda s: F.struct(s["value"].alias("value"), F.lit(True).alias("random")))
     runs = F.regexp_extract_all("rest", F.lit(RUN % SAMPLED), F.lit(0))
     plain = F.transform(runs, lambda v: F.struct(v.alias("value"), F.lit(False).alias("random")))
-    samples = rows.select(secret.alias("secret"), rest.alias("rest")).select(F.concat("secret", plain).alias("samples"))
-    return samples.select(F.explode_outer("samples").alias("s")).filter("s is not null").select("s.*")
+    samples = without_known(docs).select(F.concat(secret, plain).alias("samples"))
+    return samples.select(F.explode_outer("samples").alias("s")).filter("s is not null").select("s.*").distinct()
+
+
+def characters(text: Column) -> Column:
+    """The characters of a text; reading them by position would start anew for each."""
+    return F.filter(F.split(text, ""), lambda c: c != "")
 
 
 def pair_ratios(samples: DataFrame) -> list[float]:
@@ -159,21 +186,22 @@ def pair_ratios(samples: DataFrame) -> list[float]:
     are bounded by the alphabet.
     """
     n = len(CODES)
-    pairs = F.transform(F.sequence(F.lit(1), F.length("value") - 1), lambda i: F.substring(F.col("value"), i, F.lit(2)))
-    counts = (
-        samples.filter(F.length("value") >= 2)
-        .select("random", F.explode_outer(pairs).alias("pair"))
-        .groupBy("random", "pair")
-        .agg(F.count("*").alias("n"))
-    )
+    spelt = samples.select("random", characters(F.col("value")).alias("letters"))
+    pairs = F.transform("letters", lambda c, i: F.concat(c, F.get("letters", i + 1)))
+    counts = spelt.select("random", F.explode_outer(pairs).alias("pair")).filter("pair is not null").groupBy("random", "pair").agg(F.count("*").alias("n"))
     pairs_seen: dict[bool, list[float]] = {kind: [0.0] * (n * n) for kind in (True, False)}
     for row in counts.collect():
-        if row.pair is not None and len(row.pair) == 2 and all(ord(c) in CODES for c in row.pair):
+        if len(row.pair) == 2 and all(ord(c) in CODES for c in row.pair):
             pairs_seen[row.random][(ord(row.pair[0]) - CODES[0]) * n + ord(row.pair[1]) - CODES[0]] += row.n
-    used = [RANDOM_PRIOR if ALPHABET.match(chr(c)) else PLAIN_PRIOR for c in CODES]
-    random = _chances(pairs_seen[True], used, RANDOM_BACKOFF)
-    plain = _chances([max(0.0, x - PLAIN_DISCOUNT) for x in pairs_seen[False]], [PLAIN_PRIOR] * n, PLAIN_BACKOFF)
-    return [math.log(x) - math.log(y) for x, y in zip(random, plain)]
+    if not any(map(any, pairs_seen.values())):
+        return [0.0] * (n * n)
+    even = [1.0 if ALPHABET.match(chr(c)) else PRIOR / n for c in CODES]
+    random = _chances(pairs_seen[True], [PRIOR] * n, RANDOM_BACKOFF)
+    random = [(1 - EVEN_SHARE) * x + EVEN_SHARE * even[k % n] / sum(even) for k, x in enumerate(random)]
+    plain = _chances([max(0.0, x - PLAIN_DISCOUNT) for x in pairs_seen[False]], [PRIOR] * n, PLAIN_BACKOFF)
+    ratios = [math.log(x) - math.log(y) for x, y in zip(random, plain)]
+    joint = [chr(c) in JOINTS for c in CODES]
+    return [min(x, 0.0) if joint[k // n] or joint[k % n] else x for k, x in enumerate(ratios)]
 
 
 def _chances(counts: list[float], prior: list[float], weight: float) -> list[float]:
@@ -185,26 +213,81 @@ def _chances(counts: list[float], prior: list[float], weight: float) -> list[flo
     return [(counts[a * n + b] + weight * single[b] / total) / after[a] for a in range(n) for b in range(n)]
 
 
+def random_stretches(run: Column, lookup: Column, margin: float) -> Column:
+    """(start, end) of what looks random in a run, in characters from its start.
+
+    One fold over the characters: a running score that starts again where it
+    falls to zero or by ``FALL`` below its best, and the best end so far.  A
+    stretch takes in the rest of the parts between joints in which it starts
+    and ends, as chance may make the ends of a secret look ordinary; stretches
+    that meet in a part become one.  An end of -1 is still to come.
+    """
+    n = len(CODES)
+    fields = "at int, code int, piece int, score double, start int, left int, best double, end int, right int"
+    kind = f"struct<{fields.replace(' int', ':int').replace(' double', ':double')},held:struct<start:int,end:int>,found:array<struct<start:int,end:int>>>"
+    numbers = [F.lit(-1 if name in ("code", "right") else 0) for name in [f.split()[0] for f in fields.split(", ")]]
+    start = F.struct(*numbers, F.lit(None), F.array()).cast(kind)
+
+    def span(first: Column, last: Column) -> Column:
+        return F.struct(first.alias("start"), last.alias("end"))
+
+    def good(state: Column) -> Column:
+        pairs = state["end"] - state["start"]
+        odds = state["best"] + DRIFT * pairs
+        return (pairs >= STRETCH - 1) & (odds > margin) & (odds > PAIR_MARGIN * pairs)
+
+    def meets(state: Column) -> Column:
+        held = state["held"]
+        return held.isNotNull() & ((held["end"] < 0) | (state["left"] < held["end"]))
+
+    def held_after(state: Column) -> Column:
+        first = F.when(meets(state), state["held"]["start"]).otherwise(state["left"])
+        return F.when(good(state), span(first, state["right"])).otherwise(state["held"])
+
+    def found_after(state: Column) -> Column:
+        done = good(state) & state["held"].isNotNull() & ~meets(state)
+        return F.when(done, F.concat(state["found"], F.array(state["held"]))).otherwise(state["found"])
+
+    def ended(held: Column, at: Column) -> Column:
+        return F.when(held["end"] < 0, span(held["start"], at)).otherwise(held)
+
+    def step(state: Column, letter: Column) -> Column:
+        code, at, fresh = F.ascii(letter) - CODES[0], state["at"], state["score"] <= 0
+        joint = letter.isin(*JOINTS)
+        gain = F.when(state["code"] < 0, 0.0).otherwise(F.get(lookup, state["code"] * n + code) - DRIFT)
+        score = F.when(fresh, 0.0).otherwise(state["score"]) + gain
+        best = F.when(fresh, 0.0).otherwise(state["best"])
+        first = F.greatest(at - 1, F.lit(0))
+        right = F.when(fresh | (score > best), -1).otherwise(state["right"])
+        held = F.when(fresh, held_after(state)).otherwise(state["held"])
+        return F.struct(
+            at + 1, code, F.when(joint, at + 1).otherwise(state["piece"]), F.when(score < best - FALL, 0.0).otherwise(score),
+            F.when(fresh, first).otherwise(state["start"]), F.when(fresh, state["piece"]).otherwise(state["left"]),
+            F.greatest(score, best), F.when(score > best, at).when(fresh, first).otherwise(state["end"]),
+            F.when(joint & (right < 0), at).otherwise(right), F.when(joint, ended(held, at)).otherwise(held),
+            F.when(fresh, found_after(state)).otherwise(state["found"]),
+        ).cast(kind)
+
+    def finish(state: Column) -> Column:
+        last = held_after(state)
+        return F.concat(found_after(state), F.when(last.isNotNull(), F.array(ended(last, state["at"]))).otherwise(F.array()))
+
+    return F.aggregate(characters(run), start, step, finish)
+
+
 def secret_spans(docs: DataFrame, ratios: list[float] | None = None, margin: float = MARGIN) -> DataFrame:
     """doc_id, body, the spans of each kind and ``all_spans`` by start, then kind."""
     table = pair_ratios(labelled_samples(docs)) if ratios is None else ratios
     lookup = F.from_json(F.lit(json.dumps([round(x, 6) for x in table])), "array<double>")
-    n = len(CODES)
+    rows = match_spans(without_known(docs), RUN % SHORTEST, 3, "runs", of="rest")
 
-    def code(run: Column, i: Column) -> Column:
-        return F.ascii(F.substring(run, i, F.lit(1))) - CODES[0]
+    def moved(run: Column) -> Column:
+        place = lambda s: F.struct((run["start"] + s["start"]).alias("start"), (run["start"] + s["end"]).alias("end"), run["kind"].alias("kind"))
+        return F.transform(random_stretches(run["value"], lookup, margin), place)
 
-    def ratio(run: Column) -> Column:
-        steps = F.sequence(F.lit(1), F.length(run) - 1)
-        return F.aggregate(steps, F.lit(0.0), lambda total, i: total + F.get(lookup, code(run, i) * n + code(run, i + 1)))
-
-    rows = match_spans(base_spans(docs), RUN % SHORTEST, 3, "runs")
-    known = F.concat("assign", "access", "hex")
-    least = lambda run: F.greatest(F.lit(margin), PAIR_MARGIN * (F.length(run) - 1))
-    rows = rows.withColumn("markov", F.filter(outside(F.col("runs"), known), lambda s: ratio(s["value"]) > least(s["value"]))).drop("runs")
-    every = F.transform(
-        F.concat("assign", "access", "hex", "markov"), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
-    )
+    rows = rows.withColumn("markov", F.flatten(F.transform("runs", moved))).drop("runs", "known", "rest")
+    order = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
+    every = F.concat(*[F.transform(k, order) for k in KINDS])
     return rows.withColumn("all_spans", F.sort_array(every))
 
 

@@ -130,3 +130,63 @@ def test_held_out_accuracy(spark):
 
     right = sum(ratio(v) > secret_scan.MARGIN for v in random_strings[200:]) + sum(ratio(v) <= secret_scan.MARGIN for v in names[200:])
     assert right >= 196
+
+
+WORDS = "aningble chlichkeit entheron oferndaned thingreat mentleau rebleanin vershauf tiononal ouelleant eringder theawhth unghaben nichtder".split()
+
+
+def invented(rng):
+    """A word of the syllables of ``WORDS``, which are what the models learn as ordinary."""
+    return "".join(w[:4] if rng.random() < 0.5 else w[4:] for w in rng.sample(WORDS, rng.randint(2, 3)))
+
+
+def joined_ratios(spark, rng):
+    train = [("".join(rng.choice("0123456789abcdef") for _ in range(40)), True) for _ in range(200)]
+    train += [("".join(invented(rng) for _ in range(2)), False) for _ in range(6000)]
+    return secret_scan.pair_ratios(spark.createDataFrame(train, "value string, random boolean").distinct())
+
+
+def test_secrets_inside_runs(spark):
+    """Random strings joined to words are found, joined words alone are not."""
+    rng = random.Random(21)
+    ratios = joined_ratios(spark, rng)
+    rows, places = [], {}
+    for alphabet, n in ((string.ascii_letters + string.digits, 20), (string.ascii_lowercase + string.digits, 24)):
+        for words in (0, 3, 5, 8):
+            for _ in range(40):
+                sign = rng.choice("/_-")
+                before = "see " + "".join(invented(rng) + sign for _ in range(words))
+                secret = "".join(rng.choice(alphabet) for _ in range(n))
+                places[len(rows)] = (len(before), len(before) + n)
+                rows.append((len(rows), before + secret + (sign + invented(rng) if words else "")))
+    plain = range(len(rows), len(rows) + 400)
+    rows += [(k, rng.choice("/_-").join(invented(rng) for _ in range(rng.randint(2, 12)))) for k in plain]
+    found = {r.doc_id: r.markov for r in secret_scan.secret_spans(spark.createDataFrame(rows, "doc_id long, text string"), ratios).collect()}
+    hits = sum(any(min(b, m.end) - max(a, m.start) >= 0.8 * (b - a) for m in found[k]) for k, (a, b) in places.items())
+    assert hits >= 0.95 * len(places)
+    assert sum(bool(found[k]) for k in plain) <= 0.01 * len(plain)
+
+
+def test_what_base_spans_leave_is_judged(spark):
+    rng = random.Random(22)
+    ratios = joined_ratios(spark, rng)
+    secret = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(32))
+    shaped = "".join(rng.choice("0123456789abcdef") for _ in range(30))
+    url = f"https://{invented(rng)}.example/{invented(rng)}/{secret}/{invented(rng)}"
+    rows = [(1, f"{shaped}/{secret}"), (2, url), (3, f"é🙂 token={shaped} {secret}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in secret_scan.secret_spans(docs, ratios).collect():
+        (span,) = r.markov
+        at = r.body.index(secret)
+        assert min(span.end, at + 32) - max(span.start, at) >= 28
+        assert all(span.end <= s.start or s.end <= span.start for s in [*r.assign, *r.access, *r.hex])
+    masked = {r.doc_id: r.text for r in secret_scan.mask_secrets(docs, "#", ratios).collect()}
+    assert secret[4:28] not in masked[2] and masked[2].startswith("https://")
+
+
+def test_long_runs_are_one_fold(spark):
+    rng = random.Random(23)
+    text = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(200_000))
+    docs = spark.createDataFrame([(1, text), (2, "a" * 200_000)], "doc_id long, text string")
+    found = {r.doc_id: r.markov for r in secret_scan.secret_spans(docs, joined_ratios(spark, rng)).collect()}
+    assert sum(m.end - m.start for m in found[1]) >= 190_000 and found[2] == []
