@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylens.operators import percentiles as P
+from quarrylens.operators import sketches as SK
 from quarrylens.operators import telemetry as T
+from quarrylens.operators.numbering import settled
 from quarrylens.operators.sizing import fetch_by_key
 from quarrylens.plans.catalog import documents, long, query, r6, table
 from quarrylens.plans.retrieval_queries import bm25_hits, chunk_view, sql_bm25
@@ -300,3 +302,33 @@ def served_answers(spark: SparkSession, root: str) -> DataFrame:
 @query("health", "SELECT 'ok' status, count(*) total_queries FROM events")
 def health(spark: SparkSession, root: str) -> DataFrame:
     return query_log(spark, root).agg(F.count("*").alias("total_queries")).select(F.lit("ok").alias("status"), "total_queries")
+
+
+_SQL_IN_BOUND = "count(total_latency_ms) n, true p50_in_bound, true p95_in_bound"
+
+
+@query("latency_sketches", f"WITH {SQL_LOG} SELECT category, {_SQL_IN_BOUND} FROM log GROUP BY category")
+def latency_sketches(spark: SparkSession, root: str) -> DataFrame:
+    """Percentiles by category from stored hourly sketches, with their ranks counted over the whole log.
+
+    The sketches are a table; the period is answered from it alone.  The
+    counts say whether each estimate keeps the error bound.
+    """
+    log = query_log(spark, root)
+    stored = settled(SK.hourly_sketches(log, "ts", ["category"], ["total_latency_ms"]), "sketches")
+    merged = SK.merged_sketches(stored, ["category"], ["total_latency_ms"])
+    sketch = F.col("total_latency_ms")
+    figures = merged.select("category", SK.count(sketch).alias("n"), *[SK.percentile(sketch, p).alias(f"p{p}") for p in (50, 95)])
+    # One row for each category, met on that key; rows are counted before the exchange of the sums.
+    rows = log.select("category", "total_latency_ms").join(figures, "category")
+    value = F.col("total_latency_ms")
+    counted = rows.groupBy("category", "n").agg(
+        *[F.count_if(value < F.col(f"p{p}")).alias(f"below_{p}") for p in (50, 95)],
+        *[F.count_if(value <= F.col(f"p{p}")).alias(f"upto_{p}") for p in (50, 95)],
+    )
+
+    def in_bound(p: int) -> Column:
+        slack, wanted = SK.RANK_ERROR * F.col("n") + 1, F.col("n") * p / 100
+        return ((F.col(f"below_{p}") <= wanted + slack) & (F.col(f"upto_{p}") >= wanted - slack)).alias(f"p{p}_in_bound")
+
+    return counted.select("category", long("n").alias("n"), in_bound(50), in_bound(95))

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrylens.operators import percentiles as P
+from quarrylens.operators import sketches as SK
 from quarrylens.operators import telemetry as T
 from quarrylens.operators.blocks import number_blocks
 
@@ -153,3 +154,31 @@ def test_tiers_and_report(spark):
     rows = df.select(T.score_tier(F.col("s")).alias("s"), T.confidence_tier(F.col("s"), F.col("d")).alias("c")).collect()
     assert [tuple(r) for r in rows] == [("good", "medium"), ("fair", "none"), ("poor", "low"), ("good", "high")]
     assert "p50" in T.report_text({"p50": 1.0})
+
+
+def test_stored_sketches_answer_any_period(spark):
+    rng = random.Random(8)
+    rows = [(T0 + dt.timedelta(minutes=rng.randrange(60 * 24)), rng.choice("aab"), rng.lognormvariate(4, 1)) for _ in range(20_000)]
+    odd = [(T0, "a", None), (T0, "a", float("nan")), (T0, "empty", None), (T0, None, 5.0)]
+    df = spark.createDataFrame(rows + odd, "ts timestamp, k string, v double")
+    first, late = df.filter("v < 60 or v is null"), df.filter("v >= 60")
+    # Two batches of the same hours: their sketches stand side by side and are merged when read.
+    stored = SK.hourly_sketches(first, "ts", ["k"], ["v"]).unionByName(SK.hourly_sketches(late, "ts", ["k"], ["v"])).cache()
+    for since, until in ((None, None), (T0 + dt.timedelta(hours=6), T0 + dt.timedelta(hours=13))):
+        merged = SK.merged_sketches(stored, ["k"], ["v"], since, until)
+        got = merged.select(
+            "k", SK.count(F.col("v")).alias("n"), SK.share_upto(F.col("v"), 60.0).alias("share"), *[SK.percentile(F.col("v"), p).alias(f"p{p}") for p in (5, 50, 95, 99)]
+        )
+        found = {r.k: r for r in got.collect()}
+        for k in "ab":
+            values = sorted(v for t, key, v in rows if key == k and (since is None or since <= t < until))
+            assert found[k].n == len(values)
+            for p in (5, 50, 95, 99):
+                rank = sum(v <= found[k][f"p{p}"] for v in values) / len(values)
+                assert abs(rank - p / 100) <= SK.RANK_ERROR + 1 / len(values)
+            assert abs(found[k].share - sum(v <= 60 for v in values) / len(values)) <= SK.RANK_ERROR
+        if since is None:
+            assert found["empty"].n == 0 and found["empty"].p50 is None and found["empty"].share is None
+            assert found[None].n == 1 and found[None].p50 == 5.0
+    none = SK.merged_sketches(SK.hourly_sketches(df.limit(0), "ts", ["k"], ["v"]), ["k"], ["v"])
+    assert none.count() == 0
