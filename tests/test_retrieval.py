@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrylens.functions.text import tokenize
-from quarrylens.operators import dense, fusion, sizing
+from quarrylens.operators import dense, fusion, sizing, sparse_index
 from quarrylens.operators.sparse_index import SparseIndex, postings
 from quarrylens.sources.tables import create_collection, upsert_latest
 
@@ -69,6 +69,41 @@ def test_stored_postings_give_the_same_hits(spark, index, queries, tmp_path):
     assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, index.search(queries, "qid", "q").collect()))
 
 
+def test_bm25_moves_no_posting_when_weights_are_few(index, queries):
+    plan = index.search(queries, "qid", "q")._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "posexplode" not in plan and "hashpartitioning(doc_id" not in plan
+
+
+@pytest.mark.parametrize("cells", [1, 40, 1 << 20])
+def test_bm25_slices_keep_the_best_of_all(monkeypatch, cells):
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    draw = lambda n: [f"w{min(29, int(rng.expovariate(0.2)))}" for _ in range(n)]
+    docs = [(f"d{k:03d}", draw(rng.randrange(0, 30))) for k in range(150)]
+    docs += [(f"c{k:03d}", docs[7][1]) for k in range(20)]
+    asked = {q: {t: rng.uniform(-1, 3) for t in set(draw(6)) | {"absent"}} for q in ("qa", "qb", "qc")}
+    norm = lambda dl: 0.3 + dl / 20
+
+    monkeypatch.setattr(sparse_index, "CELLS", cells)
+    rows = [(t, q, w) for q, terms in asked.items() for t, w in terms.items()]
+    weights = sparse_index._Weights.of(pa.table(dict(zip(("term", "query_id", "weight"), map(list, zip(*rows))))))
+    best = None
+    for start in range(0, len(docs), 64):
+        ids, tokens = zip(*docs[start : start + 64])
+        best = weights.best_of(pa.record_batch({"doc_id": list(ids), "tokens": list(tokens)}), norm, 9, best)
+    want = []
+    for q, terms in asked.items():
+        scores = {i: sum(w * ts.count(t) / (ts.count(t) + norm(len(ts))) for t, w in terms.items()) for i, ts in docs}
+        hits = sorted((-round(s, 9), i) for i, s in scores.items() if s > 0)[:9]
+        want += [(q, i, -s) for s, i in hits]
+    got = sorted(zip(*(best.column(c).to_pylist() for c in ("query_id", "doc_id", "score"))), key=lambda r: (r[0], -r[2], r[1]))
+    assert [(q, i) for q, i, _ in got] == [(q, i) for q, i, _ in want]
+    np.testing.assert_allclose([s for *_, s in got], [s for *_, s in want], atol=2e-9)
+
+
 def test_tiny_corpus_has_no_positive_score(spark, queries):
     docs = spark.createDataFrame([(0, "red")], "doc_id long, text string")
     assert SparseIndex.build(docs, "doc_id", "text").search(queries, "qid", "q").collect() == []
