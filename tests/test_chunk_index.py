@@ -1,5 +1,6 @@
 """The stored chunk index: pruning, vectors, segments, ids of any type, legs at once."""
 
+import os
 import random
 import threading
 import time
@@ -14,6 +15,7 @@ from quarrylens.operators.chunk_index import ChunkIndex, at_once, hashed_vectors
 from quarrylens.operators.dense import dense_topk_by_id
 from quarrylens.operators.numbering import numbered
 from quarrylens.operators.sparse_index import SparseIndex
+from quarrylens.session import shared_dir
 
 WORDS = [f"w{k}" for k in range(300)]
 DDL = "chunk_id string, content string, kind string"
@@ -224,6 +226,44 @@ def test_dense_search_by_any_id(spark, budget):
         assert got == sorted(want)
 
 
+def test_chunks_are_made_once_and_postings_are_no_table(spark, queries):
+    made = spark.sparkContext.accumulator(0)
+    before = set(os.listdir(shared_dir(spark)))
+
+    def make(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    rows = chunk_rows(3, 400)
+    chunks = spark.createDataFrame(rows, DDL).mapInPandas(make, DDL)
+    index = ChunkIndex.build(chunks, "chunk_id", "content", span=32)
+    assert made.value == len(rows)
+    assert not [n for n in set(os.listdir(shared_dir(spark))) - before if n.startswith("postings")]
+    assert sparse_rows(index, queries) == rebuilt(spark, rows, queries)
+
+
+@pytest.mark.parametrize("most", [0, 7, 60])
+def test_vectors_do_not_depend_on_the_terms_that_are_shipped(spark, built, monkeypatch, most):
+    rows, index = built
+    want = {r.chunk_id: r.embedding for r in index.named(index.vectors()).collect()}
+    monkeypatch.setattr(chunk_index, "FREQUENT_TERMS", most)
+    again = ChunkIndex.build(spark.createDataFrame(rows, DDL), "chunk_id", "content", span=64)
+    assert again.terms().filter(F.col("df") >= again.base["frequent"]).count() <= most
+    got = {r.chunk_id: r.embedding for r in again.named(again.vectors()).collect()}
+    assert got.keys() == want.keys()
+    for i in want:
+        np.testing.assert_allclose(got[i], want[i], atol=1e-9)
+
+
+def test_texts_without_words_and_spans_by_size(spark, queries):
+    rows = [("a", "", "x"), ("b", None, "x"), ("c", "w3 w3 w40", "x"), ("d", " ,. ", "x"), ("e", "other", "x"), ("f", "words", "x"), ("g", "here", "x")]
+    index = ChunkIndex.build(spark.createDataFrame(rows, DDL), "chunk_id", "content", span=2)
+    assert [r.chunk_id for r in index.named(index.vectors()).orderBy("chunk_id").collect()] == ["c", "e", "f", "g"]
+    assert {(r[0], r[2]) for r in sparse_rows(index, queries)} == {("q-a", "c")}
+    assert [chunk_index.span_for(*c) for c in ((7, 90), (200_000, 9_000_000), (10**7, 5 * 10**8), (10**6, 10**9))] == [1024, 2048, 4096, 1024]
+
+
 def test_vectors_of_no_counts(spark):
     none = spark.createDataFrame([], "doc_no long, term string, tf long")
     assert hashed_vectors(none, "doc_no", F.col("tf")).collect() == []
