@@ -267,3 +267,29 @@ def test_texts_without_words_and_spans_by_size(spark, queries):
 def test_vectors_of_no_counts(spark):
     none = spark.createDataFrame([], "doc_no long, term string, tf long")
     assert hashed_vectors(none, "doc_no", F.col("tf")).collect() == []
+
+
+def test_an_index_of_postings_alone_makes_no_vectors(spark, built, queries):
+    rows, both = built
+    index = ChunkIndex.build(spark.createDataFrame(rows, DDL), "chunk_id", "content", keep=["kind"], span=16, dense=False)
+    later = index.upsert(spark.createDataFrame([("new", "w3 w40 w120", "prose")], DDL))
+    opened = ChunkIndex.open(spark, index.path)
+    assert not any("vectors" in os.listdir(f"{index.path}/segments/{name}") for name in opened.segments)
+    assert sparse_rows(index, queries) == sparse_rows(both, queries)
+    assert sparse_rows(opened, queries) == rebuilt(spark, [*rows, ("new", "w3 w40 w120", "prose")], queries)
+    for version in (index, later, opened):
+        with pytest.raises(ValueError):
+            version.dense_topk(queries, "qid", "q")
+
+
+def test_counts_and_vectors_follow_from_blocks_alone(spark, built):
+    rows, index = built
+    assert "dl" not in index.docs().columns
+    assert index.n_tokens == sum(len(text.split()) for _, text, _ in rows)
+    blocks = spark.read.parquet(f"{index.path}/segments/{index.segments[0]}/blocks")
+    assert all((b["df"], b.tokens) == (len(b.places), sum(b.tfs)) for b in blocks.collect())
+    want = {r.doc_no: r.embedding for r in index.vectors().collect()}
+    got = {r.doc_no: r.embedding for r in index._vectors_of(blocks).collect()}
+    assert got.keys() == want.keys()
+    for no in want:
+        np.testing.assert_allclose(got[no], want[no], atol=1e-9)
