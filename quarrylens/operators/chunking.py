@@ -280,8 +280,8 @@ def split_block(block: Column, config: ChunkConfig = ChunkConfig()) -> Column:
     )
 
 
-def chunk_array(blocks: Column, config: ChunkConfig = ChunkConfig()) -> Column:
-    """Chunks of one document, in order, from its array of blocks."""
+def _split_blocks(blocks: Column, config: ChunkConfig) -> Column:
+    """Chunks of one document, in order, without what they share with the chunk before."""
 
     def of_block(block: Column) -> Column:
         def numbered(texts: Column) -> Column:
@@ -303,20 +303,32 @@ def chunk_array(blocks: Column, config: ChunkConfig = ChunkConfig()) -> Column:
 
         return let(split_block(block, config), numbered)
 
+    return F.flatten(F.transform(blocks, of_block))
+
+
+def _tail_before(chunk: Column, previous: Column, i: Column, config: ChunkConfig) -> Column:
+    """The end of the previous chunk that a chunk repeats, or an empty text."""
+    return F.when(
+        F.coalesce(may_overlap(chunk, previous) & (i > 0), F.lit(False)),
+        overlap_tail(previous["content"], config.overlap_tokens, config.sentinel),
+    ).otherwise("")
+
+
+def _overlapped(chunk: Column, tail: Column, config: ChunkConfig) -> Column:
+    return F.when(strip(tail) != "", F.concat(tail, F.lit(config.sentinel), chunk["content"])).otherwise(chunk["content"])
+
+
+def chunk_array(blocks: Column, config: ChunkConfig = ChunkConfig()) -> Column:
+    """Chunks of one document, in order, from its array of blocks."""
+
     def with_overlap(chunks: Column) -> Column:
         def place(chunk: Column, i: Column) -> Column:
-            previous = F.get(chunks, i - 1)
-            tail = F.when(
-                F.coalesce(may_overlap(chunk, previous) & (i > 0), F.lit(False)),
-                overlap_tail(previous["content"], config.overlap_tokens, config.sentinel),
-            ).otherwise("")
+            tail = _tail_before(chunk, F.get(chunks, i - 1), i, config)
             return let(
                 tail,
                 lambda t: F.struct(
                     chunk["content"].alias("content"),
-                    F.when(strip(t) != "", F.concat(t, F.lit(config.sentinel), chunk["content"]))
-                    .otherwise(chunk["content"])
-                    .alias("content_with_overlap"),
+                    _overlapped(chunk, t, config).alias("content_with_overlap"),
                     chunk["content_type"].alias("content_type"),
                     chunk["page_number"].alias("page_number"),
                     chunk["section_header"].alias("section_header"),
@@ -329,7 +341,35 @@ def chunk_array(blocks: Column, config: ChunkConfig = ChunkConfig()) -> Column:
 
         return F.transform(chunks, place)
 
-    return let(F.flatten(F.transform(blocks, of_block)), with_overlap)
+    return let(_split_blocks(blocks, config), with_overlap)
+
+
+def plain_chunk_array(blocks: Column, config: ChunkConfig = ChunkConfig()) -> Column:
+    """Content, content_type, block_index and chunk_index of the same chunks, no overlap made.
+
+    A text behind its overlap and the sentinel is the chunk's own, unless the
+    sentinel occurs earlier: then the chunk or the one before holds what is left
+    of the sentinel without its longest border, and the text is cut as elsewhere.
+    """
+    mark = config.sentinel
+    border = max((n for n in range(len(mark)) if mark[:n] == mark[len(mark) - n :]), default=0)
+    core = F.lit(mark[: len(mark) - border])
+
+    def plain(chunks: Column) -> Column:
+        def place(chunk: Column, i: Column) -> Column:
+            previous = F.get(chunks, i - 1)
+            marked = F.coalesce(F.contains(chunk["content"], core), F.lit(False)) | F.coalesce(F.contains(previous["content"], core), F.lit(False))
+            cut = strip_overlap(_overlapped(chunk, _tail_before(chunk, previous, i, config), config), config.sentinel)
+            return F.struct(
+                F.when(marked, cut).otherwise(chunk["content"]).alias("content"),
+                chunk["content_type"].alias("content_type"),
+                chunk["block_index"].alias("block_index"),
+                chunk["chunk_index"].alias("chunk_index"),
+            )
+
+        return F.transform(chunks, place)
+
+    return let(_split_blocks(blocks, config), plain)
 
 
 def chunk_documents(df: DataFrame, doc_id: str, blocks: Column, config: ChunkConfig = ChunkConfig()) -> DataFrame:
@@ -357,6 +397,12 @@ def chunk_documents(df: DataFrame, doc_id: str, blocks: Column, config: ChunkCon
     )
 
 
+def plain_chunks(df: DataFrame, doc_id: str, blocks: Column, config: ChunkConfig = ChunkConfig()) -> DataFrame:
+    """chunk_id, content, doc_id and content_type as in :func:`chunk_documents`, for readers of these alone."""
+    rows = unfold(df, [F.col(doc_id).cast("string").alias("doc_id")], plain_chunk_array(blocks, config), "c")
+    return rows.select(F.concat_ws("::", "doc_id", "c.block_index", "c.chunk_index").alias("chunk_id"), "c.content", "doc_id", "c.content_type")
+
+
 def chunk_record() -> Column:
     """Nested form of a chunk row."""
     return F.struct(

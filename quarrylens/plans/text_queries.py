@@ -302,6 +302,11 @@ def semantic_chunk_rows(spark: SparkSession, root: str) -> DataFrame:
     return C.chunk_documents(documents(spark, root), "doc_id", B.text_blocks(marked(F.col("text")), every_line=True))
 
 
+def plain_chunk_rows(spark: SparkSession, root: str) -> DataFrame:
+    """Ids, texts and types of the same chunks."""
+    return C.plain_chunks(documents(spark, root), "doc_id", B.text_blocks(marked(F.col("text")), every_line=True))
+
+
 SQL_CHUNKS = f"""WITH RECURSIVE {_sql_lines(_SQL_MARKED)}, typed AS (SELECT *, {_SQL_TYPE} t FROM paras),
 blocks AS (SELECT *, last_value(CASE WHEN t = 'heading' THEN p END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) s FROM typed),
 src AS (SELECT {{'d': doc_id, 'b': pos}} k, []::BIGINT[] ord, p FROM blocks), {_sql_cascade('src')},

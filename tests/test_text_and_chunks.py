@@ -220,3 +220,23 @@ def test_unknown_block_type_fails(spark):
     df = spark.createDataFrame([("table",)], "k string")
     with pytest.raises(Exception, match="cannot split block type table"):
         df.select(C.require_splittable(F.col("k"))).collect()
+
+
+@pytest.mark.parametrize("sentinel", [C.OVERLAP_SENTINEL, "aba", "=-="])
+def test_plain_chunks_equal_chunks_behind_their_overlap(spark, sentinel):
+    texts = ["one two three.\n\nfour five six. seven eight nine ten eleven.\n\n# Head\n\nlast", "", None, "x aba y\n\nab aba\n\nba ab\n\nends in =-\n\n= starts a=-=b=-=c\n\nab\n\na"]
+    texts.append("tail\n---context-overlap---\n\nnext ---context-overlap---\n\nafter")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    blocks = B.text_blocks(F.col("text"))
+    # Blocks that hold the sentinel itself, as blocks from elsewhere may.
+    held = F.transform(blocks, lambda b: b.withField("content", F.replace(b["content"], F.lit("---context-overlap---"), F.lit(sentinel))))
+    for made in (blocks, held):
+        config = C.ChunkConfig(target_tokens=5, max_tokens=6, overlap_tokens=4, sentinel=sentinel)
+        whole = C.chunk_documents(df, "doc_id", made, config).select("chunk_id", "content", "doc_id", "content_type")
+        assert sorted(C.plain_chunks(df, "doc_id", made, config).collect()) == sorted(whole.collect())
+
+
+def test_plain_chunks_make_no_overlap(spark, monkeypatch):
+    monkeypatch.setattr(C, "overlap_tail", lambda *_: F.raise_error(F.lit("an overlap was made")).cast("string"))
+    df = spark.createDataFrame([(1, "one two\n\nthree four\n\nfive")], "doc_id int, text string")
+    assert [r.content for r in C.plain_chunks(df, "doc_id", B.text_blocks(F.col("text"))).collect()] == ["one two", "three four", "five"]
