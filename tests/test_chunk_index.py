@@ -293,3 +293,44 @@ def test_counts_and_vectors_follow_from_blocks_alone(spark, built):
     assert got.keys() == want.keys()
     for no in want:
         np.testing.assert_allclose(got[no], want[no], atol=1e-9)
+
+
+def test_only_blocks_of_asked_terms_reach_the_scoring(spark, built, queries, monkeypatch):
+    rows, index = built
+    plain, asked = chunk_index.span_hits, {w for _, text in ASKED for w in text.split()}
+
+    def watched(block, *others):
+        strange = set(block.column("term").to_pylist()) - asked
+        if strange:
+            raise ValueError(f"moved {len(strange)} terms that nobody asked for")
+        return plain(block, *others)
+
+    monkeypatch.setattr(chunk_index, "span_hits", watched)
+    assert sparse_rows(index, queries) == rebuilt(spark, rows, queries)
+
+
+def test_best_of_a_span_by_brute_force():
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(WORDS[:12]) for _ in range(rng.choice([3, 3, 7]))) for _ in range(64)]
+    block = chunk_index.span_blocks(pa.table({"doc_no": list(range(64, 128)), "text": texts}), 64)
+    weights = {"a": (["w1", "w2", "none"], [1.5, 0.25, 9.0]), "b": (["w1", "w5"], [2.0, -1.0])}
+    norm = lambda dl: 0.5 + dl / 10
+    only = [n for n in range(64) if n % 3]
+    want = {}
+    for query, (terms, given) in weights.items():
+        for n, text in enumerate(texts):
+            words = text.split()
+            raw = sum(w * words.count(t) / (words.count(t) + norm(len(words))) for t, w in zip(terms, given))
+            if raw > 0:
+                want.setdefault(query, []).append((-round(raw, 9), n + 64))
+    for limited in (False, True):
+        for k in (1, 5, 100):
+            for floors in ((None, None), (0.4, 0.9), (0.0, 99.0)):
+                rows = [("a", floors[0], None), ("b", floors[1], None)] + [(None, None, only)] * limited
+                asks = pa.table({"query_id": [r[0] for r in rows], "floor": pa.array([r[1] for r in rows], pa.float64()), "only": pa.array([r[2] for r in rows], pa.list_(pa.int32()))})
+                found = chunk_index.span_hits(block, asks, weights, 64, norm, limited, k).to_pylist()
+                for query, floor in zip("ab", floors):
+                    best = sorted(h for h in want[query] if (not limited or (h[1] - 64) % 3) and -h[0] >= (floor or 0))[:k]
+                    assert [(-round(r["score"], 9), r["doc_no"]) for r in found if r["query_id"] == query] == best
