@@ -334,3 +334,19 @@ def test_best_of_a_span_by_brute_force():
                 for query, floor in zip("ab", floors):
                     best = sorted(h for h in want[query] if (not limited or (h[1] - 64) % 3) and -h[0] >= (floor or 0))[:k]
                     assert [(-round(r["score"], 9), r["doc_no"]) for r in found if r["query_id"] == query] == best
+
+
+def test_a_wide_index_has_fewer_blocks_and_the_same_hits(spark, queries, monkeypatch):
+    monkeypatch.setattr(chunk_index, "LEAST_SPAN", 4)
+    monkeypatch.setattr(chunk_index.span_for, "__defaults__", (4, 1 << 20))
+    rows = spark.createDataFrame(chunk_rows(5, 600), DDL)
+    narrow, wide = (ChunkIndex.build(rows, "chunk_id", "content", dense=False, wide=w) for w in (False, True))
+    assert (narrow.span, wide.span) == (4, 8)
+    assert wide._table("blocks").count() < narrow._table("blocks").count()
+    assert sparse_rows(wide, queries) == sparse_rows(narrow, queries)
+    assert ChunkIndex.open(spark, wide.path).upsert(spark.createDataFrame([("new", "w3", "prose")], DDL)).span == 8
+
+
+def test_wide_spans_by_size():
+    wide = lambda *size: chunk_index.span_for(*size, chunk_index.WIDE_SPAN, chunk_index.TOKENS_A_WIDE_SPAN)
+    assert [wide(*c) for c in ((7, 90), (200_000, 9_000_000), (10**7, 5 * 10**8), (10**6, 10**9), (3 * 10**6, 15 * 10**8))] == [1024, 2048, 16384, 4096, 8192]
