@@ -1,16 +1,19 @@
 """Sparse and dense search, fusion and rerank on small fixtures."""
 
 import math
+import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
 from quarrylens.functions.text import tokenize
 from quarrylens.operators import dense, fusion, sizing, sparse_index
 from quarrylens.operators.sparse_index import SparseIndex, postings
 from quarrylens.sources.tables import create_collection, upsert_latest
 
+ROOT = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 DOCS = [(0, "red apple red"), (1, "green apple pie"), (2, "blue sky"), (3, "")]
 QUERIES = [(10, "red red pie"), (11, "!!"), (12, "unseen words")]
 
@@ -74,6 +77,22 @@ def test_bm25_moves_no_posting_when_weights_are_few(index, queries):
     assert "MapInArrow" in plan and "posexplode" not in plan and "hashpartitioning(doc_id" not in plan
 
 
+SHOWN = (
+    "bm25_topk context_block context_budget context_precision extractive_answer format_chunk lexical_faithfulness lexical_recall "
+    "prompt_messages rerank_lexical retrieved_projection span_outputs telemetry_rows"
+).split()
+
+
+@pytest.mark.skipif(not os.path.isdir(ROOT), reason="test tables absent")
+@pytest.mark.parametrize("name", SHOWN)
+def test_no_pair_of_document_and_query_is_held_for_shown_hits(spark, monkeypatch, name):
+    def refuse(*args):
+        raise AssertionError("pairs of documents and queries are grouped")
+
+    monkeypatch.setattr(sparse_index, "_rank", refuse)
+    assert contract.queries()[name](spark, ROOT).collect()
+
+
 @pytest.mark.parametrize("cells", [1, 40, 1 << 20])
 def test_bm25_slices_keep_the_best_of_all(monkeypatch, cells):
     import random
